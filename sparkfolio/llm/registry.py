@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, token_counts
+from . import bpe, exact_dedup, media, packing, records, token_counts
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op3_token_records": records.op3_token_records,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
+}

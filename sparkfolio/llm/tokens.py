@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +40,39 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes arrays of texts to (flat ids, offsets of each text). Keeps the ids of up to `most` distinct units."""
+    """Encodes arrays of texts to (flat ids, offsets of each text). Up to `most` distinct units that came
+    twice in one call keep their ids for later calls; others are encoded again when they return."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.tok, self.most = tokenizer(path), most
-        self._clear()
-
-    def _clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def _learn(self, units: list[str]) -> None:
-        n = len(self.slot)
-        got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(lens.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(units) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.int32, total)
-        self.start[n : n + len(units)] = self.used + np.cumsum(lens) - lens
-        self.length[n : n + len(units)] = lens
-        self.used += total
-        self.slot.update(zip(units, range(n, n + len(units))))
+        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lens = [], []
+        for at in range(0, len(units), 20_000):
+            got = [e.ids for e in self.tok.encode_batch_fast(units[at : at + 20_000], add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lens[-1].sum())))
+        return (np.concatenate(flat), np.concatenate(lens)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def _table(self, units: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat ids, start and length of each of the distinct units."""
+        slot = np.fromiter((self.slot.get(w, -1) for w in units), np.int64, len(units))
+        new = np.flatnonzero(slot < 0)
+        fresh, lens = self._ids([units[i] for i in new.tolist()])
+        known, kept = len(self.slot), len(self.flat)
+        slot[new] = known + np.arange(len(new))
+        flat, start, length = np.concatenate([self.flat, fresh]), np.concatenate([self.start, kept + np.cumsum(lens) - lens]), np.concatenate([self.length, lens])
+        keep = np.flatnonzero(count[new] > 1)[: max(0, self.most - known)]
+        if len(keep):
+            n = lens[keep]
+            ends = np.cumsum(n)
+            own = start[known + keep]
+            self.flat = np.concatenate([self.flat, flat[np.repeat(own - ends + n, n) + np.arange(ends[-1])]])
+            self.start, self.length = np.concatenate([self.start, kept + ends - n]), np.concatenate([self.length, n])
+            self.slot.update((units[i], known + k) for k, i in enumerate(new[keep].tolist()))
+        return flat, start[slot], length[slot]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
@@ -76,16 +85,11 @@ class Encoder:
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pc.replace_substring_regex(texts, r"([^ \n])([ \n])", "\\1\x00\\2"), "\x00")
         units = parts.flatten().dictionary_encode()
-        distinct = units.dictionary.to_pylist()
-        if len(self.slot) + len(distinct) > self.most and len(self.slot):
-            self._clear()
-        if new := [w for w in distinct if w not in self.slot]:
-            self._learn(new)
-        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
-        at = slot[units.indices.to_numpy()]
-        lens, starts = self.length[at], self.start[at]
+        at = units.indices.to_numpy()
+        flat, start, length = self._table(units.dictionary.to_pylist(), np.bincount(at, minlength=len(units.dictionary)))
+        lens, starts = length[at], start[at]
         ends = np.cumsum(lens)
-        flat = self.flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = parts.offsets.to_numpy().astype(np.int64)
         return flat, np.concatenate([[0], ends])[bounds - bounds[0]]
 
