@@ -162,19 +162,24 @@ def _id_lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
+def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "text", leaf: int = LEAF, spread: int = SPREAD, round_trip: bool = False) -> DataFrame:
     """id and ids (array of int), one row per row of docs, whatever repeats; null and empty texts have no ids.
+    round_trip adds `decoded`, what decode() gives for the ids, in the worker that has them already.
     Texts over `spread` characters become rows of leaves that are dealt to all tasks, encoded there, and
     joined by document; shorter ones are cut, encoded and joined where they are read."""
     path = vocabulary(vocab)
     kind = docs.schema[id_col].dataType.simpleString()
     asked = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    made = f"id {kind}, ids array<int>" + ", decoded string" * round_trip
+    names = ["id", "ids", "decoded"][: 2 + round_trip]
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tree_encoder(path, leaf)
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(t.encode(part.column(1).to_pylist()))], ["id", "ids"])
+                ids = t.encode(part.column(1).to_pylist())
+                back = [pa.array(map(t.decode, ids), pa.string())] if round_trip else []
+                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(ids), *back], names)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tree_encoder(path, leaf)
@@ -195,13 +200,15 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text: str = "tex
 
         pdf = pdf.sort_values("no")
         pieces = [x if isinstance(x, str) else int(y) for x, y in zip(pdf["text"], pdf["added"])]
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [tree_encoder(path, leaf).whole(pieces, [np.asarray(x, np.int32) for x in pdf["ids"]])]})
+        t = tree_encoder(path, leaf)
+        ids = t.whole(pieces, [np.asarray(x, np.int32) for x in pdf["ids"]])
+        return pd.DataFrame({"id": pdf["id"].iloc[:1], "ids": [ids]} | ({"decoded": [t.decode(ids)]} if round_trip else {}))
 
-    short = asked.where(F.length("text") <= spread).mapInArrow(here, f"id {kind}, ids array<int>")
+    short = asked.where(F.length("text") <= spread).mapInArrow(here, made)
     far = asked.where(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id())
     far = far.mapInArrow(scatter, f"id {kind}, row long, no int, text string, added int").repartition("row", "no")
     far = far.mapInArrow(leaves, f"id {kind}, row long, no int, text string, added int, ids array<int>")
-    return short.unionByName(far.groupBy("row").applyInPandas(gather, f"id {kind}, ids array<int>"))
+    return short.unionByName(far.groupBy("row").applyInPandas(gather, made))
 
 
 def decode(df: DataFrame, vocab: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -224,7 +231,7 @@ def decode(df: DataFrame, vocab: str, ids: str = "ids", to: str = "decoded") ->
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = decode(encode(documents(spark, sf_dir), "byte_bpe_50k.json"), "byte_bpe_50k.json")
+    x = encode(documents(spark, sf_dir), "byte_bpe_50k.json", round_trip=True)
     return x.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
