@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, slices, strings
+from .common import documents, slices, stored, strings
 from .tokens import encoder, vocabulary
 
 #: Lengths of one block of the two-level sums.
@@ -91,4 +91,5 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(documents(spark, sf_dir), "byte_bpe_50k.json", scope="lang"))
+    # the sums read the histogram twice; stored, it is counted once
+    return suffix_sums(stored(length_histogram(documents(spark, sf_dir), "byte_bpe_50k.json", scope="lang"), "lengths"))
