@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, media, packing, records, simhash, substring, token_counts
+from . import bpe, crossentropy, exact_dedup, media, packing, quality, records, simhash, substring, token_counts
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_quality": quality.op2_quality,
     "op3_token_records": records.op3_token_records,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_simhash": simhash.op7_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_cross_entropy": crossentropy.op9_cross_entropy,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op7_simhash": simhash.op7_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_cross_entropy": crossentropy.op9_cross_entropy,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
