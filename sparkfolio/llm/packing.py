@@ -20,7 +20,7 @@ from .common import documents, slices, stored, strings
 from .tokens import encoder, vocabulary
 
 #: Search effort of one plan: nodes, fillings tried at a node. They bound time only; every piece is placed.
-NODES, FILLINGS = 100, 6
+NODES, FILLINGS = 40, 6
 #: Slots (24 bytes each) that are broadcast; a larger plan is joined instead.
 MOST_SLOTS = 2_000_000
 

@@ -2,14 +2,15 @@
 
 A cut lies between a character that is not white space and a following space or line feed. Neither
 vocabulary here has a token or a pre-token that crosses such a place, so the units' ids concatenate to
-the ids of the whole text. Texts with any other white space or a NUL go to the library whole.
+the ids of the whole text; a vocabulary that ignores white space and case is given lower-cased words.
+Texts with any other white space, a NUL or what may be a special token go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,59 +40,73 @@ def tokenizer(path: str):
     return tok
 
 
+def _drops_space(tok) -> bool:
+    """The vocabulary ignores white space and case: words can be cut out and lower-cased beforehand."""
+    j = json.loads(tok.to_str())
+    rules = [x["type"] for x in (j["normalizer"] or {}).get("normalizers", [])]
+    split = [x for x in (j["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    return "Lowercase" in rules and "Replace" in rules and any(x["invert"] and x["behavior"] == "Removed" for x in split)
+
+
 class Encoder:
     """Encodes arrays of texts to (flat ids, offsets of each text). Up to `most` distinct units that came
     twice in one call keep their ids for later calls; others are encoded again when they return."""
 
     def __init__(self, path: str, most: int = 200_000):
         self.tok, self.most = tokenizer(path), most
-        self.slot: dict[str, int] = {}
-        self.flat, self.start, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words = _drops_space(self.tok)
+        added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = max(added.items(), key=lambda x: x[1])
+        self.known, self.flat, self.length = pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, lens = [], []
-        for at in range(0, len(units), 20_000):
-            got = [e.ids for e in self.tok.encode_batch_fast(units[at : at + 20_000], add_special_tokens=False)]
-            lens.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.fromiter(chain.from_iterable(got), np.int32, int(lens[-1].sum())))
-        return (np.concatenate(flat), np.concatenate(lens)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
-
-    def _table(self, units: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """flat ids, start and length of each of the distinct units."""
-        slot = np.fromiter((self.slot.get(w, -1) for w in units), np.int64, len(units))
+        """ids of the units, one after the other, and each unit's number of ids. Units are encoded together with
+        a special token between them, which the library always cuts out first."""
+        flat = [np.empty(0, np.int32)]
+        for at in range(0, len(units), 1000):
+            got = self.tok.encode_batch_fast([self.mark.join(units[at : at + 1000])], add_special_tokens=False)[0].ids
+            flat += [np.array(got, np.int32), np.array([self.mark_id], np.int32)]
+        x = np.concatenate(flat)
+        ends = np.flatnonzero(x == self.mark_id)
+        return x[x != self.mark_id], np.diff(ends, prepend=-1) - 1
+
+    def _table(self, units: pa.Array, count: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+        """Lists of ids, and for each of the distinct units the place of its list."""
+        slot = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(slot < 0)
-        fresh, lens = self._ids([units[i] for i in new.tolist()])
-        known, kept = len(self.slot), len(self.flat)
+        fresh, lens = self._ids(units.take(pa.array(new)).to_pylist())
+        known = len(self.known)
         slot[new] = known + np.arange(len(new))
-        flat, start, length = np.concatenate([self.flat, fresh]), np.concatenate([self.start, kept + np.cumsum(lens) - lens]), np.concatenate([self.length, lens])
+        length = np.concatenate([self.length, lens])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.concatenate([self.flat, fresh])))
         keep = np.flatnonzero(count[new] > 1)[: max(0, self.most - known)]
         if len(keep):
-            n = lens[keep]
-            ends = np.cumsum(n)
-            own = start[known + keep]
-            self.flat = np.concatenate([self.flat, flat[np.repeat(own - ends + n, n) + np.arange(ends[-1])]])
-            self.start, self.length = np.concatenate([self.start, kept + ends - n]), np.concatenate([self.length, n])
-            self.slot.update((units[i], known + k) for k, i in enumerate(new[keep].tolist()))
-        return flat, start[slot], length[slot]
+            self.flat = np.concatenate([self.flat, lists.take(pa.array(known + keep)).flatten().to_numpy()])
+            self.length = np.concatenate([self.length, lens[keep]])
+            self.known = pa.concat_arrays([self.known, units.take(pa.array(new[keep]))])
+        return lists, slot
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.empty(0, np.int32), np.zeros(1, np.int64)
-        odd = pc.match_substring_regex(texts, _OTHER_SPACE)
+        odd = pc.match_substring(texts, "<|", ignore_case=False)
+        if not self.words:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, _OTHER_SPACE))
         if pc.any(odd).as_py():
             return self._mixed(texts, odd.to_numpy(zero_copy_only=False))
         return self._plain(texts)
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(pc.replace_substring_regex(texts, r"([^ \n])([ \n])", "\\1\x00\\2"), "\x00")
+        if self.words:
+            parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        else:
+            parts = pc.split_pattern(pc.replace_substring_regex(texts, r"([^ \n])([ \n])", "\\1\x00\\2"), "\x00")
         units = parts.flatten().dictionary_encode()
         at = units.indices.to_numpy()
-        flat, start, length = self._table(units.dictionary.to_pylist(), np.bincount(at, minlength=len(units.dictionary)))
-        lens, starts = length[at], start[at]
-        ends = np.cumsum(lens)
-        flat = flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        return flat, np.concatenate([[0], ends])[bounds - bounds[0]]
+        lists, slot = self._table(units.dictionary, np.bincount(at, minlength=len(units.dictionary)))
+        got = lists.take(pa.array(slot[at]))
+        bounds = parts.offsets.to_numpy()
+        return got.flatten().to_numpy(), got.offsets.to_numpy().astype(np.int64)[bounds - bounds[0]]
 
     def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, offsets = self._plain(texts.filter(pa.array(~odd))) if not odd.all() else (np.empty(0, np.int32), np.zeros(1, np.int64))
