@@ -112,7 +112,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
     """Target: the documents labelled good and not toxic; background: all documents. Labels join by id, a null
     id is no target. Without any target every word costs the same under the target model."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(labels[id_col].alias("__good")).distinct()
-    rows = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text")).join(good, F.col("id") == F.col("__good"), "left")
+    # a merge join at every size: a broadcast of small label tables would make plans differ as they grow
+    rows = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text")).join(good.hint("merge"), F.col("id") == F.col("__good"), "left")
     return score(docs, counts(rows.select("text", F.col("__good").isNotNull().alias("target"))), id_col, text)
 
 
