@@ -272,3 +272,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = remove_repeats(documents(spark, sf_dir))
     return x.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') END AS words FROM documents),
+g AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 33, 1))) AS pos FROM w),
+r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY sha256(array_to_string(list_slice(words, pos, pos + 34), ' '))) AS n FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM r WHERE n > 1),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+k AS (SELECT p.doc_id, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept FROM p LEFT JOIN c USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
