@@ -1,11 +1,9 @@
-"""LM scoring by cross-entropy difference (Moore and Lewis): a target and a background bigram model of words,
-matched in order, smoothing and vocabulary; each token's loss under the one less its loss under the other,
-averaged, scores a document. Lower is closer to the target.
-
-The shared vocabulary has 2**WORD_BITS slots, to which words are hashed, and 2**PAIR_BITS slots for pairs of
-neighbours, so the models' size is fixed whatever the corpus while their counts cover all of it: every task
-adds its counts up in arrays, the arrays are summed by ranges of slots, and only sums, of fixed size, are
-collected and broadcast.
+"""LM scoring by cross-entropy difference (Moore and Lewis): a target and a background model, matched in order and
+smoothing and over one vocabulary, the 65,536 UTF-16 code units; each token's loss under the one less its loss
+under the other, averaged, scores a document. Lower is closer to the target.
+
+Both are interpolated modified Kneser-Ney models of order 4. Their counts are exact and cover every document, so
+the tables grow with the corpus; they are counted, discounted and interpolated as Spark tables.
 """
 
 from __future__ import annotations
@@ -13,108 +11,69 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels, slices, strings
-from .words import hashes, mix, split
-
-WORD_BITS, PAIR_BITS = 18, 20
-#: Weight, in tokens, of the word model where the pair model has seen a context little.
-PRIOR = 50.0
-#: Slots of one range in the sum.
-RANGE = 1 << 14
+from .common import documents, labels, slices, stored, strings
+from .quality import MOST_ROWS, UNIFORM, Model, count_ngrams, gram_rows, kneser_ney, probabilities, together, units
 
+SIDES = ("target", "background")
 
-def slots(texts: pa.Array, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of all texts: its slot, the slot of the word before it (of the text's start: slot 0 of a
-    hash of nothing), the slot of the pair; and the texts' offsets."""
-    words, off = split(texts)
-    h = hashes(words, 3)
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    before[off[:-1][off[:-1] < off[1:]]] = 0
-    with np.errstate(over="ignore"):
-        pair = mix(mix(before) * np.uint64(3) + h)
-    return (h >> np.uint64(64 - word_bits)).astype(np.int64), (before >> np.uint64(64 - word_bits)).astype(np.int64), (pair >> np.uint64(64 - pair_bits)).astype(np.int64), off
 
+def matched_models(docs: DataFrame) -> DataFrame:
+    """docs: text and target (boolean). The stored model tables of both sides; the background is every row, the
+    target's included. Rows that repeat count each time; null texts have no units."""
+    by = count_ngrams(docs.select(F.when(F.col("target"), SIDES[0]).otherwise("rest").alias("lang"), "text"))
+    return kneser_ney(by.where(F.col("lang") == SIDES[0]).unionByName(together(by, SIDES[1])))
 
-def counts(docs: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> dict[str, np.ndarray]:
-    """docs: text and target (boolean). Counts of words, contexts and pairs over all rows (background) and over
-    target rows. Rows that repeat count each time; null texts have no words."""
-    sizes = {"word": 1 << word_bits, "context": 1 << word_bits, "pair": 1 << pair_bits}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {(side, name): np.zeros(n, np.int64) for side in ("background", "target") for name, n in sizes.items()}
-        for batch in batches:
-            for part in slices(batch, 0):
-                word, context, pair, off = slots(strings(part.column(0)), word_bits, pair_bits)
-                own = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(off))
-                for name, x in (("word", word), ("context", context), ("pair", pair)):
-                    sums["background", name] += np.bincount(x, minlength=sizes[name])
-                    sums["target", name] += np.bincount(x[own], minlength=sizes[name])
-        for (side, name), x in sums.items():
-            at = [k for k in range(0, len(x), RANGE) if x[k : k + RANGE].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{side} {name}"] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([x[k : k + RANGE].tobytes() for k in at], pa.binary())], ["model", "start", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
-            for model, start, n in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(n, np.int64)
-                sums[model, start] = sums[model, start] + x if (model, start) in sums else x
-        for (model, start), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([start], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["model", "start", "n"])
-
-    schema = "model string, start long, n binary"
-    made = {f"{side} {name}": np.zeros(n, np.int64) for side in ("background", "target") for name, n in sizes.items()}
-    for r in docs.select("text", "target").mapInArrow(count, schema).repartition("model", "start").mapInArrow(add, schema).collect():
-        x = np.frombuffer(r["n"], np.int64)
-        made[r["model"]][r["start"] : r["start"] + len(x)] = x
-    return made
-
-
-def loss(made: dict[str, np.ndarray], side: str, word: np.ndarray, context: np.ndarray, pair: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """-log P(word | word before): the pair model, with the add-one word model as a prior."""
-    one = made[f"{side} word"]
-    p = (one[word] + 1) / (made.get(f"{side} total", one.sum()) + len(one))
-    seen = made[f"{side} context"][context]
-    return -np.log((np.minimum(made[f"{side} pair"][pair], seen) + prior * p) / (seen + prior))
-
-
-def score(docs: DataFrame, made: dict[str, np.ndarray], id_col: str = "doc_id", text: str = "text", prior: float = PRIOR) -> DataFrame:
-    """One row for each row of docs: its id, n_words, ce_target and ce_background (nats a word) and ce_difference;
-    the three are null for texts without words."""
-    word_bits, pair_bits = len(made["target word"]).bit_length() - 1, len(made["target pair"]).bit_length() - 1
-    small = {k: v.astype(np.int32 if v.max(initial=0) < 1 << 31 else np.int64) for k, v in made.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(small | {f"{side} total": int(made[f"{side} word"].sum()) for side in ("target", "background")})
+def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str = "text", most_rows: int = MOST_ROWS) -> DataFrame:
+    """One row for each row of docs: its id, n_units, ce_target and ce_background (nats a unit) and
+    ce_difference; the three are null for texts without units. Models of at most most_rows rows together are
+    broadcast; larger ones stay sharded and are joined with each document's counted n-grams."""
+    asked = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text"))
+    schema = f"id {asked.schema['id'].dataType.simpleString()}, n_units long, ce_target double, ce_background double, ce_difference double"
+    if model.count() > most_rows:
+        return _score_by_joins(asked, model).withColumnRenamed("id", id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(Model.collected(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        models = shared.value
         for batch in batches:
             for part in slices(batch, 1):
-                *where, off = slots(strings(part.column(1)), word_bits, pair_bits)
-                n = np.diff(off)
-                cols = []
-                for side in ("target", "background"):
-                    sums = np.concatenate([[0.0], np.cumsum(loss(model, side, *where, prior))])[off]
-                    cols.append(np.diff(sums) / np.maximum(n, 1))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(c, mask=none) for c in (*cols, cols[0] - cols[1]))], ["id", "n_words", "ce_target", "ce_background", "ce_difference"])
+                codes, n = units(strings(part.column(1)).to_pylist())
+                place, distinct = pd.factorize(codes)
+                ends, cols = np.cumsum(n), []
+                for side in SIDES:
+                    logs = models[side].log_p(distinct) if side in models else np.full(len(distinct), np.log(UNIFORM))
+                    sums = np.concatenate([[0.0], np.cumsum(logs[place])])
+                    cols.append((sums[ends - n] - sums[ends]) / np.maximum(n, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(c, mask=n == 0) for c in (*cols, cols[0] - cols[1]))], ["id", "n_units", "ce_target", "ce_background", "ce_difference"])
 
-    asked = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text"))
-    kind = asked.schema["id"].dataType.simpleString()
-    return asked.mapInArrow(run, f"id {kind}, n_words long, ce_target double, ce_background double, ce_difference double").withColumnRenamed("id", id_col)
+    return asked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _score_by_joins(asked: DataFrame, model: DataFrame) -> DataFrame:
+    rows = stored(asked.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "scored")
+    grams = gram_rows(rows)
+    types = grams.where("gram IS NOT NULL").select("gram").distinct()
+    p = [probabilities(types.select(F.lit(side).alias("model"), "gram"), model).select("gram", (-F.log("p")).alias(side)) for side in SIDES]
+    sums = [F.sum(F.col("c") * F.col(side)).alias(side) for side in SIDES]
+    x = grams.join(p[0].join(p[1], "gram"), "gram", "left").groupBy("row").agg(F.sum("c").alias("n_units"), *sums)
+    mean = [F.try_divide(side, "n_units") for side in SIDES]
+    return rows.join(x, "row").select("id", "n_units", mean[0].alias("ce_target"), mean[1].alias("ce_background"), (mean[0] - mean[1]).alias("ce_difference"))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Target: the documents labelled good and not toxic; background: all documents. Labels join by id, a null
-    id is no target. Without any target every word costs the same under the target model."""
+    id is no target. Without any target every unit costs the same under the target model; an empty table gives
+    no rows."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(labels[id_col].alias("__good")).distinct()
     # a merge join at every size: a broadcast of small label tables would make plans differ as they grow
     rows = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text")).join(good.hint("merge"), F.col("id") == F.col("__good"), "left")
-    return score(docs, counts(rows.select("text", F.col("__good").isNotNull().alias("target"))), id_col, text)
+    return score(docs, matched_models(rows.select("text", F.col("__good").isNotNull().alias("target"))), id_col, text)
 
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
