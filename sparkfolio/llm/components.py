@@ -23,7 +23,7 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: two columns of longs, a and b; loops and repeats are allowed, nulls are not links. Returns node
-    and root, the smallest node it reaches, for every node that has an edge to another. Steps are minima by
+    and root, the smallest node it reaches, for every node that reaches a smaller one. Steps are minima by
     key, summed before the shuffle, and joins whose hot keys Spark splits; each step's edges go to the
     shared folder, so lineage stays short. Labels alone decide when to stop."""
     spark = edges.sparkSession
