@@ -99,7 +99,7 @@ def f08(spark, sf):
     "SELECT k1, k2, k3, k4, entry * (1 - CASE WHEN is_long THEN 1 ELSE -1 END * sl_pct / 100) AS stop, entry * (1 + CASE WHEN is_long THEN 1 ELSE -1 END * 2.5 / 100) AS target FROM trades",
     "stop target",
     tb.TRADES,
-    digits=9,
+    digits=6,
 )
 def f09(spark, sf):
     e, s = F.col("entry"), F.col("is_long")
