@@ -18,31 +18,32 @@ CHUNK = 500
 
 def block_length(x: np.ndarray) -> float:
     """Automatic mean block length of the stationary bootstrap, after Politis and White with the correction of
-    Patton, Politis and White; at least 1."""
-    n = len(x)
-    d = x - x.mean()
-    k = max(5, math.ceil(math.sqrt(math.log10(n))))
-    most = math.ceil(math.sqrt(n)) + k
-    acv = np.array([d[: n - j] @ d[j:] / n if j < n else 0.0 for j in range(most + 1)])
-    if acv[0] <= 0:
+    Patton, Politis and White; at least 1, with no upper bound. Constant returns have 1."""
+    n, d = len(x), x - x.mean()
+    tiny = np.finfo(float).eps * max(1.0, float((d * d).max()))
+    if d @ d / n <= tiny:
         return 1.0
-    rho, bound = np.abs(acv / acv[0]), 2 * math.sqrt(math.log10(n) / n)
-    quiet = [j for j in range(1, most - k + 2) if (rho[j : j + k] < bound).all()]
-    if quiet:
-        m = max(1, quiet[0] - 1)
-    else:
-        loud = np.flatnonzero(rho[1:] > bound) + 1
-        m = int(loud.max()) if len(loud) else 1
-    m = min(2 * m, most)
-    lags = np.arange(-m, m + 1)
-    t = np.abs(lags) / m
-    weight = np.where(t <= 0.5, 1.0, 2 * (1 - t))
-    r = acv[np.abs(lags)]
-    g, spectrum = float((weight * np.abs(lags) * r).sum()), float((weight * r).sum())
-    if spectrum == 0:
-        return 1.0
-    b = ((2 * g**2 / (2 * spectrum**2)) * n) ** (1 / 3) if g else 1.0
-    return float(min(max(b, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+    run = max(5, int(math.log10(n)))
+    most = min(math.ceil(math.sqrt(n)) + run, n - 1)
+    acv = np.array([d[j:] @ d[: n - j] / n for j in range(most + 1)])
+    small = np.abs(acv / acv[0]) < 2 * math.sqrt(math.log10(n) / n)
+    # the first lag from which `run` correlations in a row are small
+    starts = (j for j in range(1, most - run + 2) if small[j : j + run].all())
+    m = min(2 * next(starts, most), most)
+    lag = np.arange(1, m + 1)
+    weighted = np.clip(2 * (1 - lag / m), 0, 1) * acv[1 : m + 1]  # flat top
+    g, spectrum = 2 * float(lag @ weighted), float(acv[0] + 2 * weighted.sum())
+    if abs(spectrum) <= tiny:
+        return 1.0 if abs(g) <= tiny else math.inf
+    return max(1.0, float(np.cbrt(n * (g / spectrum) ** 2)))
+
+
+def common_block_length(series: list[np.ndarray]) -> int:
+    """The largest of the series' block lengths, rounded up; refused beyond a tenth of their length."""
+    longest = max(block_length(x) for x in series)
+    if not longest <= len(series[0]) // 10:
+        raise ValueError(f"a block length of {longest:.4g} needs more than {len(series[0])} days")
+    return math.ceil(longest)
 
 
 def indices(n: int, mean_block: float, replications: int, seed: int, chunk: int = 0) -> np.ndarray:
