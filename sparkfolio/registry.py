@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import base, books, edge, market  # noqa: F401
+from .queries import base, books, edge, inference, market  # noqa: F401
 
 
 def queries() -> dict:
