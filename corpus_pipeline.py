@@ -13,8 +13,8 @@ from sparkfolio.llm import exact_dedup, packing, quality, simhash, substring
 from sparkfolio.llm.common import labels, scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies in this stage: fingerprints of three-word shingles within two bits, as in op7_simhash.
-SHINGLE, RADIUS = 3, 2
+#: Near copies in this stage: five-word shingles with a Jaccard similarity of 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, shingle=SHINGLE, radius=RADIUS).select(COLUMNS)
+    return simhash.keep_one_similar(docs, shingle=SHINGLE, similarity=SIMILARITY).select(COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ hands on a spanning forest of its links, not its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,30 +20,42 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices, stored
 from .components import components
+from .substring import _by_group
+from .words import ranges
 
 #: Fingerprints of a bucket that are compared in one place; larger buckets are dealt as pairs of tiles.
 TILE = 4096
+#: Radius for texts of similarity 0.8, where 10 bits differ and 22 are four standard deviations more.
+WIDE = 22
+#: Shingles that OFTEN of one in SAMPLE texts hold come last in prefixes, the most frequent MOST_COMMON of them.
+SAMPLE, OFTEN, MOST_COMMON = 16, 4, 100_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included: XXH64 with seed 42, bits set in over half."""
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included: XXH64 with seed 42. A shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, ASCII white space only
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included."""
+    return majority(shingles(text, shingle)) if text.split() else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """id and fp (the fingerprint's 64 bits as a long) for each row; null and empty texts have 0."""
 
@@ -172,7 +185,11 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     pairs = list(combinations(range(4), 2))
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.lit(k << 32).cast("long") + F.shiftleft(block[i], 16) + block[j] for k, (i, j) in enumerate(pairs)]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return bucket_links(fps.select("fp", F.explode(F.array(*keys)).alias("key")), radius, tile)
+
+
+def bucket_links(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """rows: fp, key. Returns a, b: for each key a spanning forest of the links among its fingerprints."""
     big = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     usual = rows.join(big, "key", "left_anti").select(F.col("key").alias("bucket"), "fp")
     tiles = F.ceil(F.col("n") * 2 / tile).cast("long")
@@ -221,6 +238,127 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     return docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
 
 
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    ident = docs[id_col].cast("long")
+    return docs.select(ident.alias("id"), F.xxhash64(ident, body).alias("key"), body.alias("text"))
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles, sorted, that one in SAMPLE texts hold OFTEN or more, at most MOST_COMMON. They only order a
+    prefix, which is right with any set of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                each = [np.unique(shingles(x, shingle)) for x in part.column(0).cast(pa.binary()).to_pylist()]
+                hashes, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
+
+
+def _sketches(rows: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """id, key, fp, the SimHash of the distinct shingles, and prefix, the hashes of which two texts of that
+    similarity share one at least: all but as many as they have to share, less one, common shingles last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                fp, prefix = [], []
+                for x in part.column(2).cast(pa.binary()).to_pylist():
+                    h = np.unique(shingles(x, shingle))
+                    last = np.isin(h, common, assume_unique=True) if len(common) else np.zeros(len(h), bool)
+                    most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                    fp.append(majority(h))
+                    prefix.append(np.concatenate([h[~last], h[last]])[:most].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())], ["id", "key", "fp", "prefix"])
+
+    return rows.select("id", "key", "text").mapInArrow(run, "id long, key long, fp long, prefix binary")
+
+
+def _prefix_rows(sketches: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                each = [len(x) // 8 for x in part.column(1).to_pylist()]
+                fp = np.repeat(part.column(0).to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64))], ["fp", "key"])
+
+    return sketches.select("fp", "prefix").mapInArrow(run, "fp long, key long")
+
+
+def similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """For sets of sorted distinct hashes, none empty: the first set that each reaches over links. A link is a
+    Jaccard similarity of at least `similarity` and fingerprints within radius."""
+    size = np.array([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begin, group, mark = np.cumsum(size) - size, np.full(len(sets), -1), np.zeros(len(values), bool)
+    for seed in range(len(sets)):
+        if group[seed] >= 0:
+            continue
+        group[seed], front = seed, [seed]
+        while front:
+            x = front.pop()
+            near_ = (group < 0) & (np.bitwise_count(fp ^ fp[x]) <= radius)
+            rest = np.flatnonzero(near_ & (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x]) - 1e-9))
+            if not len(rest):
+                continue
+            own = code[begin[x] : begin[x] + size[x]]
+            mark[own] = True
+            n = size[rest]
+            both = np.add.reduceat(mark[code[ranges(begin[rest], n)]], np.cumsum(n) - n, dtype=np.int64)
+            mark[own] = False
+            found = rest[both >= similarity * (n + size[x] - both) - 1e-9]
+            group[found] = seed
+            front += found.tolist()
+    return group
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """One row for each row of docs that has a near copy: id, key (of id and text) and component_id, the smallest
+    id that it reaches over links. A link is a Jaccard similarity of the distinct shingles (by their 64-bit
+    hashes) of at least `similarity` between texts whose SimHashes are within radius. Texts as similar share a
+    shingle of their prefixes, so those meet in buckets, of any size, where fingerprints are compared bit-sliced;
+    the groups that come of it are checked shingle by shingle, each in one place. Null ids count as the largest."""
+    rows = _keyed(docs, id_col, text)
+    x = stored(_sketches(rows, shingle, similarity, common_shingles(rows, shingle)), "sketches")
+    root = components(bucket_links(_prefix_rows(x), radius))
+    near_ = x.select("id", "key", "fp").join(root, x["fp"] == root["node"], "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
+    near_ = stored(near_, "roots")
+    asked = near_.join(near_.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root").distinct()
+    asked = asked.select("root", "fp", F.col("id").alias("__i"), F.col("key").alias("__k"))
+    texts = rows.join(asked, (rows["key"] == asked["__k"]) & rows["id"].eqNullSafe(asked["__i"])).select("root", "id", "key", "fp", "text")
+
+    def made(t: pa.RecordBatch) -> pa.RecordBatch:
+        root, fp = t.column(0).to_numpy(), t.column(3).to_numpy().view(np.uint64)
+        top = np.iinfo(np.int64).max
+        ident = t.column(1).fill_null(top).to_numpy()
+        out = np.full(len(root), top)
+        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]])).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            sets = [np.unique(shingles(v or b"", shingle)) for v in t.column(4).slice(a, b - a).cast(pa.binary()).to_pylist()]
+            group = similar(sets, fp[a:b], similarity, radius)
+            least = np.full(b - a, top)
+            np.minimum.at(least, group, ident[a:b])
+            out[a:b] = least[group]
+        return pa.RecordBatch.from_arrays([t.column(1), t.column(2), pa.array(out, mask=out == top)], ["id", "key", "component_id"])
+
+    return texts.repartition("root").sortWithinPartitions("root").mapInArrow(_by_group(made), "id long, key long, component_id long")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """docs with one document of each group of similar_groups(), the one with the smallest id; rows without an id
+    stay only if their whole group has none."""
+    gone = similar_groups(docs, id_col, text, shingle, similarity, radius).where(~F.col("id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("id").alias("__i"), F.col("key").alias("__k")).distinct()
+    ident = docs[id_col].cast("long")
+    key = F.xxhash64(ident, F.coalesce(docs[text].cast("string"), F.lit("")))
+    return docs.join(gone, (key == F.col("__k")) & ident.eqNullSafe(F.col("__i")), "left_anti")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = near_groups(documents(spark, sf_dir))
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

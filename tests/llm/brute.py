@@ -123,3 +123,24 @@ def fewest_bins(sizes, capacity):
 
     place(0, [])
     return best
+
+
+def similar(texts, shingle=5, similarity=0.8):
+    """For each text the number of the first text that it reaches over links of this Jaccard similarity, and all links."""
+    sets, root, pairs = [], list(range(len(texts))), []
+    for t in texts:
+        ws = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(ws[i : i + shingle]) for i in range(max(1, len(ws) - shingle + 1))})
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b) - 1e-9:
+            pairs.append((i, j))
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))], pairs
