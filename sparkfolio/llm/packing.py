@@ -5,6 +5,7 @@ sequences it makes. The plan depends on at most `capacity` distinct lengths, so
 corpus; rows then find their place by their rank among the pieces of equal length.
 """
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window
 from .common import documents, slices, stored, strings
 from .tokens import encoder, vocabulary
 
-#: Search effort of one plan: nodes, fillings tried at a node. They bound time only; every piece is placed.
-NODES, FILLINGS = 40, 6
+#: Search effort of one plan: fillings looked at. It bounds time only; every piece is placed.
+NODES = 200_000
 #: Slots (24 bytes each) that are broadcast; a larger plan is joined instead.
 MOST_SLOTS = 2_000_000
 
@@ -76,72 +77,116 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [g for groups in open_.values() for g in groups]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[list[int]]:
-    """Undominated ways to fill room, least waste first. A filling is dominated if a piece of it, or two of
-    its pieces together, can be exchanged for one larger available piece that still fits."""
-    found: list[list[int]] = []
-    steps = [0]
-
-    def dominated(f: list[int]) -> bool:
-        slack, used = room - sum(f), Counter(f)
-        free = [s for s in sizes if counts[s] > used[s]]
-        sums = sorted({*f, *(a + b for i, a in enumerate(f) for b in f[i + 1 :])})
-        return any(x < s <= x + slack or (s == x and x not in used) for x in sums for s in free)
-
-    def grow(f: list[int], left: int, at: int) -> None:
-        steps[0] += 1
-        if len(found) >= 4 * most or steps[0] > 400:
+def fillings(counts: list[int], there: int, room: int, steps: list[int]) -> Iterator[list[int]]:
+    """Every undominated way to fill room, one at a time, the largest pieces first. counts: pieces by length;
+    there: a bit for each length of which any are left; steps: how many fillings may still be looked at. A filling is dominated if a piece of it, or two of its
+    pieces together, can be exchanged for one larger available piece that still fits."""
+
+    def dominated(f: list[int], slack: int) -> bool:
+        used = Counter(f)
+        free = there
+        for s, n in used.items():
+            if counts[s] <= n:
+                free &= ~(1 << s)
+        sums = {*used, *(x + y for x in used for y in used if x < y or x == y and used[x] > 1)}
+        return any(free >> x + 1 & (1 << slack) - 1 or x not in used and free >> x & 1 for x in sums)
+
+    f: list[int] = []
+    used: Counter = Counter()
+    left, top, spare = room, room, there  # spare: lengths of which some are still left beside f
+    while True:
+        while (s := (spare & (1 << min(left, top) + 1) - 1).bit_length() - 1) > 0:
+            f.append(s)
+            used[s] += 1
+            left, top = left - s, s
+            if used[s] == counts[s]:
+                spare &= ~(1 << s)
+        steps[0] -= 1
+        if steps[0] < 0:
             return
-        fits = [k for k in range(at, len(sizes)) if sizes[k] <= left and counts[sizes[k]] > f.count(sizes[k])]
-        if not fits:
-            if not any(s <= left and counts[s] > f.count(s) for s in sizes):
-                found.append(f)
+        if not (spare & (1 << left + 1) - 1) >> 1 and not dominated(f, left):
+            yield list(f)
+        # the next smaller piece in place of the last one that has one
+        while f:
+            s = f.pop()
+            used[s] -= 1
+            left, spare = left + s, spare | 1 << s
+            if (spare & (1 << s) - 1) >> 1:
+                top = s - 1
+                break
+        else:
             return
-        for k in fits[: most if len(f) < 3 else 2]:
-            grow([*f, sizes[k]], left - sizes[k], k)
-
-    grow([], room, 0)
-    free = [f for f in found[: 4 * most] if not dominated(f)] or found
-    return sorted(free, key=lambda f: room - sum(f))[:most]
 
 
 def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
-    """Branch and bound by bin completion. The incumbent starts as best-fit; each node takes the largest
-    remaining length, completes as many sequences as it can with one undominated filling, bounds the rest by
-    its waste, and offers the best-fit completion as a new incumbent."""
+    """Bin completion, searched by limited discrepancy. The incumbent starts as best-fit. A node takes the
+    largest remaining length and fills its sequences, as many as it can or one only, with an undominated
+    filling; the nth alternative costs n, and paths of cost 0, 1, 2, ... are followed until the bound is met,
+    nothing is left to try, or `nodes` fillings were looked at. What the waste so far, or L2, rules out is left."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if not counts:
         return []
     best = best_fit(counts, capacity)
-    used, goal, left = sum(n for _, n in best), lower_bound(counts, capacity), [nodes]
-
-    def branch(rest: dict[int, int], done: Plan, bins: int) -> None:
-        nonlocal best, used
-        if used <= goal or left[0] <= 0:
-            return
-        left[0] -= 1
-        if not rest:
-            if bins < used:
-                best, used = done, bins
-            return
-        if bins + lower_bound(rest, capacity) >= used:
-            return
-        tail = best_fit(rest, capacity)
-        if (total := bins + sum(n for _, n in tail)) < used:
-            best, used = done + tail, total
-        sizes = sorted(rest, reverse=True)
-        largest = sizes[0]
-        after = {**rest, largest: rest[largest] - 1}
-        for f in fillings([s for s in sizes if after[s]], after, capacity - largest, FILLINGS):
+    used, goal, steps = sum(n for _, n in best), lower_bound(counts, capacity), [nodes]
+    rest = [0] * (capacity + 1)
+    for s, n in counts.items():
+        rest[s] = n
+    few = len(counts) <= 64
+
+    def children(there: int) -> Iterator[tuple[dict[int, int], int]]:
+        largest = there.bit_length() - 1
+        rest[largest] -= 1
+        own = there if rest[largest] else there & ~(1 << largest)
+        now = rest.copy()
+        rest[largest] += 1
+        for f in fillings(now, own, capacity - largest, steps):
             need = Counter([largest, *f])
             times = min(rest[s] // k for s, k in need.items())
-            fewer = {s: v for s in sizes if (v := rest[s] - times * need[s])}
-            branch(fewer, [*done, (tuple(sorted(need.items(), reverse=True)), times)], bins + times)
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * nodes + 1000))
-    branch(counts, [], 0)
+            yield need, times
+            if times > 1:
+                yield need, 1
+
+    for cost in itertools.count():
+        if used <= goal or steps[0] <= 0:
+            break
+        there = sum(1 << s for s in counts)
+        volume, bins, more = sum(s * n for s, n in counts.items()), 0, False
+        done: list[tuple[dict[int, int], int]] = []
+        stack = [(children(there), cost, 0)]  # the node's alternatives, cost left, alternatives taken
+        while stack:
+            ways, left, taken = stack.pop()
+            if len(done) > len(stack):  # back from an alternative: undo it
+                need, times = done.pop()
+                for s, k in need.items():
+                    rest[s] += times * k
+                    there |= 1 << s
+                    volume += s * times * k
+                bins -= times
+            if used <= goal or steps[0] <= 0:
+                continue
+            if taken > left:
+                more = more or next(ways, None) is not None
+                continue
+            if (way := next(ways, None)) is None:
+                continue
+            stack.append((ways, left, taken + 1))
+            need, times = way
+            for s, k in need.items():
+                rest[s] -= times * k
+                volume -= s * times * k
+                if not rest[s]:
+                    there &= ~(1 << s)
+            bins += times
+            done.append(way)
+            if not there:
+                if bins < used:
+                    best, used = [(tuple(sorted(n.items(), reverse=True)), t) for n, t in done], bins
+            if there and bins + -(-volume // capacity) < used and not ((few or len(stack) % 64 == 0) and bins + lower_bound({s: n for s, n in enumerate(rest) if n}, capacity) >= used):
+                stack.append((children(there), left - taken, 0))
+            else:
+                stack.append((iter(()), 0, 0))
+        if not more:
+            break
     return best
 
 
