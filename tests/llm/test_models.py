@@ -71,3 +71,21 @@ def test_held_out_quality(spark):
     n = {(r["quality"], r["keep"]): r["count"] for r in x.where("toxic = 0 OR quality = 0").groupBy("quality", "keep").count().collect()}
     assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0))
     assert n[0, False] >= 0.8 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_all_trusted_documents_set_the_bounds(spark, monkeypatch):
+    """With more labels than train, a rare language keeps a model and bounds of its own, and every trusted document counts."""
+    monkeypatch.setattr(quality, "MAX_TRAIN_DOCS", 40)
+    rows = [(k, "xx" if k < 100 else "yy", f"{'abc' if k < 100 else 'defg'} {k} text" * (1 + k % 3)) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    good = quality.trusted(docs.selectExpr("doc_id AS id", "lang"), labels)
+    n = {r["lang"]: (r["n"], r["fit"]) for r in good.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("held")).alias("fit")).collect()}
+    assert n["xx"][0] == 100 and n["yy"][0] == 1900 and all(20 <= fit <= 60 for _, fit in n.values())
+    scores = quality.score(docs.selectExpr("doc_id AS id", "lang", "text"), quality.train(docs.withColumnRenamed("doc_id", "id").join(good.where("NOT held"), ["id", "lang"], "left_semi")))
+    limits = {r["lang"]: r for r in quality.thresholds(scores, good).collect()}
+    x = sorted(r["log_ppl"] for r in scores.join(good.where("held"), ["id", "lang"]).where("lang = 'yy'").collect())
+    assert limits["yy"]["n_trusted"] == 1900 and limits["yy"]["n_held"] == 1900 - n["yy"][1] == len(x)
+    assert math.isclose(limits["yy"]["high"], (math.floor(1000 * x[math.ceil(0.995 * len(x)) - 1]) + 1) / 1000 + quality.MARGIN, abs_tol=1e-9)
+    got = {r["lang"]: (r["low"], r["high"]) for r in quality.classify(docs, labels).where("n_units = 30 OR n_units > 30").groupBy("lang").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    assert got["xx"] != got["yy"]
