@@ -112,9 +112,40 @@ def test_substring_hot_passages_and_self_overlap(spark):
         texts.append(" ".join([*own[:at], *(common.split() if k % 3 else []), *own[at:], *own[: r.randint(0, 60)]]))
     texts += ["y " * n for n in (34, 35, 36, 100)] + ["a b " * 40, passage(5, 34), passage(6, 35), passage(6, 35)]
     df = spark.createDataFrame([(k, t, "en", "s", 0, "k", 0, 0.0) for k, t in enumerate(texts)], SCHEMA).repartition(5)
-    for size, seed in ((35, 12), (5, 3)):
-        got = [(x["n_words"], x["n_removed"], x["kept_text"]) for x in substring.remove_repeats(df, size=size, seed=seed).orderBy("doc_id").collect()]
-        assert got == brute.repeats(texts, size)
+    for size, seed, most in ((35, 6, 10**5), (35, 6, 3), (5, 3, 10**5), (5, 3, 1)):
+        got = [(x["n_words"], x["n_removed"], x["kept_text"]) for x in substring.remove_repeats(df, size=size, seed=seed, most=most).orderBy("doc_id").collect()]
+        assert got == brute.repeats(texts, size), (size, most)
+
+
+def test_substring_paths(spark):
+    """Two passages whose middles agree: the graph branches at both ends of what they share."""
+    a, b, c = passage(31, 80).split(), passage(32, 80).split(), passage(33, 60).split()
+    texts = [" ".join(x) for x in (a + c + b, a + c + b, b + c + a, b + c + a, passage(34, 50).split())]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    made = substring.chains(substring._keyed(df, "doc_id", "text"))
+    walks = [t.split() for t in texts]
+    edges = {tuple(w[i : i + 35]) for w in walks[:4] for i in range(len(w) - 34)}
+    own = made.where("src IS NOT NULL").collect()
+    assert sum(r["n"] for r in own) == len(edges)
+    paths = substring.compacted(made).select("key", "id", "head").distinct().count()
+    assert paths == 5  # a into c, b into c, c, c into a, c into b
+    assert substring.compacted(made).count() == len(own) > paths
+    for r in substring.occurrences(made).collect():
+        assert walks[r["id"]][r["start"] : r["start"] + r["n"] + 34] == walks[r["rid"]][r["rstart"] : r["rstart"] + r["n"] + 34]
+
+
+def test_substring_rejects_colliding_hashes(spark, monkeypatch):
+    """Nodes that all have the hash 0 make unequal windows of one minimizer look repeated; the words don't."""
+    common = passage(41, 34)
+    df = spark.createDataFrame([(k, f"w{k} {common} z{k}") for k in range(4)], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(df).collect()} == {0}
+
+    def same(h, size):
+        return np.zeros(max(0, len(h) - size + 2), np.uint32)
+
+    monkeypatch.setattr(substring, "node_hashes", same)
+    with pytest.raises(Exception, match="give another salt"):
+        substring.remove_repeats(df).collect()
 
 
 @pytest.mark.parametrize("table_bytes", [64 << 20, 2000])
