@@ -295,6 +295,18 @@ def _meet(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, (a["key"] == b["__k"]) & a["id"].eqNullSafe(b["__i"]), how).drop("__k", "__i")
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """A column of lists of structs: the row of each struct, and its fields. Null lists are empty."""
+    n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), n), lists.flatten().flatten()
+
+
+def _joined(words: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """words[a:b] joined by one space, for each pair."""
+    flat = words.take(pa.array(ranges(a, b - a)))
+    return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(b - a)]), pa.int32()), flat), " ")
+
+
 def _spelled(packed: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     """asked: key, id and spans (start, n) of sources. key, id, start, n and words, joined by one space."""
     x = _meet(packed, asked, "inner")
@@ -304,16 +316,13 @@ def _spelled(packed: DataFrame, asked: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
                 words, off = split(_texts(part.column(2)))
-                lists = part.column(last)
-                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                start, n = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                a, lens = off[row] + start, n + size - 1
+                row, (start, n) = _flat(part.column(last))
+                a = off[row] + start.to_numpy()
+                b = a + n.to_numpy() + size - 1
                 for at in range(0, len(row), 20_000):
                     some = slice(at, at + 20_000)
-                    flat = words.take(pa.array(ranges(a[some], lens[some])))
-                    text = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens[some])]), pa.int32()), flat), " ")
                     pick = pa.array(row[some])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), pa.array(start[some], pa.int32()), pa.array(n[some], pa.int32()), text], ["key", "id", "start", "n", "words"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), start[some], n[some], _joined(words, a[some], b[some])], ["key", "id", "start", "n", "words"])
 
     return x.mapInArrow(run, "key long, id long, start int, n int, words string")
 
@@ -324,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     like others, so their windows repeat; null ids are allowed; an empty table gives no rows. Where the words at
     two places with equal hashes differ the job fails and names the remedy, another salt; nothing wrong is removed."""
     rows = _keyed(docs, id_col, text, carry)
-    found = occurrences(chains(rows, size, seed, salt, most))
+    found = stored(occurrences(chains(rows, size, seed, salt, most)), "spans", "zstd")
     packed = _packed(rows)
     other = ~((F.col("key") == F.col("rkey")) & F.col("id").eqNullSafe(F.col("rid")) & (F.col("start") == F.col("rstart")))
     asked = found.where(other).groupBy(F.col("rkey").alias("key"), F.col("rid").alias("id")).agg(F.collect_set(F.struct(F.col("rstart").alias("start"), "n")).alias("spans"))
@@ -342,14 +351,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for part in slices(batch, 2, 2 << 20):
                 texts = _texts(part.column(2))
                 words, off = split(texts)
-                edge = np.zeros(len(words) + 1, np.int64)
-                for k, spans in enumerate(part.column(last).to_pylist()):
-                    for s in spans or ():
-                        a, b = off[k] + s["start"], off[k] + s["start"] + s["n"] + size - 1
-                        if b > off[k + 1] or s["other"] and " ".join(words[a:b].to_pylist()) != s["words"]:
-                            raise ValueError("windows with different words have equal hashes; give another salt")
-                        edge[a] += 1
-                        edge[b] -= 1
+                row, (start, n, other, want) = _flat(part.column(last))
+                a, b = off[row] + start.to_numpy(), off[row] + start.to_numpy() + n.to_numpy() + size - 1
+                ask = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+                if (b > off[row + 1]).any() or not pa.compute.all(pa.compute.fill_null(pa.compute.equal(_joined(words, a[ask], b[ask]), want.take(pa.array(ask))), False), min_count=0).as_py():
+                    raise ValueError("windows with different words have equal hashes; give another salt")
+                edge = np.bincount(a, minlength=len(words) + 1) - np.bincount(b, minlength=len(words) + 1)
                 keep = np.cumsum(edge)[:-1] == 0
                 places = np.concatenate([[0], np.cumsum(keep)])[off]
                 lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), words.filter(pa.array(keep)))
