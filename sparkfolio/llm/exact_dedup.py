@@ -72,12 +72,13 @@ def _read(path: str) -> Iterator[Record]:
 
 def grace(records: Iterable[Record], table_bytes: int = TABLE_BYTES, level: int = 0) -> Iterator[Record]:
     """One record for each distinct content. Memory: one table; beyond it the bucket goes to FANOUT spill
-    files by the next bits of the hash. Contents that share all 64 bits end in one table, still compared whole."""
+    files by the next bits of the hash. A bucket with one content stays, however long that is; contents that
+    share all 64 bits end in one table, still compared whole."""
     records = iter(records)
     table = OpenTable()
     for record in records:
         table.add(record)
-        if table.bytes > table_bytes and level < 15:
+        if table.bytes > table_bytes and len(table.rows) > 1 and level < 15:
             break
     else:
         yield from map(tuple, table.rows)
@@ -146,27 +147,33 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tab
     return local.repartition("h").mapInArrow(run(True), "text_sha256 string, keep_id long, ties long, group_size long")
 
 
-def mark_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """One row for each row of docs: its id, the carried columns, keep_id, group_size, kept, ties and
-    text_sha256. The row with the smallest id stays; ids that are null come last; rows that repeat that
-    smallest id with an equal text are all marked as kept, and counted in ties. The verdicts join by the
-    content's SHA-256, a join whose hot keys Spark splits."""
+def _marked(docs: DataFrame, id_col: str, text: str, carry: tuple[str, ...], table_bytes: int) -> DataFrame:
+    """id, the carried columns as c_0, c_1, ... and the verdict of each row of docs."""
     groups = copy_groups(docs, id_col, text, table_bytes)
-    rows = docs.select(docs[id_col].alias("__id"), *(docs[c].alias(f"__c_{c}") for c in carry), F.sha2(normalised(docs[text]), 256).alias("text_sha256"))
+    rows = docs.select(docs[id_col].alias("id"), *(docs[c].alias(f"c_{k}") for k, c in enumerate(carry)), F.sha2(normalised(docs[text]), 256).alias("text_sha256"))
     x = rows.join(groups, "text_sha256", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return x.select(
-        F.col("__id").alias(id_col), *(F.col(f"__c_{c}").alias(c) for c in carry), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("__id").eqNullSafe(keep).alias("kept"), F.coalesce("ties", F.lit(1)).cast("long").alias("ties"), "text_sha256",
+        "id", *(f"c_{k}" for k in range(len(carry))), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"), F.coalesce("ties", F.lit(1)).cast("long").alias("ties"), "text_sha256",
     )
 
 
+def mark_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """One row for each row of docs: its id, keep_id, group_size, kept, ties and text_sha256. The row with the
+    smallest id stays; ids that are null come last; rows that repeat that smallest id with an equal text are all
+    marked as kept, and counted in ties. The verdicts join by the content's SHA-256, a join whose hot keys Spark
+    splits. Other columns of docs, whatever their names, are not read."""
+    return _marked(docs, id_col, text, (), table_bytes).withColumnRenamed("id", id_col)
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without copies: exactly one row of each group stays, with docs' own columns."""
     rest = tuple(c for c in docs.columns if c != id_col)
-    x = mark_copies(docs, id_col, text, rest).where("kept")
-    tied = x.where("ties > 1").dropDuplicates(["text_sha256"])
-    return x.where("ties = 1").unionByName(tied).select(*docs.columns)
+    x = _marked(docs, id_col, text, rest, TABLE_BYTES).where("kept")
+    x = x.where("ties = 1").unionByName(x.where("ties > 1").dropDuplicates(["text_sha256"]))
+    place = {c: f"c_{k}" for k, c in enumerate(rest)} | {id_col: "id"}
+    return x.select(*(F.col(place[c]).alias(c) for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,56 +32,96 @@ def to_bmp(samples: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI IiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def _netpbm(data: bytes) -> np.ndarray:
-    kind, fields, at = data[1] - 48, [], 2
-    need = 2 if kind in (1, 4) else 3
+def _numbers(data: bytes, at: int, need: int) -> tuple[list[int], int]:
+    """So many numbers of a Netpbm header from place `at`, comments skipped, and the place after them."""
+    fields: list[int] = []
     while len(fields) < need:
         while data[at : at + 1].isspace() or data[at : at + 1] == b"#":
             at = data.index(b"\n", at) + 1 if data[at : at + 1] == b"#" else at + 1
         end = at
-        while data[end : end + 1].isdigit():
+        while data[end : end + 1].isdigit() and end - at < 10:
             end += 1
-        if end == at:
-            raise ValueError("a Netpbm header lacks a number")
+        if end == at or data[end : end + 1].isdigit():
+            raise ValueError("a Netpbm header lacks a number of at most ten digits")
         fields.append(int(data[at:end]))
         at = end
-    width, height, most = fields[0], fields[1], fields[2] if need == 3 else 1
-    depth = 3 if kind in (3, 6) else 1
-    n = width * height * depth
-    if kind in (2, 3):
-        x = np.array(data[at:].split()[:n], np.int64)
-    elif kind == 1:
+    return fields, at
+
+
+def _netpbm(data: bytes) -> np.ndarray:
+    kind = data[1] - 48
+    bitmap, plain, depth = kind in (1, 4), kind < 4, 3 if kind in (3, 6) else 1
+    fields, at = _numbers(data, 2, 2 if bitmap else 3)
+    width, height, most = fields[0], fields[1], 1 if bitmap else fields[2]
+    if not 0 < most < 65536:
+        raise ValueError(f"{most} isn't a greatest Netpbm sample")
+    n, wide = width * height * depth, 2 if most > 255 else 1
+    if len(data) - at < (n if plain else height * ((width + 7) // 8) if bitmap else n * wide):
+        raise ValueError("a Netpbm raster is short")
+    if plain and bitmap:
         x = 49 - np.frombuffer(bytes(c for c in data[at:] if c in b"01")[:n], np.uint8).astype(np.int64)
-    elif kind == 4:
+    elif plain:
+        x = np.array(data[at:].split()[:n], np.int64)
+    elif bitmap:
         rows = np.frombuffer(data, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
         x = 1 - np.unpackbits(rows, axis=1)[:, :width].reshape(-1).astype(np.int64)
     else:
-        x = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
+        x = np.frombuffer(data, ">u2" if wide == 2 else np.uint8, n, at + 1)
     if len(x) < n:
         raise ValueError("a Netpbm raster is short")
+    if n and most != 255 and not bitmap or plain and n:
+        if x.min() < 0 or x.max() > most:
+            raise ValueError("a Netpbm sample is out of range")
     if most != 255:
         x = (x.astype(np.int64) * 255 + most // 2) // most
     return x.astype(np.uint8).reshape((height, width, 3) if depth == 3 else (height, width))
 
 
+def _spread(x: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of x under mask as samples from 0 to 255."""
+    if not mask:
+        return np.zeros(x.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((x & mask) >> low).astype(np.int64) * 255 // most).astype(np.uint8)
+
+
 def _bmp(data: bytes) -> np.ndarray:
-    start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    start, header = struct.unpack_from("<II", data, 10)
+    if header == 12:
+        width, height, _, bits = struct.unpack_from("<HHHH", data, 18)
+        packed, used, entry = 0, 0, 3
+    elif header >= 40:
+        width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+        used, entry = struct.unpack_from("<I", data, 46)[0], 4
+    else:
+        raise ValueError(f"a BMP header of {header} bytes isn't read")
+    if bits not in (1, 4, 8, 16, 24, 32) or packed not in (0, 3) or packed == 3 and bits < 16:
         raise ValueError(f"a BMP of {bits} bits with compression {packed} isn't read")
     flip, height = height > 0, abs(height)
+    if width <= 0 or not height:
+        raise ValueError("a BMP has no pixels")
     stride = (bits * width + 31) // 32 * 4
+    if len(data) - start < stride * height:
+        raise ValueError("a BMP raster is short")
     rows = np.frombuffer(data, np.uint8, stride * height, start).reshape(height, stride)
-    if bits == 8:
-        used = struct.unpack_from("<I", data, 46)[0] or 256
-        palette = np.frombuffer(data, np.uint8, 4 * used, 14 + header).reshape(used, 4)[:, 2::-1]
-        x = palette[rows[:, :width]]
+    if bits <= 8:
+        palette = np.frombuffer(data, np.uint8, entry * (used or 1 << bits), 14 + header).reshape(-1, entry)[:, 2::-1]
+        each = np.unpackbits(rows, axis=1).reshape(height, -1, bits) @ (1 << np.arange(bits)[::-1])
+        x = palette[each[:, :width]]
+    elif packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        cells = np.ascontiguousarray(rows[:, : bits // 8 * width]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        x = np.stack([_spread(cells, m) for m in masks], axis=2)
     else:
         x = rows[:, : bits // 8 * width].reshape(height, width, bits // 8)[:, :, 2::-1]
     return np.ascontiguousarray(x[::-1] if flip else x)
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Netpbm P1-P6 or BMP (8, 24, 32 bits, either row order) to uint8, height x width (x 3)."""
+    """Netpbm P1-P6 or BMP (1, 4, 8, 16, 24, 32 bits, masks, either row order, not run-length encoded) to uint8,
+    height x width (x 3). ValueError, struct.error or IndexError for anything else, before memory beyond the
+    size of the data is taken."""
     if data[:2] == b"BM":
         return _bmp(data)
     if len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456":
@@ -89,28 +129,40 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, exact for fractional borders: the integral image is read at real-valued
-    corners by linear interpolation. Float64; enlarges too."""
-    x = image.astype(np.float64)
-    sums = np.zeros((x.shape[0] + 1, x.shape[1] + 1, *x.shape[2:]))
-    np.cumsum(np.cumsum(x, axis=0), axis=1, out=sums[1:, 1:])
+def _corners(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The m + 1 borders of equal areas over n cells: the cells before each, and the share of the next one."""
+    p = np.arange(m + 1) * (n / m)
+    k = np.minimum(p.astype(np.int64), n - 1)
+    used = np.unique(np.concatenate([k, k + 1]))
+    return used, np.searchsorted(used, k), p - k
 
-    def at(sums: np.ndarray, n: int, m: int, axis: int) -> np.ndarray:
-        p = np.arange(m + 1) * (n / m)
-        k = np.minimum(p.astype(np.int64), n - 1)
-        w = (p - k).reshape([-1 if i == axis else 1 for i in range(sums.ndim)])
-        return np.take(sums, k, axis) * (1 - w) + np.take(sums, k + 1, axis) * w
 
-    s = at(at(sums, x.shape[0], height, 0), x.shape[1], width, 1)
-    area = (x.shape[0] / height) * (x.shape[1] / width)
-    return (s[1:, 1:] - s[:-1, 1:] - s[1:, :-1] + s[:-1, :-1]) / area
+def _integral(x: np.ndarray, used: np.ndarray, axis: int) -> np.ndarray:
+    """The integral along an axis, read at the places `used` only: sums of the cells before each."""
+    pad = np.zeros([1 if i == axis else n for i, n in enumerate(x.shape)])
+    cuts = used[:-1] if used[0] == 0 else np.concatenate([[0], used[:-1]])
+    sums = np.cumsum(np.add.reduceat(x, cuts, axis=axis, dtype=np.float64), axis=axis)
+    return np.concatenate([pad, sums], axis=axis) if used[0] == 0 else sums
+
+
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal areas, exact for fractional borders: the integral image is read at real-valued
+    corners by linear interpolation. Float64; enlarges too. The integral is kept only at the rows and columns
+    beside corners, so memory is that of the result and of one row for each of its borders."""
+    s = image
+    for axis, m in ((0, height), (1, width)):
+        n = s.shape[axis]
+        used, k, w = _corners(n, m)
+        sums = _integral(s, used, axis)
+        w = w.reshape([-1 if i == axis else 1 for i in range(sums.ndim)])
+        s = np.diff(np.take(sums, k, axis) * (1 - w) + np.take(sums, k + 1, axis) * w, axis=axis)
+    return s / ((image.shape[0] / height) * (image.shape[1] / width))
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits, 16 hex digits: whether each of 8 x 9 grey areas is darker than its right neighbour."""
-    grey = image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    small = np.round(area_resize(grey, 8, 9), 6)
+    small = area_resize(image, 8, 9)
+    small = np.round(small if image.ndim == 2 else small @ np.array([0.299, 0.587, 0.114]), 6)
     return np.packbits((small[:, :-1] < small[:, 1:]).reshape(-1)).tobytes().hex()
 
 
@@ -142,7 +194,7 @@ def media_tiles(df: DataFrame, media: str = "media", size: int = 16) -> DataFram
                 raise ValueError("an empty raster")
             tile = np.floor(area_resize(x, size, size) + 0.5).clip(0, 255).astype(np.uint8)
             return x.shape[0], x.shape[1], 1 if x.ndim == 2 else 3, x.tobytes(), to_npy(tile), difference_hash(x), None
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, ArithmeticError, struct.error, IndexError) as e:
             return (None,) * 6 + (str(e),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

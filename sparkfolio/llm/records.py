@@ -113,7 +113,9 @@ def write_records(docs: DataFrame, to: str, vocab: str, end_id: int | None = 1,
 
     manifest = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("path", pa.string()), ("index_path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    return stored(rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, _MANIFEST), "manifest")
+    # the second key, which orders as the text does, splits an id, or null, that many rows share
+    rows = rows.repartitionByRange("id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+    return stored(rows.mapInArrow(run, _MANIFEST), "manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:

@@ -56,17 +56,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return majority(shingles(text, shingle)) if text.split() else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """id and fp (the fingerprint's 64 bits as a long) for each row; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, *carry: str) -> DataFrame:
+    """id, fp (the fingerprint's 64 bits as a long) and carried longs for each row; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 fp = np.array([fingerprint(x or b"", shingle) for x in part.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], ["id", "fp", *carry])
 
-    asked = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    return asked.mapInArrow(run, "id long, fp long")
+    asked = docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text"), *carry)
+    return asked.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", *carry)))
 
 
 def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -218,30 +218,54 @@ def bucket_links(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return usual.unionByName(split).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row for each row of docs: its id, fp and component_id, the smallest id of the rows that it reaches
-    over links of at most radius bits, its own included. Equal fingerprints are one node, so copies cost one
-    row. Null ids stay null and count as the largest; repeated rows each get their row; an empty table gives none."""
-    fp = stored(fingerprints(docs, id_col, text, shingle), "fingerprints")
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    ident = docs[id_col].cast("long")
+    return docs.select(ident.alias("id"), F.xxhash64(ident, body).alias("key"), body.alias("text"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """id, key (of id and text), fp, root (the component) and component_id for each row."""
+    rows = _keyed(docs, id_col, text)
+    fp = stored(fingerprints(rows, "id", "text", shingle, "key"), "fingerprints")
     nodes = fp.groupBy("fp").agg(F.min("id").alias("least"))
     root = components(links(nodes.select("fp"), radius))
     named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fp.join(named.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return fp.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest id; rows without an id
-    stay only if their whole group has none."""
-    kept = near_groups(docs, id_col, text, shingle, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
-    return docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row for each row of docs: its id, fp and component_id, the smallest id of the rows that it reaches
+    over links of at most radius bits, its own included. Equal fingerprints are one node, so copies cost one
+    row. Null ids stay null and count as the largest; repeated rows each get their row; an empty table gives none."""
+    return _grouped(docs, id_col, text, shingle, radius).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str, text: str) -> DataFrame:
+    """docs without the rows named in gone (id, key), and one row only of those in repeated (id, key), whose id and
+    text come more than once."""
     ident = docs[id_col].cast("long")
-    return docs.select(ident.alias("id"), F.xxhash64(ident, body).alias("key"), body.alias("text"))
+    key = F.xxhash64(ident, F.coalesce(docs[text].cast("string"), F.lit("")))
+
+    def named(df: DataFrame):
+        x = df.select(F.col("id").alias("__i"), F.col("key").alias("__k"))
+        return x, (key == F.col("__k")) & ident.eqNullSafe(F.col("__i"))
+
+    left = docs.join(*named(gone), "left_anti")
+    again = left.join(*named(repeated), "left_semi").dropDuplicates([id_col, text])
+    return left.join(*named(repeated), "left_anti").unionByName(again)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs with exactly one row of each near-duplicate group: the one with the smallest id, null ids last; of
+    several rows with that id the one whose id and text hash lowest, and one of those that are equal in both."""
+    x = stored(_grouped(docs, id_col, text, shingle, radius).select("id", "key", "root"), "grouped")
+    best = x.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    gone = x.join(best, "root").where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))))
+    repeated = x.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return _without(docs, gone.select("id", "key").distinct(), repeated, id_col, text)
 
 
 def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -318,8 +342,8 @@ def similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: i
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """One row for each row of docs that has a near copy: id, key (of id and text) and component_id, the smallest
-    id that it reaches over links. A link is a Jaccard similarity of the distinct shingles (by their 64-bit
+    """One row for each row of docs that may have a near copy: id, key (of id and text), component_id, the smallest
+    id that it reaches over links, and stays, true where id and key are the least of its component. A link is a Jaccard similarity of the distinct shingles (by their 64-bit
     hashes) of at least `similarity` between texts whose SimHashes are within radius. Texts as similar share a
     shingle of their prefixes, so those meet in buckets, of any size, where fingerprints are compared bit-sliced;
     the groups that come of it are checked shingle by shingle, each in one place. Null ids count as the largest."""
@@ -335,28 +359,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def made(t: pa.RecordBatch) -> pa.RecordBatch:
         root, fp = t.column(0).to_numpy(), t.column(3).to_numpy().view(np.uint64)
         top = np.iinfo(np.int64).max
-        ident = t.column(1).fill_null(top).to_numpy()
-        out = np.full(len(root), top)
+        ident, key = t.column(1).fill_null(top).to_numpy(), t.column(2).to_numpy()
+        out, stays = np.full(len(root), top), np.zeros(len(root), bool)
         cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]])).tolist()
         for a, b in zip(cuts, cuts[1:]):
             sets = [np.unique(shingles(v or b"", shingle)) for v in t.column(4).slice(a, b - a).cast(pa.binary()).to_pylist()]
             group = similar(sets, fp[a:b], similarity, radius)
-            least = np.full(b - a, top)
-            np.minimum.at(least, group, ident[a:b])
-            out[a:b] = least[group]
-        return pa.RecordBatch.from_arrays([t.column(1), t.column(2), pa.array(out, mask=out == top)], ["id", "key", "component_id"])
+            order = np.lexsort((key[a:b], ident[a:b]))
+            least = np.full(b - a, -1)
+            least[group[order[::-1]]] = order[::-1]  # the last one written is the first in order
+            of = a + least[group]
+            out[a:b] = ident[of]
+            stays[a:b] = (ident[a:b] == ident[of]) & (key[a:b] == key[of])
+        return pa.RecordBatch.from_arrays([t.column(1), t.column(2), pa.array(out, mask=out == top), pa.array(stays)], ["id", "key", "component_id", "stays"])
 
-    return texts.repartition("root").sortWithinPartitions("root").mapInArrow(_by_group(made), "id long, key long, component_id long")
+    return texts.repartition("root").sortWithinPartitions("root").mapInArrow(_by_group(made), "id long, key long, component_id long, stays boolean")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """docs with one document of each group of similar_groups(), the one with the smallest id; rows without an id
-    stay only if their whole group has none."""
-    gone = similar_groups(docs, id_col, text, shingle, similarity, radius).where(~F.col("id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("id").alias("__i"), F.col("key").alias("__k")).distinct()
-    ident = docs[id_col].cast("long")
-    key = F.xxhash64(ident, F.coalesce(docs[text].cast("string"), F.lit("")))
-    return docs.join(gone, (key == F.col("__k")) & ident.eqNullSafe(F.col("__i")), "left_anti")
+    """docs with exactly one row of each group of similar_groups(): the one with the smallest id, null ids last; of
+    several rows with that id the one whose id and text hash lowest, and one of those that are equal in both."""
+    x = stored(similar_groups(docs, id_col, text, shingle, similarity, radius), "similar")
+    repeated = x.where("stays").groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return _without(docs, x.where("NOT stays").select("id", "key").distinct(), repeated, id_col, text)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

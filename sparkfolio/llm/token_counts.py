@@ -74,15 +74,18 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int], scope: str = "all") -> DataFrame:
-    """limit, n_longer, truncated_tokens for any limits, present as lengths or not."""
-    spark = sums.sparkSession
-    s = sums.where(F.col("scope") == scope)
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    # truncated(L) = total - sum over longer lengths of n * (length - L); the histogram is small and the limits are few
-    joined = asked.join(F.broadcast(s.select("length", "n_docs")), F.col("length") > F.col("limit"), "left")
-    cut = joined.groupBy("limit").agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_longer"), F.coalesce(F.sum(F.col("n_docs") * (F.col("length") - F.col("limit"))), F.lit(0)).alias("cut"))
-    total = s.agg(F.coalesce(F.sum(F.col("length") * F.col("n_docs")), F.lit(0)).alias("total"))
-    return cut.join(F.broadcast(total)).select("limit", "n_longer", (F.col("total") - F.col("cut")).alias("truncated_tokens"))
+    """limit, n_longer, truncated_tokens for any limits, present as lengths or not, read off the suffix sums at the
+    next present length: all documents that exceed the limit reach it, so each loses the difference and no more.
+    Beyond the longest document nothing is cut. A scope without documents has zeros."""
+    after = [F.min(F.when(F.col("length") > x, F.struct("length", "n_docs", "n_longer", "truncated_tokens"))).alias(f"x{k}") for k, x in enumerate(limits)]
+    found = sums.where(F.col("scope") == scope).agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"), *after)
+    rows = []
+    for k, x in enumerate(limits):
+        at = F.col(f"x{k}")
+        longer = F.coalesce(at["n_longer"] + at["n_docs"], F.lit(0)).cast("long")
+        cut = F.when(at.isNull(), F.col("total")).otherwise(at["truncated_tokens"] - (at["length"] - x) * longer)
+        rows.append(F.struct(F.lit(x).cast("long").alias("limit"), longer.alias("n_longer"), cut.cast("long").alias("truncated_tokens")))
+    return found.select(F.inline(F.array(*rows)))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:

@@ -30,8 +30,9 @@ def test_simhash(request, which):
     want = [(i, f, None if c == last else c) for (i, f), c in zip(rows, least)]
     got = [(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_groups(df).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
-    kept = Counter(r["doc_id"] for r in simhash.keep_one(df).collect())
-    assert set(kept) == {c for _, _, c in want}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == sorted((c is None, c) for c in {c for _, _, c in want})
 
 
 @pytest.mark.parametrize("tile", [4096, 64, 16])
@@ -174,3 +175,25 @@ def test_empty_tables(empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
     assert substring.remove_repeats(empty).count() == 0
     assert exact_dedup.mark_copies(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    t, u, other = passage(51, 80), passage(51, 79), passage(52, 60)
+    rows = [(5, t, "a"), (5, u, "b"), (2, u, "c"), (None, t, "d"), (2, u, "e"), (2, t, "f"), (9, other, "g"), (9, other, "h"), (None, None, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    for left in (simhash.keep_one(df), simhash.keep_one_similar(df)):
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in left.collect())
+        assert got == [-1, 2, 9] and left.columns == df.columns
+
+
+def test_columns_that_clash(spark):
+    names = ["kept", "ties", "keep_id", "group_size", "text_sha256", "text", "id", "key", "h", "n"]
+    df = spark.createDataFrame([(1, *["x"] * 10), (2, *["x"] * 10), (3, *["y"] * 10)], ["doc_id", *names])
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(df).collect()) == [1, 3]
+    assert exact_dedup.drop_copies(df).columns == df.columns and exact_dedup.mark_copies(df).count() == 3
+    assert substring.remove_repeats(df, carry=("kept", "key", "id", "n")).count() == 3
+
+
+def test_grace_leaves_one_large_content_in_place(monkeypatch):
+    monkeypatch.setattr(exact_dedup.tempfile, "TemporaryDirectory", None)
+    assert [r[4] for r in exact_dedup.grace(iter([(7, b"x" * 1000, 1, 1, 1)] * 3), table_bytes=10)] == [3]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -79,14 +80,45 @@ def test_area_resize_is_exact():
         assert np.allclose(media.area_resize(x, *to), plain_area(x, *to))
 
 
+def test_difference_hash():
+    r = np.random.default_rng(3)
+    for shape in ((16, 18), (16, 18, 3), (3, 64, 3), (40, 9)):
+        x = r.integers(0, 256, shape, dtype=np.uint8)
+        planes = [x] if x.ndim == 2 else [x[:, :, k] for k in range(3)]
+        weights = [1.0] if x.ndim == 2 else [0.299, 0.587, 0.114]
+        small = np.round(sum(w * plain_area(p, 8, 9) for w, p in zip(weights, planes)), 6)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        assert media.difference_hash(x) == f"{int(bits, 2):016x}"
+
+
+def bmp(bits, rows, palette=b"", packed=0, extra=b"", header=40):
+    """A BMP of one row of bytes."""
+    head = struct.pack("<IiiHHIIiiII", 40, 4, 1, 1, bits, packed, len(rows), 0, 0, len(palette) // 4, 0) if header == 40 else struct.pack("<IHHHH", 12, 4, 1, 1, bits)
+    start = 14 + len(head) + len(extra) + len(palette)
+    return struct.pack("<2sIHHI", b"BM", start + len(rows), 0, 0, start) + head + extra + palette + rows
+
+
+def test_bmp_forms():
+    two, sixteen = bytes([1, 2, 3, 0, 4, 5, 6, 0]), b"".join(bytes([k, k + 1, k + 2, 0]) for k in range(16))
+    assert media.decode(bmp(1, b"\xa0\0\0\0", two)).tolist() == [[[6, 5, 4], [3, 2, 1], [6, 5, 4], [3, 2, 1]]]
+    assert media.decode(bmp(4, b"\x1f\x20\0\0", sixteen)).tolist() == [[[3, 2, 1], [17, 16, 15], [4, 3, 2], [2, 1, 0]]]
+    core = b"".join(bytes([k, k, k]) for k in range(256))
+    assert media.decode(bmp(8, b"\x05\x06\x07\x08", core, header=12))[0, :, 0].tolist() == [5, 6, 7, 8]
+    assert media.decode(bmp(16, struct.pack("<4H", 0x7FFF, 0x7C00, 0x03E0, 0x001F))).tolist() == [[[255] * 3, [255, 0, 0], [0, 255, 0], [0, 0, 255]]]
+    masks = struct.pack("<III", 0xF800, 0x07E0, 0x001F)
+    assert media.decode(bmp(16, struct.pack("<4H", 0xFFFF, 0xF800, 0x07E0, 0x001F), packed=3, extra=masks)).tolist() == [[[255] * 3, [255, 0, 0], [0, 255, 0], [0, 0, 255]]]
+    masks = struct.pack("<III", 0xFF000000, 0xFF0000, 0xFF00)
+    assert media.decode(bmp(32, struct.pack("<4I", 0x01020300, 0, 0, 0xFFFFFF00), packed=3, extra=masks))[0, 0].tolist() == [1, 2, 3]
+
+
 def test_media_forms_and_damage(spark):
     x = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
     assert (media.decode(media.to_ppm(x)) == x).all() and (media.decode(media.to_bmp(x)) == x).all()
     assert (media.decode(b"P2\n# note\n2 2\n255\n0 1\n2 3\n") == [[0, 1], [2, 3]]).all()
     assert (media.decode(b"P4\n9 1\n\x80\x80") == [[0, 255, 255, 255, 255, 255, 255, 255, 0]]).all()
-    bad = spark.createDataFrame([(1, None), (2, b"P6\n9 9\n255\nxx"), (3, b"junk"), (4, b"")], "id long, media binary")
+    bad = spark.createDataFrame([(1, None), (2, b"P6\n9 9\n255\nxx"), (3, b"junk"), (4, b""), (5, b"P5\n99999999999 99999999999\n255\n"), (6, b"P5\n9999999999 9999999999\n255\n"), (7, b"P5\n1 1\n0\n\0"), (8, b"P2\n1 1\n255\n-5\n"), (9, b"P5\n1 1\n70000\n\0\0"), (10, b"P2\n1 1\n3\n7\n"), (11, b"P2\n1 1\n9\nx\n"), (12, b"BM" + bytes(60)), (13, b"P6\n0 0\n255\n"), (14, bmp(8, b"1234", packed=1))], "id long, media binary")
     got = {r["id"]: r for r in media.media_tiles(bad).collect()}
-    assert all(got[k]["samples"] is None for k in got) and got[1]["media_error"] is None and all(got[k]["media_error"] for k in (2, 3, 4))
+    assert all(got[k]["samples"] is None for k in got) and got[1]["media_error"] is None and all(got[k]["media_error"] for k in range(2, 15))
 
 
 @pytest.mark.parametrize("which", ["edge", "docs"])
