@@ -16,26 +16,38 @@ SEED, REPLICATIONS = 20260719, 10_000
 CHUNK = 500
 
 
+def autocovariances(x: np.ndarray, most: int) -> np.ndarray:
+    """Of lags 0 to most, divided by the length."""
+    d = x - x.mean()
+    return np.correlate(d, d, "full")[len(x) - 1 : len(x) + most] / len(x)
+
+
+def _memory(rho: np.ndarray, n: int, run: int) -> int:
+    """The lag after which `run` correlations in a row are insignificant; the last one if none is."""
+    small = np.abs(rho[1:]) < 2 * np.sqrt(np.log10(n) / n)
+    if len(small) < run:
+        return len(rho) - 1
+    calm = np.lib.stride_tricks.sliding_window_view(small, run).all(axis=1)
+    return int(calm.argmax()) + 1 if calm.any() else len(rho) - 1
+
+
 def block_length(x: np.ndarray) -> float:
-    """Automatic mean block length of the stationary bootstrap, after Politis and White with the correction of
-    Patton, Politis and White; at least 1, with no upper bound. Constant returns have 1."""
-    n, d = len(x), x - x.mean()
-    tiny = np.finfo(float).eps * max(1.0, float((d * d).max()))
-    if d @ d / n <= tiny:
+    """Mean block length of the stationary bootstrap: (G / g)^(2/3) n^(1/3), where g is the spectrum at 0 and G its
+    first moment, both through the flat-top window of twice the memory (Politis and White 2004, corrected by Patton,
+    Politis and White 2009). At least 1, with no upper bound; infinite where the spectrum vanishes and its moment
+    doesn't; 1 for constant returns."""
+    n = len(x)
+    if np.ptp(x) == 0:
         return 1.0
-    run = max(5, int(math.log10(n)))
-    most = min(math.ceil(math.sqrt(n)) + run, n - 1)
-    acv = np.array([d[j:] @ d[: n - j] / n for j in range(most + 1)])
-    small = np.abs(acv / acv[0]) < 2 * math.sqrt(math.log10(n) / n)
-    # the first lag from which `run` correlations in a row are small
-    starts = (j for j in range(1, most - run + 2) if small[j : j + run].all())
-    m = min(2 * next(starts, most), most)
-    lag = np.arange(1, m + 1)
-    weighted = np.clip(2 * (1 - lag / m), 0, 1) * acv[1 : m + 1]  # flat top
-    g, spectrum = 2 * float(lag @ weighted), float(acv[0] + 2 * weighted.sum())
-    if abs(spectrum) <= tiny:
-        return 1.0 if abs(g) <= tiny else math.inf
-    return max(1.0, float(np.cbrt(n * (g / spectrum) ** 2)))
+    run = max(5, int(np.log10(n)))
+    most = min(n - 1, run + int(np.ceil(np.sqrt(n))))
+    gamma = autocovariances(x, most)
+    width = min(most, 2 * _memory(gamma / gamma[0], n, run))
+    k = np.arange(-width, width + 1)
+    window = np.clip(2 - 2 * np.abs(k) / width, 0, 1) * gamma[np.abs(k)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.float64(np.abs(k) @ window) / window.sum()
+    return 1.0 if np.isnan(ratio) else max(1.0, float(np.cbrt(n * ratio * ratio)))
 
 
 def common_block_length(series: list[np.ndarray]) -> int:
@@ -58,9 +70,10 @@ def indices(n: int, mean_block: float, replications: int, seed: int, chunk: int
     return out.T
 
 
-def bootstrap(spark: SparkSession, matrix: np.ndarray, mean_block: float, f: Callable[[np.ndarray], np.ndarray], names: list[str], replications: int = REPLICATIONS, seed: int = SEED) -> DataFrame:
-    """rep and, for each name, one of f's numbers for the resampled matrix (days x candidates, a small table, sent
-    once). Chunks of replications are the parallel unit and carry their own seeds, so tasks can be run again."""
+def bootstrap(spark: SparkSession, matrix: np.ndarray, mean_block: float, replications: int = REPLICATIONS, seed: int = SEED) -> DataFrame:
+    """chunk, size and means: each replication's column means of the resampled matrix (days x candidates, a small
+    table, sent once), as float64 bytes, row by row. Chunks carry their own seeds, so tasks can be run again. The
+    order of draws is this package's own: no published sequence is repeated."""
     shared, n = spark.sparkContext.broadcast(matrix), len(matrix)
     sizes = [(c, min(CHUNK, replications - c * CHUNK)) for c in range(math.ceil(replications / CHUNK))]
 
@@ -68,11 +81,26 @@ def bootstrap(spark: SparkSession, matrix: np.ndarray, mean_block: float, f: Cal
         for pdf in it:
             for c, size in zip(pdf["chunk"], pdf["size"]):
                 rows = indices(n, mean_block, size, seed, int(c))
-                got = np.stack([f(shared.value[r]) for r in rows])
-                yield pd.DataFrame({"rep": c * CHUNK + np.arange(size)} | {k: got[:, i] for i, k in enumerate(names)})
+                means = np.stack([np.bincount(r, minlength=n) @ shared.value / n for r in rows])
+                yield pd.DataFrame({"chunk": [c], "size": [size], "means": [means.tobytes()]})
 
     table = spark.createDataFrame(sizes, "chunk long, size long").repartition(max(1, len(sizes)))
-    return table.mapInPandas(run, "rep long, " + ", ".join(f"`{k}` double" for k in names))
+    return table.mapInPandas(run, "chunk long, size long, means binary")
+
+
+def _summed(drawn: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of f over all chunks of drawn means: each task sends one array of the family's size."""
+
+    def run(it):
+        total = 0
+        for pdf in it:
+            for size, data in zip(pdf["size"], pdf["means"]):
+                total = total + f(np.frombuffer(data).reshape(size, -1))
+        if not np.isscalar(total):
+            yield pd.DataFrame({"x": [np.asarray(total, float).tolist()]})
+
+    x = drawn.mapInPandas(run, "x array<double>").select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in x.orderBy("at").collect()])
 
 
 def long_run_variances(x: np.ndarray, mean_block: float) -> np.ndarray:
@@ -90,45 +118,71 @@ def studentized(means: np.ndarray, boot: np.ndarray, variances: np.ndarray, n: i
     return means / s, (boot - means) / s
 
 
-def spa(means: np.ndarray, boot: np.ndarray, variances: np.ndarray, n: int) -> float:
-    """Consistent p-value of superior predictive ability: hopeless candidates are not recentred."""
-    s = np.sqrt(variances / n)
-    keep = means > -s * math.sqrt(2 * math.log(math.log(n)))
-    observed = max(0.0, float((means / s).max()))
-    drawn = np.maximum(0.0, ((boot - np.where(keep, means, 0.0)) / s).max(axis=1))
-    return (int((drawn >= observed).sum()) + 1) / (len(boot) + 1)
-
-
-def stepdown(observed: np.ndarray, boot: np.ndarray, names: list[str]) -> dict[str, float]:
-    """Family-wise adjusted p-values: against the largest score of what remains, made monotone down the order."""
-    order = sorted(range(len(names)), key=lambda i: (-observed[i], names[i]))
-    out, least = {}, 0.0
-    for k, i in enumerate(order):
-        p = (int((boot[:, order[k:]].max(axis=1) >= observed[i]).sum()) + 1) / (len(boot) + 1)
-        least = max(least, p)
-        out[names[i]] = least
-    return out
-
-
-def confidence_set(means: np.ndarray, boot: np.ndarray, names: list[str]) -> dict[str, float]:
-    """Model confidence set by range elimination: each model's p-value, the running maximum at its elimination (1 for
-    the last). Larger means are better; identical pairs score 0."""
-    d, b = means[:, None] - means[None, :], boot[:, :, None] - boot[:, None, :] - (means[:, None] - means[None, :])
-    var = (b**2).mean(axis=0)
-    if ((var == 0) & (d != 0)).any():
-        raise ValueError("two models differ by a constant")
-    s = np.sqrt(np.where(var > 0, var, 1.0))
-    t, tb = d / s, b / s
-    active, out, run = list(range(len(names))), {}, 0.0
-    while len(active) > 1:
-        sub = np.ix_(active, active)
-        observed = np.abs(t[sub]).max()
-        drawn = np.abs(tb[:, active][:, :, active]).max(axis=(1, 2))
-        run = max(run, (int((drawn >= observed).sum()) + 1) / (len(boot) + 1))
-        worst = min(active, key=lambda i: (t[i, active].min(), names[i]))
-        out[names[worst]] = run
-        active.remove(worst)
-    return out | {names[active[0]]: 1.0}
+class Family:
+    """Superior predictive ability, step-down and model confidence set of one family of candidates, whose means the
+    same replications resample. What is compared is fixed before the counting: observed scores, the step-down's
+    order, the set's order of elimination. count() is what a task does with its replications."""
+
+    def __init__(self, names: list[str], means: np.ndarray, variances: np.ndarray, n: int, spread: np.ndarray):
+        """spread: the mean square of (difference drawn - difference observed) for every two candidates."""
+        if (variances <= 0).any():
+            raise ValueError("a candidate without variance")
+        self.names, self.means, self.se = names, means, np.sqrt(variances / n)
+        self.score = means / self.se
+        rank = {k: i for i, k in enumerate(sorted(names))}
+        self.down = np.array(sorted(range(len(names)), key=lambda i: (-self.score[i], rank[names[i]])))
+        self.centre = np.where(self.score > -math.sqrt(2 * math.log(math.log(n))), means, 0.0)
+        self.top = max(0.0, self.score.max())
+        gap = means[:, None] - means[None, :]
+        if ((spread == 0) & (gap != 0)).any():
+            raise ValueError("two candidates differ by a constant")
+        self.sd = np.sqrt(np.where(spread > 0, spread, 1.0))
+        self.gap, left, out, self.widest = gap / self.sd, list(range(len(names))), [], []
+        while len(left) > 1:
+            worst = min(left, key=lambda i: (self.gap[i, left].min(), rank[names[i]]))
+            self.widest.append(self.gap[np.ix_(left, left)].max())
+            left.remove(worst)
+            out.append(worst)
+        self.out = np.array(out + left)
+
+    @staticmethod
+    def squares(drawn: np.ndarray, means: np.ndarray) -> np.ndarray:
+        """Sums over replications for the spread, flat: sum (a - b)^2 from sums of products."""
+        d = drawn - means
+        own, both = (d * d).sum(axis=0), d.T @ d
+        return np.maximum(own[:, None] + own[None, :] - 2 * both, 0).ravel()
+
+    def count(self, drawn: np.ndarray) -> np.ndarray:
+        """How many replications reach the observed: SPA, each step down, each elimination."""
+        best = np.maximum(0, ((drawn - self.centre) / self.se).max(axis=1)) >= self.top
+        z = ((drawn - self.means) / self.se)[:, self.down]
+        rest = np.maximum.accumulate(z[:, ::-1], axis=1)[:, ::-1]  # the largest of what remains at each step
+        range_, reached = np.zeros(len(drawn)), []
+        for k in range(len(self.out) - 2, -1, -1):
+            i, later = self.out[k], self.out[k + 1 :]
+            moved = (drawn[:, [i]] - drawn[:, later]) - (self.means[i] - self.means[later])
+            range_ = np.maximum(range_, (np.abs(moved) / self.sd[i, later]).max(axis=1))
+            reached.append((range_ >= self.widest[k]).sum())
+        return np.concatenate([[best.sum()], (rest >= self.score[self.down]).sum(axis=0), reached[::-1]])
+
+    def decided(self, counts: np.ndarray, replications: int) -> list[tuple[str, float, float, float, float]]:
+        """name, mean, step-down p, confidence set p (1 for the last one left) and the family's SPA p."""
+        p, m = (counts + 1) / (replications + 1), len(self.names)
+        down, kept = np.empty(m), np.ones(m)
+        down[self.down] = np.maximum.accumulate(p[1 : m + 1])
+        kept[self.out[:-1]] = np.maximum.accumulate(p[m + 1 :]) if m > 1 else 1.0
+        return [(k, float(self.means[i]), float(down[i]), float(kept[i]), float(p[0])) for i, k in enumerate(self.names)]
+
+
+def family_tests(spark: SparkSession, matrix: np.ndarray, names: list[str], mean_block: float, replications: int = REPLICATIONS, seed: int = SEED) -> DataFrame:
+    """candidate, mean, stepdown_p, mcs_p, spa_p. Two passes over the replications, both in tasks: the spread of every
+    two candidates, then the counts."""
+    drawn, means = bootstrap(spark, matrix, mean_block, replications, seed).cache(), matrix.mean(axis=0)
+    spread = _summed(drawn, lambda x: Family.squares(x, means)).reshape(len(names), -1) / replications
+    family = Family(names, means, long_run_variances(matrix, mean_block), len(matrix), spread)
+    rows = family.decided(_summed(drawn, family.count), replications)
+    drawn.unpersist()
+    return spark.createDataFrame(rows, "candidate string, mean double, stepdown_p double, mcs_p double, spa_p double")
 
 
 def probabilistic_sharpe(n: int, sharpe: float, skew: float, kurt: float, benchmark: float) -> float | None:
@@ -154,19 +208,22 @@ def deflated_sharpe(moments: DataFrame, trials: int, variance: float) -> DataFra
 
 
 def clopper_pearson_upper(events: int, trials: int, confidence: float = 0.95) -> float:
-    """One-sided upper bound of a probability, by bisection on exact binomial sums of 60 digits."""
-    from decimal import Decimal, localcontext
-
+    """One-sided exact upper bound of a probability: where at most `events` of `trials` has the chance 1 - confidence.
+    Newton's steps on the binomial distribution function, whose slope is the density of a beta variable."""
     if events >= trials:
         return 1.0
-    with localcontext() as c:
-        c.prec = 60
-        lo, hi, goal = Decimal(0), Decimal(1), Decimal(1) - Decimal(str(confidence))
-        for _ in range(120):
-            p = (lo + hi) / 2
-            cdf = sum(Decimal(math.comb(trials, k)) * p**k * (1 - p) ** (trials - k) for k in range(events + 1))
-            lo, hi = (p, hi) if cdf > goal else (lo, p)
-        return float(hi)
+    choose = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) for k in range(events + 1)]
+    term = lambda p, k: math.exp(choose[k] + k * math.log(p) + (trials - k) * math.log1p(-p))
+    low, high, p = 0.0, 1.0, (events + 1) / (trials + 1)
+    for _ in range(200):
+        over = math.fsum(term(p, k) for k in range(events + 1)) - (1 - confidence)
+        low, high = (p, high) if over > 0 else (low, p)
+        step = p + over / (term(p, events) * (trials - events) / (1 - p))
+        step = step if low < step < high else (low + high) / 2
+        if step == p:
+            break
+        p = step
+    return p
 
 
 def kelly_fraction(r: np.ndarray, alpha: float, beta: float, most: float = 0.05) -> float:
@@ -196,18 +253,20 @@ def kelly_fraction(r: np.ndarray, alpha: float, beta: float, most: float = 0.05)
 
 def replay(paths: DataFrame, start: float, daily: float = 0.03, trailing: float = 0.06, internal: float = 0.025) -> DataFrame:
     """paths: rep, step, open, pnl, low, equity_change (money relative to open): per path the final return, breaches of
-    the daily (>=) and trailing (<=, the day's close counts in its high) limits and the largest drawdown. Balances
-    compound by products, as sums of logarithms over windows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("rep").orderBy("step")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = paths.withColumn("growth", 1 + F.col("pnl") / F.col("open"))
-    x = x.withColumn("close", start * F.exp(F.sum(F.ln("growth")).over(upto))).withColumn("begin", F.lag("close", 1, start).over(w))
-    x = x.withColumn("least", F.col("begin") * (1 + F.least(F.col("low"), F.lit(0.0)) / F.col("open")))
-    x = x.withColumn("high", F.greatest(F.lit(start), F.max("close").over(upto))).withColumn("floor", F.least(F.lit(start), F.col("high") - trailing * start))
-    loss = (F.col("begin") - F.col("least")) / F.col("begin")
-    return x.groupBy("rep").agg(
-        (F.max_by("close", "step") / start - 1).alias("final_return"), F.bool_or(loss >= daily).alias("daily_breach"), F.bool_or(loss >= internal).alias("internal_breach"),
-        F.bool_or(F.col("least") <= F.col("floor")).alias("trailing_breach"), F.max((F.col("high") - F.col("close")) / F.col("high")).alias("max_dd"),
-    )
+    the daily (>=) and trailing (<=, the day's close counts in its high) limits and the largest drawdown. Each path is
+    folded in order of its steps, which are as many as it has days; one that is ruined stays at what it lost."""
+    days = F.sort_array(F.collect_list(F.struct("step", (F.col("pnl") / F.col("open")).alias("change"), (F.least(F.col("low"), F.lit(0.0)) / F.col("open")).alias("worst"))))
+    no, money = F.lit(False), F.lit(float(start))
+    first = F.struct(money.alias("close"), money.alias("high"), F.lit(0.0).alias("dd"), no.alias("d"), no.alias("i"), no.alias("t"))
+
+    def day(a, x):
+        close, least = a["close"] * (1 + x["change"]), a["close"] * (1 + x["worst"])
+        high = F.greatest(a["high"], close)
+        loss = F.try_divide(a["close"] - least, a["close"])
+        return F.struct(
+            close.alias("close"), high.alias("high"), F.greatest(a["dd"], (high - close) / high).alias("dd"), (a["d"] | F.coalesce(loss >= daily, no)).alias("d"),
+            (a["i"] | F.coalesce(loss >= internal, no)).alias("i"), (a["t"] | (least <= F.least(money, high - trailing * start))).alias("t"),
+        )
+
+    x = paths.groupBy("rep").agg(F.aggregate(days, first, day).alias("z"))
+    return x.select("rep", (F.col("z.close") / start - 1).alias("final_return"), F.col("z.d").alias("daily_breach"), F.col("z.i").alias("internal_breach"), F.col("z.t").alias("trailing_breach"), F.col("z.dd").alias("max_dd"))

@@ -42,12 +42,23 @@ def overlap(a: DataFrame, b: DataFrame, by: list[str], a_start: str, a_end: str,
     return j.where(F.floor(F.greatest(a_start, b_start) / bucket) == F.col("__slot")).drop("__slot")
 
 
+#: Windows that are broadcast; more are met by an as-of join.
+MOST_WINDOWS = 10_000
+
+
 def member(events: DataFrame, windows: DataFrame, by: list[str], at: str, start: str, end: str, label: str) -> DataFrame:
     """Each event's window: the last one that has started, gaps belong to the window before them, and the last window
-    is closed at its end; others drop out."""
-    w = Window.partitionBy(*by)
-    last = windows.withColumn("__until", F.max(end).over(w)).select(*by, F.col(start).alias(at), F.col(label).alias(label), "__until")
-    return asof(events, last, by, at, [label, "__until"]).where(F.col(label).isNotNull() & (F.col(at) <= F.col("__until"))).drop("__until")
+    is closed at its end; others drop out. Few windows are broadcast, so events neither move nor get sorted."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    last = windows.withColumn("__until", F.max(end).over(w)).withColumn("__next", F.lead(start).over(w.orderBy(start)))
+    if windows.limit(MOST_WINDOWS + 1).count() > MOST_WINDOWS:
+        last = last.select(*by, F.col(start).alias(at), label, "__until")
+        return asof(events, last, by, at, [label, "__until"]).where(F.col(label).isNotNull() & (F.col(at) <= F.col("__until"))).drop("__until")
+    last = last.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(start).alias("__start"), "__next", "__until", F.col(label).alias("__label"))
+    inside = (F.col(at) >= F.col("__start")) & (F.col(at) < F.coalesce("__next", F.col(at) + F.expr("INTERVAL '1' DAY"))) & (F.col(at) <= F.col("__until"))
+    for c in by:
+        inside = inside & (F.col(c) == F.col(f"__{c}"))
+    return events.join(F.broadcast(last), inside).select(*events.columns, F.col("__label").alias(label))
 
 
 def missing(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ def amount() -> Column:
 
 
 def direction(kind: Column) -> Column:
-    return F.when(kind == 0, "BUY").when(kind == 1, "SELL")
+    """BUY or SELL; any other deal type fails the job."""
+    return F.when(kind == 0, "BUY").when(kind == 1, "SELL").otherwise(F.raise_error(F.concat(F.lit("unknown deal type "), F.coalesce(kind.cast("string"), F.lit("null")))))
 
 
 def ledger(deals: DataFrame, account: str = "account") -> DataFrame:
@@ -21,18 +22,33 @@ def ledger(deals: DataFrame, account: str = "account") -> DataFrame:
     return deals.select(account, "time", "ticket", amount().alias("amount")).where("amount <> 0")
 
 
+#: Seconds of the stretches that running sums go through first.
+STRETCH = 86_400
+
+
+def _upto(led: DataFrame, account: str) -> DataFrame:
+    """led and upto, the account's sum through each row, and all, its whole sum. Two levels: stretches of a day are
+    added up and summed, a row an account and day; rows are sorted within their day only."""
+    x = led.withColumn("__part", F.floor(F.col("time") / STRETCH))
+    parts = x.groupBy(account, "__part").agg(F.sum("amount").alias("s"))
+    over = Window.partitionBy(account).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(account).alias("__a"), F.col("__part").alias("__p"), F.coalesce(F.sum("s").over(over), F.lit(0)).alias("__before"), F.sum("s").over(Window.partitionBy(account)).alias("__all"))
+    x = x.join(parts, F.col(account).eqNullSafe(F.col("__a")) & (F.col("__part") == F.col("__p")))
+    inside = F.sum("amount").over(Window.partitionBy(account, "__part").orderBy("time", "ticket").rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("__upto", F.col("__before") + inside).drop("__a", "__p", "__part", "__before")
+
+
 def equity(led: DataFrame, start: float, account: str = "account") -> DataFrame:
     """Running balance in the order of time and ticket."""
-    w = Window.partitionBy(account).orderBy("time", "ticket").rowsBetween(Window.unboundedPreceding, 0)
-    return led.withColumn("balance", (F.lit(str(start)).cast(MONEY) + F.sum("amount").over(w)).cast("decimal(28,4)"))
+    x = _upto(led, account)
+    return x.withColumn("balance", (F.lit(str(start)).cast(MONEY) + F.col("__upto")).cast("decimal(28,4)")).drop("__upto", "__all")
 
 
 def backward(led: DataFrame, current: float, account: str = "account") -> DataFrame:
     """Balance before and after each entry, walked back from the current balance."""
-    w = Window.partitionBy(account).orderBy("time", "ticket").rowsBetween(1, Window.unboundedFollowing)
-    later = F.coalesce(F.sum("amount").over(w), F.lit(0).cast(MONEY))
-    after = (F.lit(str(current)).cast(MONEY) - later).cast("decimal(28,4)")
-    return led.withColumn("after", after).withColumn("before", (F.col("after") - F.col("amount")).cast("decimal(28,4)"))
+    x = _upto(led, account)
+    after = (F.lit(str(current)).cast(MONEY) - (F.col("__all") - F.col("__upto"))).cast("decimal(28,4)")
+    return x.withColumn("after", after).withColumn("before", (F.col("after") - F.col("amount")).cast("decimal(28,4)")).drop("__upto", "__all")
 
 
 def round_trips(deals: DataFrame) -> DataFrame:

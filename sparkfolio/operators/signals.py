@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,88 +12,91 @@ from .indicators import ema, rsi
 
 
 @dataclass(frozen=True)
-class SignalParams:
-    """Fixed values of the strategy; the confirmations can be switched off."""
-
-    bb_n: int = 20
-    bb_mult: float = 2.0
-    wpr_n: int = 14
-    rsi_n: int = 14
-    ema_n: int = 24
-    buy_rsi: float = 40.0
-    sell_rsi: float = 70.0
-    band_lookback: int = 4
-    wpr_lookback: int = 6
-    confirm_band: bool = True
-    confirm_wpr: bool = True
-    confirm_rsi: bool = True
-    min_candle_pct: float = 0.0
-    pending_bars: int = 4
-    rsi_scale: float = 100.0
+class EntryRules:
+    """Fixed values of the strategy. Lengths in bars, levels in the units of their indicator."""
+
+    band: int = 20
+    band_width: float = 2.0
+    range_: int = 14
+    strength: int = 14
+    mean: int = 10
+    strength_scale: float = 100.0
+    #: Buys: the low was under the band in the last `under_band` bars, %R under `oversold` in the last `weak`
+    #: bars, this one included, and the strength is under `buy_below`.
+    need_band: bool = True
+    need_range: bool = True
+    need_strength: bool = True
+    under_band: int = 4
+    weak: int = 7
+    oversold: float = -80.0
+    buy_below: float = 40.0
+    #: Sells: a body of at least so many percent; `strong` of the `wait` bars before over `sell_above`.
+    body_pct: float = 0.12
+    wait: int = 4
+    sell_above: float = 70.0
+    strong: int = 3
 
     @property
-    def warmup(self) -> int:
-        return max(self.bb_n, self.wpr_n, self.rsi_n, self.ema_n) + 2
+    def first(self) -> int:
+        """Bars before which nothing is judged."""
+        return 2 + max(self.under_band + self.band, self.weak + self.range_, self.wait + 2, self.mean + 2, self.strength + 2)
 
 
-@dataclass
-class SignalState:
-    """What the engine carries from bar to bar; small enough to live in a streaming state store."""
+def _before(x: np.ndarray, k: int, fill=False) -> np.ndarray:
+    """x of k bars ago."""
+    return np.concatenate([np.full(min(k, len(x)), fill, x.dtype), x[: max(0, len(x) - k)]])
 
-    open: list[float] = field(default_factory=list)
-    high: list[float] = field(default_factory=list)
-    low: list[float] = field(default_factory=list)
-    close: list[float] = field(default_factory=list)
-    buy_before: bool = False
-    sell_before: bool = False
-    pending: tuple[float, float, int, bool] | None = None
 
+def _edges(raw: np.ndarray, judged: np.ndarray) -> np.ndarray:
+    """True where a judged condition begins."""
+    raw = raw & judged
+    return raw & ~_before(raw, 1)
 
-def signals(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, p: SignalParams) -> tuple[np.ndarray, np.ndarray]:
-    """Boolean buy and sell of every bar. Buy: a rising bar that touches the lower band, with the confirmations, on
-    the edge from not to so. Sell: %R falls through -20 on a falling bar; against the slope of the mean it waits for a
-    break of its low within some bars, and is dropped if its high breaks first."""
+
+def signals(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, p: EntryRules = EntryRules()) -> tuple[np.ndarray, np.ndarray]:
+    """Boolean buy and sell of every bar; conditions count where they begin. Buy: a rising bar across the lower
+    band, with the confirmations. Sell: %R falls through -20 on a falling bar while the mean falls, or while it
+    rises after enough strong bars (or whatever the strength, if that isn't needed). A fall against a rising mean
+    without them waits: for some bars, the first falling bar that closes under its high, with a falling mean, once
+    its low has been undercut, sells. A later such fall begins the wait anew."""
     n = len(close)
+    judged = np.arange(n) + 1 >= p.first
     c = pd.Series(close)
-    mid, dev = c.rolling(p.bb_n).mean().to_numpy(), c.rolling(p.bb_n).std(ddof=0).to_numpy()
-    lower = mid - p.bb_mult * dev
-    top, bottom = pd.Series(high).rolling(p.wpr_n).max().to_numpy(), pd.Series(low).rolling(p.wpr_n).min().to_numpy()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        wpr = np.where(top > bottom, 100 * (close - top) / (top - bottom), 0.0)
-    wpr[np.isnan(wpr)] = 0.0
-    mean, strength = ema(close, p.ema_n), rsi(close, p.rsi_n, p.rsi_scale)
-    buy, sell = np.zeros(n, bool), np.zeros(n, bool)
-    buy_before, sell_before, pending = False, False, None
-    for i in range(n):
-        if i + 1 < p.warmup:
-            continue
-        raw = close[i] > open_[i] and low[i] <= lower[i]
-        if raw and p.confirm_band:
-            raw = any(close[i - k] < lower[i - k] for k in range(1, p.band_lookback + 1) if i >= k)
-        if raw and p.confirm_wpr:
-            raw = any(wpr[i - k] < -80 for k in range(p.wpr_lookback + 1) if i >= k)
-        if raw and p.confirm_rsi:
-            raw = bool(strength[i] < p.buy_rsi)
-        buy[i], buy_before = raw and not buy_before, raw
-        if pending:
-            hi, lo, left, broken = pending
-            if high[i] > hi:
-                broken = True
-            if close[i] < lo and not broken:
-                sell[i], pending = True, None
-            else:
-                pending = (hi, lo, left - 1, broken) if left > 1 and not broken else None
-        fell = close[i] < open_[i] and wpr[i - 1] > -20 >= wpr[i] and (open_[i] - close[i]) >= p.min_candle_pct / 100 * open_[i]
-        if fell and not sell_before:
-            if mean[i] < mean[i - 1] or not p.confirm_rsi:
-                sell[i] = True
-            else:
-                pending = (high[i], low[i], p.pending_bars, False)
-        sell_before = fell
-    return buy, sell
-
-
-def signal_table(bars: DataFrame, by: list[str], p: SignalParams = SignalParams()) -> DataFrame:
+    band = c.rolling(p.band).mean().to_numpy() - p.band_width * c.rolling(p.band).std(ddof=0).to_numpy()
+    top, bottom = pd.Series(high).rolling(p.range_).max().to_numpy(), pd.Series(low).rolling(p.range_).min().to_numpy()
+    some = top > bottom
+    wr = np.where(some, 100 * (close - top) / np.where(some, top - bottom, 1), 0.0)
+    mean, strength = ema(close, p.mean), rsi(close, p.strength, p.strength_scale)
+    slope = np.diff(mean, prepend=mean[:1])
+
+    with np.errstate(invalid="ignore"):
+        dipped, weak = low < band, wr < p.oversold
+        buy = (close > open_) & (low <= band) & (high >= band)
+    if p.need_band:
+        buy &= np.any([_before(dipped, k) for k in range(1, p.under_band + 1)], axis=0)
+    if p.need_range:
+        buy &= np.any([_before(weak, k) for k in range(p.weak)], axis=0)
+    if p.need_strength:
+        buy &= strength < p.buy_below
+
+    wr_before = _before(wr, 1, 0.0)
+    body = np.divide(100 * np.abs(close - open_), open_, out=np.zeros(n), where=open_ != 0)
+    fall = _edges((close < open_) & (wr < wr_before) & (wr < -20) & (wr_before > -20) & (body >= p.body_pct), judged)
+    strong = np.sum([_before(strength > p.sell_above, k) for k in range(1, p.wait + 1)], axis=0) >= p.strong
+    at_once = fall & ((slope < 0) | (slope > 0) & (strong | (not p.need_strength)))
+    waits = np.flatnonzero(fall & (slope > 0) & ~at_once)
+    late = np.zeros(n, bool)
+    ready = (close < open_) & (slope < 0)
+    for k, at in enumerate(waits):  # few: each looks at the next bars only
+        until = min(at + p.wait + 1, n, waits[k + 1] if k + 1 < len(waits) else n)
+        span = slice(at + 1, until)
+        hit = np.flatnonzero(ready[span] & (close[span] < high[at]) & np.logical_or.accumulate(low[span] < low[at]))
+        if len(hit):
+            late[at + 1 + hit[0]] = True
+    return _edges(buy, judged), at_once | late
+
+
+def signal_table(bars: DataFrame, by: list[str], p: EntryRules = EntryRules()) -> DataFrame:
     """by, ts, buy, sell for every bar; one group is one sequence."""
     kinds = ", ".join(f"{c} {bars.schema[c].dataType.simpleString()}" for c in [*by, "ts"])
 
@@ -129,7 +132,7 @@ def simulate_positions(open_: np.ndarray, high: np.ndarray, low: np.ndarray, clo
     return out
 
 
-def backtest(bars: DataFrame, params: DataFrame, by: list[str], p: SignalParams = SignalParams(), long_only: bool = False) -> DataFrame:
+def backtest(bars: DataFrame, params: DataFrame, by: list[str], p: EntryRules = EntryRules(), long_only: bool = False) -> DataFrame:
     """params: combo, sl_pct, tp_pct, a small table. by, combo, ts_opened, ts_closed, is_long, entry, exit, r: closed
     positions of every group under every combination; each group's bars travel once, whatever the combinations."""
     combos = [tuple(r) for r in params.select("combo", "sl_pct", "tp_pct").collect()]  # a parameter grid

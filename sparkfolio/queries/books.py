@@ -99,9 +99,9 @@ def j05(spark, sf):
     return joins.missing(want, got, ["n_nationkey", "p_brand"])
 
 
-@query("J04_semi", "SELECT variation, train_months, mean_ret FROM conf WHERE variation IN (SELECT p_brand FROM part GROUP BY 1 HAVING avg(p_retailprice) > 1000)", "mean_ret", CONFIG)
+@query("J04_semi", "SELECT variation, train_months, mean_ret FROM conf WHERE variation IN (SELECT p_brand FROM part GROUP BY 1 HAVING avg(p_size) > 25.5)", "mean_ret", CONFIG)
 def j04(spark, sf):
-    good = tb.read(spark, sf, "part").groupBy(F.col("p_brand").alias("variation")).agg(F.avg("p_retailprice").alias("p")).where("p > 1000")
+    good = tb.read(spark, sf, "part").groupBy(F.col("p_brand").alias("variation")).agg(F.avg("p_size").alias("p")).where("p > 25.5")
     return stats.per_config(tb.study(spark, sf)).join(good, "variation", "left_semi").select("variation", "train_months", "mean_ret")
 
 
@@ -110,21 +110,13 @@ def v11(spark, sf):
     return joins.duplicates(tb.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-FIRST = "first36 AS (SELECT DISTINCT candidate FROM candidates ORDER BY 1 LIMIT 36), c36 AS (SELECT * FROM candidates JOIN first36 USING (candidate))"
-
-
-def c36(spark, sf):
-    c = tb.candidates(spark, sf)
-    return c.join(F.broadcast(c.select("candidate").distinct().orderBy("candidate").limit(36)), "candidate")
-
-
-MATRIX = f"""{tb.CANDIDATES},\n{FIRST},
-grid AS (SELECT candidate, day FROM first36 CROSS JOIN (SELECT CAST(unnest(range(min(day), max(day) + 1)) AS INTEGER) AS day FROM c36)),
-matrix AS (SELECT candidate, day, CAST(coalesce(s, 0) AS DOUBLE) * 0.0018::DOUBLE AS ret FROM grid LEFT JOIN (SELECT candidate, day, sum(CAST(r AS DECIMAL(18,6))) AS s FROM c36 GROUP BY 1, 2) USING (candidate, day))"""
+MATRIX = f"""{tb.CANDIDATES},
+grid AS (SELECT candidate, day FROM (SELECT DISTINCT candidate FROM candidates) CROSS JOIN (SELECT CAST(unnest(range(min(day), max(day) + 1)) AS INTEGER) AS day FROM candidates)),
+matrix AS (SELECT candidate, day, CAST(coalesce(s, 0) AS DOUBLE) * 0.0018::DOUBLE AS ret FROM grid LEFT JOIN (SELECT candidate, day, sum(CAST(r AS DECIMAL(18,6))) AS s FROM candidates GROUP BY 1, 2) USING (candidate, day))"""
 
 
 def matrix(spark, sf):
-    return walkforward.daily_matrix(c36(spark, sf), "candidate", "day", "r", tb.BASE_RISK).withColumn("ret", F.col("ret").cast("double"))
+    return walkforward.daily_matrix(tb.candidates(spark, sf), "candidate", "day", "r", tb.BASE_RISK).withColumn("ret", F.col("ret").cast("double"))
 
 
 @query("A19_candidate_matrix", "SELECT candidate, day, ret FROM matrix", "ret", MATRIX)
@@ -132,11 +124,10 @@ def a19(spark, sf):
     return matrix(spark, sf)
 
 
-@query("A20_window_sums", "SELECT candidate, label, sum(r) AS net_r, count(*) AS trades FROM (SELECT * FROM c36 ASOF JOIN (SELECT test_start AS ts_closed, ordinal AS label, max(test_end) OVER () AS until FROM windows) USING (ts_closed)) WHERE ts_closed <= until GROUP BY 1, 2", "net_r", f"{tb.CANDIDATES},\n{FIRST},\n{tb.WINDOWS}")
+@query("A20_window_sums", "SELECT candidate, label, sum(r) AS net_r, count(*) AS trades FROM (SELECT * FROM candidates ASOF JOIN (SELECT test_start AS ts_closed, ordinal AS label, max(test_end) OVER () AS until FROM windows) USING (ts_closed)) WHERE ts_closed <= until GROUP BY 1, 2", "net_r", f"{tb.CANDIDATES},\n{tb.WINDOWS}")
 def a20(spark, sf):
-    t = c36(spark, sf).withColumn("all", F.lit("all"))
-    w = tb.windows(spark).select(F.lit("all").alias("all"), "test_start", "test_end", F.col("ordinal").alias("label"))
-    return joins.member(t, w, ["all"], "ts_closed", "test_start", "test_end", "label").groupBy("candidate", "label").agg(F.sum("r").alias("net_r"), F.count("*").alias("trades"))
+    w = tb.windows(spark).select("test_start", "test_end", F.col("ordinal").alias("label"))
+    return joins.member(tb.candidates(spark, sf), w, [], "ts_closed", "test_start", "test_end", "label").groupBy("candidate", "label").agg(F.sum("r").alias("net_r"), F.count("*").alias("trades"))
 
 
 @query("A30_mean_correlation", "SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(rho))) AS rho_bar, count(*) AS pairs FROM (SELECT corr(x.ret, y.ret) AS rho FROM matrix x JOIN matrix y ON x.day = y.day AND x.candidate < y.candidate GROUP BY x.candidate, y.candidate)", "rho_bar", MATRIX)
@@ -146,12 +137,12 @@ def a30(spark, sf):
 
 @query("V12_reconciliation")
 def v12(spark, sf):
-    return walkforward.reconciliation(c36(spark, sf), "candidate", "day", "market", "r").select("candidate", F.col("total").cast("double").alias("total"), "agree")
+    return walkforward.reconciliation(tb.candidates(spark, sf), "candidate", "day", "market", "r").select("candidate", F.col("total").cast("double").alias("total"), "agree")
 
 
 @query("R15_pbo")
 def r15(spark, sf):
-    x = c36(spark, sf).withColumn("slice", F.floor(F.col("day") / 30)).groupBy("candidate", "slice").agg(F.sum("r").alias("perf"))
+    x = tb.candidates(spark, sf).withColumn("slice", F.floor(F.col("day") / 30)).groupBy("candidate", "slice").agg(F.sum(F.col("r").cast("decimal(18,6)")).alias("perf"))
     return walkforward.pbo(x, "candidate", "slice", "perf")
 
 
@@ -304,7 +295,6 @@ def v08(spark, sf):
 )
 def t20(spark, sf):
     w = tb.windows(spark)
-    t = tb.trades(spark, sf).withColumn("all", F.lit("all"))
-    m = joins.member(t, w.select(F.lit("all").alias("all"), "test_start", "test_end", "ordinal"), ["all"], "ts_closed", "test_start", "test_end", "ordinal")
+    m = joins.member(tb.trades(spark, sf), w, [], "ts_closed", "test_start", "test_end", "ordinal")
     s = m.groupBy("ordinal").agg(F.sum("r").alias("total"), F.count("*").alias("n"))
     return w.select("ordinal").join(s, "ordinal", "left").fillna({"total": 0.0, "n": 0})

@@ -11,14 +11,18 @@ from ..sources import tables as tb
 from .base import query
 from .books import matrix
 
-REPLICATIONS = 2000
+#: Cells of a family's matrix that the driver takes and every task is sent.
+MOST_CELLS = 20_000_000
 
 
 def _wide(spark, sf) -> tuple[list[str], np.ndarray]:
-    """Days x candidates. The family is fixed and small, and a day is a row, so this fits the driver."""
+    """Days x candidates: a row a day whatever the number of trades; checked for its size before it is collected."""
     x = matrix(spark, sf).withColumn("ret", F.col("ret").cast("double"))
-    pdf = x.groupBy("day").pivot("candidate").agg(F.first("ret")).orderBy("day").toPandas().drop(columns="day")
-    return list(pdf.columns), pdf.to_numpy()
+    n = x.agg(F.countDistinct("day"), F.countDistinct("candidate")).first()
+    if n[0] * n[1] > MOST_CELLS:
+        raise ValueError(f"a family of {n[1]} candidates over {n[0]} days is too large")
+    rows = x.groupBy("candidate").agg(F.sort_array(F.collect_list(F.struct("day", "ret"))).alias("x")).select("candidate", "x.ret").orderBy("candidate").collect()
+    return [r["candidate"] for r in rows], np.array([r["ret"] for r in rows]).T
 
 
 @query("R01_block_length")
@@ -36,12 +40,7 @@ def r14(spark, sf):
     from one set of resampled days."""
     names, x = _wide(spark, sf)
     block = float(np.ceil(max(inference.block_length(c) for c in x.T)))
-    drawn = inference.bootstrap(spark, x, block, lambda m: m.mean(axis=0), [f"c{k}" for k in range(len(names))], REPLICATIONS)
-    boot, mean, var = drawn.orderBy("rep").toPandas().drop(columns="rep").to_numpy(), x.mean(axis=0), inference.long_run_variances(x, block)
-    down = inference.stepdown(*inference.studentized(mean, boot, var, len(x)), names)
-    left, family = inference.confidence_set(mean, boot, names), inference.spa(mean, boot, var, len(x))
-    rows = [(k, float(m), down[k], left[k], family) for k, m in zip(names, mean)]
-    return spark.createDataFrame(rows, "candidate string, mean double, stepdown_p double, mcs_p double, spa_p double")
+    return inference.family_tests(spark, x, names, block)
 
 
 @query("A28_A29_deflated_sharpe")
@@ -49,7 +48,7 @@ def a29(spark, sf):
     x = matrix(spark, sf).withColumn("ret", F.col("ret").cast("double"))
     m = stats.sharpe(x, ["candidate"], "ret").join(stats.moments(x, ["candidate"], "ret").drop("n"), "candidate")
     variance = m.agg(F.coalesce(F.var_samp("sharpe"), F.lit(0.0))).first()[0]
-    return inference.deflated_sharpe(m, 41, variance)
+    return inference.deflated_sharpe(m, m.count(), variance)
 
 
 @query("F26_effective_trials")

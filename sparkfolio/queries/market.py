@@ -133,12 +133,12 @@ def a11(spark, sf):
 
 @query(
     "J06_asof_bar",
-    "SELECT e.event_id, b.ts AS bar_ts, b.close AS bar_close FROM ev e ASOF LEFT JOIN (SELECT * FROM bars WHERE ticks % 2 = 0) b ON e.market = b.market AND e.ts >= b.ts",
+    "SELECT e.event_id, b.ts AS bar_ts, b.close AS bar_close FROM ev e ASOF LEFT JOIN bars b ON e.market = b.market AND e.ts >= b.ts",
     "bar_close",
     f"{B},\n{EVENTS}",
 )
 def j06(spark, sf):
-    b = tb.bars(spark, sf).where("ticks % 2 = 0").select("market", "ts", F.col("ts").alias("bar_ts"), F.col("close").alias("bar_close"))
+    b = tb.bars(spark, sf).select("market", "ts", F.col("ts").alias("bar_ts"), F.col("close").alias("bar_close"))
     return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts", "bar_close"]).select("event_id", "bar_ts", "bar_close")
 
 
@@ -152,13 +152,13 @@ def j08(spark, sf):
     return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts"], strict=True).select("event_id", "bar_ts")
 
 
-SECS = f"""a AS (SELECT market, k1, k2, k3, k4, CAST(epoch(ts_opened) AS BIGINT) AS s, CAST(epoch(ts_closed) AS BIGINT) AS e FROM trades WHERE k1 % 5 = 0),
+SECS = f"""a AS (SELECT market, k1, k2, k3, k4, CAST(epoch(ts_opened) AS BIGINT) AS s, CAST(epoch(ts_closed) AS BIGINT) AS e FROM trades),
 b AS (SELECT p_brand AS market, p_partkey, 820454400 + p_partkey * 86400 AS bs, 820454400 + p_partkey * 86400 + p_size * 86400 AS be FROM part)"""
 
 
 @query("J09_interval_overlap", "SELECT k1, k2, k3, k4, p_partkey FROM a JOIN b ON a.market = b.market AND s < be AND bs < e", ctes=f"{tb.TRADES},\n{SECS}")
 def j09(spark, sf):
-    a = tb.trades(spark, sf).where("k1 % 5 = 0").select("market", "k1", "k2", "k3", "k4", F.unix_seconds(tx.as_utc(F.col("ts_opened"))).alias("s"), F.unix_seconds(tx.as_utc(F.col("ts_closed"))).alias("e"))
+    a = tb.trades(spark, sf).select("market", "k1", "k2", "k3", "k4", F.unix_seconds(tx.as_utc(F.col("ts_opened"))).alias("s"), F.unix_seconds(tx.as_utc(F.col("ts_closed"))).alias("e"))
     p = tb.read(spark, sf, "part")
     start = F.lit(820454400).cast("long") + F.col("p_partkey") * 86400
     b = p.select(F.col("p_brand").alias("market"), "p_partkey", start.alias("bs"), (start + F.col("p_size") * 86400).alias("be"))
@@ -171,34 +171,33 @@ def j09(spark, sf):
     ctes=f"{tb.TRADES},\n{tb.WINDOWS}",
 )
 def j10(spark, sf):
-    t = tb.trades(spark, sf).withColumn("all", F.lit("all"))
-    w = tb.windows(spark).select(F.lit("all").alias("all"), "test_start", "test_end", F.col("ordinal").alias("label"))
-    return joins.member(t, w, ["all"], "ts_closed", "test_start", "test_end", "label").select("k1", "k2", "k3", "k4", "label")
+    w = tb.windows(spark).select("test_start", "test_end", F.col("ordinal").alias("label"))
+    return joins.member(tb.trades(spark, sf), w, [], "ts_closed", "test_start", "test_end", "label").select("k1", "k2", "k3", "k4", "label")
 
 
 @query(
     "J12_nearest",
     """SELECT event_id, CASE WHEN hi IS NOT NULL AND (lo IS NULL OR hi - sec < sec - lo) THEN hi ELSE lo END AS nearest FROM (SELECT e.event_id, e.sec, l.sec AS lo, h.sec AS hi FROM x e
  ASOF LEFT JOIN y l ON e.market = l.market AND e.sec >= l.sec ASOF LEFT JOIN y h ON e.market = h.market AND e.sec <= h.sec)""",
-    ctes=f"""{B}, x AS (SELECT event_id, event_type AS market, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), y AS (SELECT market, CAST(epoch(ts) AS BIGINT) AS sec FROM bars WHERE ticks % 3 = 0)""",
+    ctes=f"""{B}, x AS (SELECT event_id, event_type AS market, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events), y AS (SELECT market, CAST(epoch(ts) AS BIGINT) AS sec FROM bars)""",
 )
 def j12(spark, sf):
     x = tb.read(spark, sf, "events").select("event_id", F.col("event_type").alias("market"), F.unix_seconds(tx.as_utc(F.col("ts"))).alias("at"))
-    y = tb.bars(spark, sf).where("ticks % 3 = 0").select("market", F.unix_seconds(tx.as_utc(F.col("ts"))).alias("at"))
+    y = tb.bars(spark, sf).select("market", F.unix_seconds(tx.as_utc(F.col("ts"))).alias("at"))
     return joins.nearest(x, y, ["market"], "at").select("event_id", "nearest")
 
 
 @query(
     "T12_aligned_prices",
     """SELECT market, day, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY market ORDER BY day ROWS UNBOUNDED PRECEDING), first_value(close IGNORE NULLS) OVER (PARTITION BY market ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close
- FROM (SELECT market, CAST(unnest(range(min(day) - 2, max(day) + 3)) AS INTEGER) AS day FROM daily GROUP BY 1) LEFT JOIN (SELECT * FROM daily WHERE day % 3 <> 0) USING (market, day)""",
+ FROM (SELECT market, CAST(unnest(range(min(day) - 2, max(day) + 3)) AS INTEGER) AS day FROM daily GROUP BY 1) LEFT JOIN daily USING (market, day)""",
     "close",
     DAILY,
 )
 def t12(spark, sf):
     d = daily(spark, sf)
     grid = d.groupBy("market").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("market", F.explode(F.sequence(F.col("a") - 2, F.col("b") + 2)).alias("day"))
-    return curves.align(d.where("day % 3 <> 0"), grid, ["market"], "close").select("market", "day", "close")
+    return curves.align(d, grid, ["market"], "close").select("market", "day", "close")
 
 
 @query(
@@ -207,11 +206,11 @@ def t12(spark, sf):
  LEFT JOIN (SELECT cd AS day, sum(pnl) AS pnl FROM pos GROUP BY 1) USING (day)
  LEFT JOIN (SELECT d.day, sum(pnl / CASE WHEN abs(exit - entry) < 1e-12 THEN 1.0 ELSE exit - entry END * (close - entry)) AS unrealized FROM pos p JOIN daily d ON p.market = d.market AND d.day >= od AND d.day < cd GROUP BY 1) USING (day)""",
     "realized unrealized",
-    f"{DAILY},\n{EVENTS},\npos AS (SELECT market, day AS od, CAST(day + event_id % 5 AS INTEGER) AS cd, value - 50 AS pnl, value AS entry, value + 1 + event_id % 7 AS exit FROM ev WHERE event_id % 4 = 0)",
+    f"{DAILY},\n{EVENTS},\npos AS (SELECT market, day AS od, CAST(day + event_id % 5 AS INTEGER) AS cd, value - 50 AS pnl, value AS entry, value + 1 + event_id % 7 AS exit FROM ev)",
 )
 def t11(spark, sf):
     d = daily(spark, sf)
-    p = ev(spark, sf).where("event_id % 4 = 0").select("market", F.col("day").alias("od"), (F.col("day") + F.col("event_id") % 5).cast("int").alias("cd"), (F.col("value") - 50).alias("pnl"), F.col("value").alias("entry"), (F.col("value") + 1 + F.col("event_id") % 7).alias("exit"))
+    p = ev(spark, sf).select("market", F.col("day").alias("od"), (F.col("day") + F.col("event_id") % 5).cast("int").alias("cd"), (F.col("value") - 50).alias("pnl"), F.col("value").alias("entry"), (F.col("value") + 1 + F.col("event_id") % 7).alias("exit"))
     grid = d.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return curves.base_curves(p, d, grid)
 
@@ -239,20 +238,24 @@ def t31(spark, sf):
     return indicators.smoothed(tb.bars(spark, sf), ["market"], 24, 14).select("market", "ts", "rsi")
 
 
+#: All confirmations are on; the walks are steps of any size, so bodies have no least one.
+RULES = signals.EntryRules(band_width=1.5, body_pct=0.0)
+
+
 @query("T36_signals")
 def t36(spark, sf):
-    return signals.signal_table(tb.bars(spark, sf), ["market"], signals.SignalParams(bb_mult=1.0, confirm_band=False, confirm_wpr=False, confirm_rsi=False))
+    return signals.signal_table(tb.walk(spark, sf), ["market"], RULES)
 
 
 @query("T39_backtest")
 def t39(spark, sf):
-    grid = spark.createDataFrame([(f"sl={s},tp={t}", s, t) for s in (5.0, 10.0) for t in (5.0, 10.0, 20.0)], "combo string, sl_pct double, tp_pct double")
-    return signals.backtest(tb.bars(spark, sf), grid, ["market"], signals.SignalParams(bb_mult=1.0, confirm_band=False, confirm_wpr=False, confirm_rsi=False))
+    grid = spark.createDataFrame([(f"sl={s},tp={t}", s, t) for s in (1.0, 2.0) for t in (1.0, 2.0, 4.0)], "combo string, sl_pct double, tp_pct double")
+    return signals.backtest(tb.walk(spark, sf), grid, ["market"], RULES)
 
 
 @query("W05_window_optimiser")
 def w05(spark, sf):
     """The combination with the best score on each market, the earliest in the grid on ties."""
     t = t39(spark, sf).withColumn("pnl", F.col("r") * 100)
-    x = stats.calmar(t, ["market", "combo"], ["ts_closed", "ts_opened"], "pnl", 100_000.0, least=3)
+    x = stats.calmar(t, ["market", "combo"], ["ts_closed", "ts_opened"], "pnl", 100_000.0)
     return x.where("score IS NOT NULL").groupBy("market").agg(F.max("score").alias("best"), F.min_by("combo", F.struct(-F.col("score"), "combo")).alias("combo"))

@@ -84,6 +84,18 @@ study0 AS (SELECT n_name AS instrument, variation, train_months, avg(r) AS mean_
  FROM candidates JOIN supplier ON k4 = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
 study AS (SELECT instrument, variation, train_months, mean_oos, greatest(dd, 0.005) AS oos_maxdd, mean_oos / greatest(dd, 0.005) AS return_per_dd, pct * 100 AS pct_profitable, oos_trades FROM study0)"""
 
+def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of each market that walk by its trades' R: open where the day before closed, shadows of a quarter."""
+    from pyspark.sql import Window
+
+    d = trades(spark, sf_dir).groupBy("market", "day").agg(F.sum(F.col("r").cast("decimal(18,6)")).cast("double").alias("move"))
+    close = 200 + F.sum("move").over(Window.partitionBy("market").orderBy("day"))
+    x = d.withColumn("close", close).withColumn("open", F.col("close") - F.col("move")).withColumn("shadow", F.abs("move") / 4)
+    return x.select(
+        "market", F.timestamp_seconds(F.col("day").cast("long") * 86_400).alias("ts"), "open", (F.greatest("open", "close") + F.col("shadow")).alias("high"), (F.least("open", "close") - F.col("shadow")).alias("low"), "close"
+    )
+
+
 #: Money of deals.
 MONEY = T.DecimalType(18, 4)
 

@@ -9,11 +9,6 @@ from sparkfolio.operators import inference as inf
 
 
 def test_block_length():
-    rng = np.random.default_rng(731)
-    x, prior = [], 0.0
-    for e in rng.normal(size=240):
-        prior = 0.35 * prior + e
-        x.append(prior)
     cases = [(np.arange(2.0), 1.0), (np.array([1.0, -1, 1]), 3.634241185664279), (np.array([1.0, -1, 1, -1]), 1.587401051968198), (np.arange(5.0), 1.3049558803896213), (np.arange(6.0), 1.1447142425533319)]
     for values, want in cases:
         assert inf.block_length(values) == pytest.approx(want, rel=1e-12)
@@ -24,11 +19,14 @@ def test_clopper_pearson():
         assert inf.clopper_pearson_upper(k, 10) == pytest.approx(want, rel=1e-12)
 
 
-def test_stepdown_and_studentized():
-    boot = np.array([[4, 0, 0], [0, 2.5, 0], [0, 0, 1.5], [0, 0, 0]], float)
-    assert list(inf.stepdown(np.array([3.0, 2, 1]), boot, ["a", "b", "c"]).values()) == pytest.approx([0.4, 0.4, 0.4])
+def test_stepdown():
+    drawn = np.array([[4, 0, 0], [0, 2.5, 0], [0, 0, 1.5], [0, 0, 0]], float) + np.array([3.0, 2, 1])
+    f = inf.Family(["a", "b", "c"], np.array([3.0, 2, 1]), np.full(3, 100.0), 100, np.ones((3, 3)))
+    assert [x[2] for x in f.decided(f.count(drawn), 4)] == pytest.approx([0.4, 0.4, 0.4])
     obs, b = inf.studentized(np.array([0.1, -0.2]), np.array([[0.2, -0.1], [0, -0.4]]), np.array([1.0, 4.0]), 100)
     assert obs == pytest.approx([1, -1]) and b == pytest.approx(np.array([[1, 0.5], [-1, -1]]))
+    with pytest.raises(ValueError):
+        inf.Family(["a", "b"], np.array([1.0, 2]), np.array([1.0, 0]), 100, np.ones((2, 2)))
 
 
 def test_indices_are_circular_blocks():
@@ -44,18 +42,41 @@ def test_long_run_variance_is_the_bootstrap_variance():
     assert drawn.var(axis=0) * 60 == pytest.approx(inf.long_run_variances(x, 6.0), rel=0.05)
 
 
-def test_selection_procedures_find_the_good_model():
+def plain_family(means, boot, variances, n):
+    """SPA, step-down and confidence set one replication and one pair at a time."""
+    m, reps, se = len(means), len(boot), [math.sqrt(v / n) for v in variances]
+    t = [means[i] / se[i] for i in range(m)]
+    keep = [means[i] if t[i] > -math.sqrt(2 * math.log(math.log(n))) else 0.0 for i in range(m)]
+    spa = sum(max(0, *((b[i] - keep[i]) / se[i] for i in range(m))) >= max(0, *t) for b in boot)
+    down, left, least = {}, list(range(m)), 0.0
+    while left:
+        i = max(left, key=lambda k: (t[k], -k))
+        least = max(least, (sum(max((b[k] - means[k]) / se[k] for k in left) >= t[i] for b in boot) + 1) / (reps + 1))
+        down[i] = least
+        left.remove(i)
+    dev = lambda b, i, j: (b[i] - b[j]) - (means[i] - means[j])
+    sd = {(i, j): math.sqrt(sum(dev(b, i, j) ** 2 for b in boot) / reps) or 1.0 for i in range(m) for j in range(m)}
+    kept, left, least = {}, list(range(m)), 0.0
+    while len(left) > 1:
+        pairs = [(i, j) for i in left for j in left if i != j]
+        widest = max((means[i] - means[j]) / sd[i, j] for i, j in pairs)
+        least = max(least, (sum(max(abs(dev(b, i, j)) / sd[i, j] for i, j in pairs) >= widest for b in boot) + 1) / (reps + 1))
+        worst = min(left, key=lambda i: (min((means[i] - means[j]) / sd[i, j] for j in left), i))
+        kept[worst] = least
+        left.remove(worst)
+    kept[left[0]] = 1.0
+    return [(down[i], kept[i], (spa + 1) / (reps + 1)) for i in range(m)]
+
+
+def test_family_tests(spark):
     rng = np.random.default_rng(8)
-    x = rng.normal(0, 1, (300, 4)) + np.array([0.6, 0.0, 0.0, -0.5])
-    boot = x[inf.indices(300, 3.0, 999, 2)].mean(axis=1)
-    v, names = inf.long_run_variances(x, 3.0), list("abcd")
-    assert inf.spa(x.mean(axis=0), boot, v, 300) <= 0.01
-    assert inf.spa(x[:, 1:].mean(axis=0) * 0, boot[:, 1:] - x[:, 1:].mean(axis=0), v[1:], 300) > 0.5
-    obs, b = inf.studentized(x.mean(axis=0), boot - x.mean(axis=0) + x.mean(axis=0), v, 300)
-    p = inf.stepdown(obs, b, names)
-    assert p["a"] <= 0.01 and p["d"] > 0.5
-    mcs = inf.confidence_set(x.mean(axis=0), boot, names)
-    assert mcs["a"] == 1.0 and max(mcs[k] for k in "bcd") < 0.1
+    x, names = rng.normal(0, 1, (120, 5)) + np.array([0.4, 0.0, 0.1, -0.5, 0.3]), list("abcde")
+    got = inf.family_tests(spark, x, names, 3.0, 1200, 2).orderBy("candidate").collect()
+    boot = np.concatenate([x[inf.indices(120, 3.0, size, 2, c)].mean(axis=1) for c, size in enumerate((500, 500, 200))])
+    want = plain_family(x.mean(axis=0), boot, inf.long_run_variances(x, 3.0), 120)
+    for r, w in zip(got, want):
+        assert (r["stepdown_p"], r["mcs_p"], r["spa_p"]) == pytest.approx(w, abs=1e-12)
+    assert got[0]["stepdown_p"] < 0.05 and got[3]["mcs_p"] < 0.05 and got[0]["mcs_p"] == 1.0
 
 
 def test_sharpe_and_kelly():
@@ -68,7 +89,8 @@ def test_sharpe_and_kelly():
 
 
 def test_replay(spark):
-    rows = [(1, 0, 100.0, 50.0, 0.0, 50.0), (1, 1, 1000.0, -100.0, -100.0, -100.0), (2, 0, 1000.0, 0.0, -25.0, 0.0), (3, 0, 1000.0, 0.0, -24.99, 0.0)]
+    rows = [(1, 0, 100.0, 50.0, 0.0, 50.0), (1, 1, 1000.0, -100.0, -100.0, -100.0), (2, 0, 1000.0, 0.0, -25.0, 0.0), (3, 0, 1000.0, 0.0, -24.99, 0.0), (4, 0, 1000.0, -1200.0, -1200.0, 0.0), (4, 1, 1000.0, 100.0, 0.0, 0.0)]
     got = {r["rep"]: r for r in inf.replay(spark.createDataFrame(rows, "rep long, step int, open double, pnl double, low double, equity_change double"), 1000.0).collect()}
     assert got[1]["final_return"] == pytest.approx(0.35) and got[1]["daily_breach"]
     assert got[2]["internal_breach"] and not got[2]["daily_breach"] and not got[3]["internal_breach"]
+    assert got[4]["final_return"] == pytest.approx(-1.22) and got[4]["daily_breach"] and got[4]["trailing_breach"] and got[4]["max_dd"] == pytest.approx(1.22)
