@@ -191,34 +191,32 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return bucket_links(fps.select("fp", F.explode(F.array(*keys)).alias("key")), radius, tile)
 
 
-def bucket_links(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """rows: fp, key. Returns a, b: for each key a spanning forest of the links among its fingerprints."""
-    big = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    usual = rows.join(big, "key", "left_anti").select(F.col("key").alias("bucket"), "fp")
-    tiles = F.ceil(F.col("n") * 2 / tile).cast("long")
-    own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("tiles"))
-    split = rows.join(big, "key").withColumn("tiles", tiles).withColumn("own", own)
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    split = split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
+def _compared(rows: DataFrame, radius: int, most: int | None = None) -> DataFrame:
+    """rows: bucket, fp. a, b: a forest of each bucket's links, bucket null. The rows of a bucket of over `most` come
+    back as they are instead: a their fp, b null, and their bucket."""
+    names = ["a", "b", "bucket"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+    def links_(t: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = _bucket_edges(t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], names)
 
-        def made(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = _bucket_edges(k, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def whole(t: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([t.column(1), pa.nulls(t.num_rows, pa.int64()), t.column(0)], names)
 
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if whole:
-                yield made(key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
-        if len(key):
-            yield made(key, fp)
-
-    return usual.unionByName(split).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(_by_group(links_, most, whole), "a long, b long, bucket long")
+
+
+def bucket_links(rows: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """rows: fp, key. Returns a, b: for each key a spanning forest of the links among its fingerprints. One shuffle;
+    only the rows of keys with over `tile` of them go through another, dealt as pairs of tiles."""
+    x = stored(_compared(rows.select(F.col("key").alias("bucket"), "fp"), radius, tile), "links")
+    big = x.where("bucket IS NOT NULL").select(F.col("bucket").alias("key"), F.col("a").alias("fp"))
+    size = big.groupBy("key").agg(F.count("*").alias("n"))
+    split = big.join(size, "key").withColumn("tiles", F.ceil(F.col("n") * 2 / tile).cast("long")).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("tiles")))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiles = split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
+    return x.where("bucket IS NULL").select("a", "b").unionByName(_compared(tiles, radius).select("a", "b"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
