@@ -74,3 +74,13 @@ def bar_start(ts: Column, hours: int = BAR_HOURS) -> Column:
 
 def window_label(start: Column, end: Column) -> Column:
     return F.concat(F.date_format(start, "yyyy-MM"), F.lit(".."), F.date_format(end, "yyyy-MM"))
+
+
+def epoch_nanoseconds(ts: Column) -> Column:
+    """Nanoseconds since 1970, whatever the unit of the timestamp's own storage."""
+    return F.unix_micros(as_utc(ts)) * 1000
+
+
+def anniversary(start: Column, months: int) -> Column:
+    """The date so many months on; a day that its month lacks becomes the month's last."""
+    return F.add_months(F.to_date(start), months)

@@ -72,3 +72,65 @@ def shortest_match(left: DataFrame, right: DataFrame, base: str, name: str) -> D
     is a terminal's symbol list, keyed by its prefixes so that the match is an equi join."""
     pre = right.select(F.col(name), F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(F.col(name), F.lit(1), n))).alias(base))
     return left.join(pre, base, "left").groupBy(base).agg(F.min(F.struct(F.length(name).alias("n"), F.col(name).alias("match")))["match"].alias("match"))
+
+
+def closed_positions(positions: DataFrame, since=None, closed: str = "ts_closed") -> DataFrame:
+    """Positions that are closed, at `since` or later."""
+    x = positions.where(F.col(closed).isNotNull())
+    return x if since is None else x.where(F.col(closed) >= F.lit(since))
+
+
+def at_most(p: Column, limit: str = "0.05") -> Column:
+    """p <= limit as exact decimals; false for null and NaN."""
+    return F.coalesce(p.cast("decimal(38,18)") <= F.lit(limit).cast("decimal(38,18)"), F.lit(False))
+
+
+def verdict(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """passed, when all checks hold, and the names of those that don't, in order; a null check doesn't hold."""
+    bad = F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks)), lambda n: n.isNotNull())
+    return df.withColumn("failed", bad).withColumn("passed", F.size("failed") == 0)
+
+
+def gated(gates: list[Column], forced: Column) -> Column:
+    """All gates hold and the choice wasn't forced."""
+    both = F.lit(True)
+    for g in gates:
+        both = both & F.coalesce(g, F.lit(False))
+    return both & ~F.coalesce(forced, F.lit(False))
+
+
+def disagreeing(params: DataFrame, by: list[str], key: str, value: str, switchable: tuple[str, ...] = ()) -> DataFrame:
+    """Parameters that one continuous run needs to be constant but whose chosen values differ; null is a value."""
+    v = F.coalesce(F.col(value).cast("string"), F.lit("None"))
+    x = params.where(~F.col(key).isin(*switchable)) if switchable else params
+    return x.groupBy(*by, key).agg(F.countDistinct(v).alias("values"), F.min(v).alias("least"), F.max(v).alias("most")).where("values > 1")
+
+
+def renamed(positions: DataFrame, names: DataFrame, symbol: str, old: str, new: str) -> DataFrame:
+    """positions with `market`: the new name of their symbol, or the symbol itself where there is none."""
+    n = names.select(F.col(old).alias("__old"), F.col(new).alias("__new"))
+    return positions.join(n, F.col(symbol) == F.col("__old"), "left").withColumn("market", F.coalesce("__new", symbol)).drop("__old", "__new")
+
+
+def uncovered(part: DataFrame, whole: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of part that whole lacks; empty if part is a subset. Nulls are equal."""
+    return part.select(*on).distinct().exceptAll(whole.select(*on).distinct())
+
+
+def pooled(series: list[DataFrame]) -> DataFrame:
+    """cohort, source, day, r of several fragments as one series. Fails where cohorts or sources differ or a day repeats."""
+    x = series[0]
+    for s in series[1:]:
+        x = x.unionByName(s)
+    one = x.agg(F.countDistinct("cohort").alias("c"), F.countDistinct("source").alias("s"), F.count("*").alias("n"), F.countDistinct("day").alias("d")).first()
+    if one["c"] > 1 or one["s"] > 1:
+        raise ValueError("fragments of different cohorts or sources can't be pooled")
+    if one["n"] != one["d"]:
+        raise ValueError("pooled fragments repeat a day")
+    return x
+
+
+def trial_budget(study: DataFrame, manual: int = 5) -> DataFrame:
+    """How many trials a study stands for: variations x train lengths x combinations, and those made by hand."""
+    x = study.agg(F.countDistinct("variation").alias("variations"), F.countDistinct("train_months").alias("lengths"), F.countDistinct("combo").alias("combos"))
+    return x.withColumn("trials", F.col("variations") * F.col("lengths") * F.col("combos") + manual)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import base, books, edge, inference, market  # noqa: F401
+from .queries import accounts, base, books, edge, inference, market, scalars  # noqa: F401
 
 
 def queries() -> dict:
