@@ -108,11 +108,13 @@ def signal_table(bars: DataFrame, by: list[str], p: EntryRules = EntryRules()) -
     return bars.select(*by, "ts", "open", "high", "low", "close").groupBy(*by).applyInPandas(f, f"{kinds}, buy boolean, sell boolean")
 
 
-def simulate_positions(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, buy: np.ndarray, sell: np.ndarray, allowed: np.ndarray, sl_pct: float, tp_pct: float, long_only: bool = False) -> list[tuple]:
+def simulate_positions(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, buy: np.ndarray, sell: np.ndarray, allowed: np.ndarray, sl_pct: float | np.ndarray, tp_pct: float | np.ndarray, long_only: bool = False) -> list[tuple]:
     """(opened bar, closed bar, is_long, entry, exit). A signal fills at the next bar's open; stop and target hang on
     the fill. A bar that opens beyond the stop fills there; a bar that reaches both counts as the stop. An opposite
-    signal closes and, unless long_only, reverses; entries need `allowed`; an open position at the end stays open."""
+    signal closes and, unless long_only, reverses; entries need `allowed`; an open position at the end stays open. Stops
+    and targets may differ by bar: those of the bar that fills hold for the position's life."""
     out, pos = [], None
+    sls, tps = np.broadcast_to(sl_pct, len(close)), np.broadcast_to(tp_pct, len(close))
     for i in range(1, len(close)):
         want = 1 if buy[i - 1] else -1 if sell[i - 1] else 0
         if want and pos and pos[1] != want:
@@ -120,7 +122,7 @@ def simulate_positions(open_: np.ndarray, high: np.ndarray, low: np.ndarray, clo
             pos = None
         if want and pos is None and allowed[i] and (want > 0 or not long_only):
             e = open_[i]
-            pos = (i, want, e, e * (1 - want * sl_pct / 100), e * (1 + want * tp_pct / 100))
+            pos = (i, want, e, e * (1 - want * sls[i] / 100), e * (1 + want * tps[i] / 100))
         if pos:
             _, side, e, stop, target = pos
             hit_stop = low[i] <= stop if side > 0 else high[i] >= stop

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as tx
-from ..operators import curves, indicators, joins, signals, stats
+from ..operators import curves, indicators, joins, runners, signals, stats
 from ..sources import tables as tb
 from .base import query
 
@@ -259,3 +259,21 @@ def w05(spark, sf):
     t = t39(spark, sf).withColumn("pnl", F.col("r") * 100)
     x = stats.calmar(t, ["market", "combo"], ["ts_closed", "ts_opened"], "pnl", 100_000.0)
     return x.where("score IS NOT NULL").groupBy("market").agg(F.max("score").alias("best"), F.min_by("combo", F.struct(-F.col("score"), "combo")).alias("combo"))
+
+
+#: The grid of the walk-forward runs: stops and targets in percent.
+GRID = [(f"sl={s},tp={t}", s, t) for s in (1.0, 2.0) for t in (1.0, 2.0, 4.0)]
+
+
+@query("W09_walk_forward")
+def w09(spark, sf):
+    """Daily bars make few trades a window; windows with under ten keep the first combination."""
+    return runners.walk_forward(tb.walk(spark, sf), tb.windows(spark), GRID, ["market"], tb.BASE_RISK, RULES)
+
+
+@query("W08_window_matrix")
+def w08(spark, sf):
+    bars, w = tb.walk(spark, sf), tb.windows(spark)
+    tasks = bars.select("market").distinct().join(F.broadcast(w.select("ordinal")))  # a row a window
+    picked = runners.choose(runners.training_trades(bars, w, GRID, ["market"], RULES), tasks, GRID, ["market"], tb.BASE_RISK)
+    return runners.window_matrix(runners.continuous(bars, picked, w, GRID, ["market"], RULES, matrix=True), w, ["market"], tb.BASE_RISK)
