@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import pricing as px
-from ..operators import accounts, curves, inference, joins, ledger, monitoring, paths, selection, stats
+from ..operators import accounts, curves, inference, intraday, joins, ledger, monitoring, paths, selection, stats
 from ..sources import tables as tb
 from .base import query
 from .books import LED, TRIPS, deals
@@ -89,6 +89,14 @@ def t45(spark, sf):
     return x.select("account", "day", "opening", "minimum", F.when(F.col("opening") > 0, F.col("daily_loss")).alias("daily_loss"), "floor", "daily_breach", "trailing_breach")
 
 
+@query("T44_intraday_minima")
+def t44(spark, sf):
+    """Positions of odd ids are long; those of a microsecond lie in the bar of their own event."""
+    b = tb.bars(spark, sf).select("market", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "low", "high", "close")
+    t = positions(spark, sf).withColumn("is_long", F.col("id") % 2 == 1).withColumn("size", F.lit(1.0))
+    return intraday.minima(t, b, flat(spark, sf).select("account", "day", "opening", "equity"), START)
+
+
 SCENARIOS = f"""{HELD},
 scen AS (SELECT account, day, opening, balance - lag(balance, 1, {START}) OVER w AS balance_change, equity - lag(equity, 1, {START}) OVER w AS equity_change, minimum - opening AS to_minimum, trades, swap FROM diag WINDOW w AS (PARTITION BY account ORDER BY day))"""
 
