@@ -100,3 +100,15 @@ def observations(spark: SparkSession, path: str, cohort: str, source: str) -> Da
     x = x.select("loss_day", "source", F.expr(f"try_cast(daily_r as {EXACT})").alias("daily_r"))
     _refuse({"other sources": F.count_if(~F.col("source").eqNullSafe(F.lit(source))) > 0, "not a decimal": F.count_if(F.col("daily_r").isNull()) > 0, "a day repeats or is null": (F.count("*") != F.countDistinct("loss_day"))}, x, path)
     return x.drop("source")
+
+
+def pooled(spark: SparkSession, paths: list[str], cohort: str, source: str) -> DataFrame:
+    """The observations of one cohort held in several places. ValueError without a place, when sources mix, or when a
+    day is in two of them."""
+    if not paths:
+        raise ValueError("nothing to pool")
+    x = observations(spark, paths[0], cohort, source)
+    for p in paths[1:]:
+        x = x.unionByName(observations(spark, p, cohort, source))
+    _refuse({"a day repeats": F.count("*") != F.countDistinct("loss_day")}, x, cohort)
+    return x

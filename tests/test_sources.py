@@ -99,6 +99,13 @@ def test_studies_swaps_observations(spark, tmp_path):
         with pytest.raises(ValueError):
             bad()
     assert artifacts.observations(spark, path, "c", "live").count() == 2
+    more, again = str(tmp_path / "more"), str(tmp_path / "again")
+    artifacts.append_observations(spark, day(3), more, "c", "live")
+    artifacts.append_observations(spark, day(2), again, "c", "live")
+    assert artifacts.pooled(spark, [path, more], "c", "live").count() == 3
+    for places in ([], [path, again]):
+        with pytest.raises(ValueError):
+            artifacts.pooled(spark, places, "c", "live")
 
 
 def test_publish(spark, tmp_path):
