@@ -18,11 +18,12 @@ from .common import delete, scratch_path
 DIMS, SCALE, CLUSTERS, ROUNDS, SEED = 64, 1024, 8, 10, 3
 #: Largest component in steps: squared distances of 64 components then fit 64 bits. Up to EXACT doubles hold them exactly.
 MOST, EXACT = 1 << 27, 1 << 21
+RAISED = 1 << 31
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", dims: int = DIMS, scale: int = SCALE) -> DataFrame:
     """id and key for each row whose vector has exactly dims components, none null, NaN or infinite: floor(scale * x) of each
-    as little-endian 32-bit integers. Other rows are left out. A component beyond 2**27 steps fails the job: distances
+    as big-endian 32-bit integers raised by 2**31, so keys sort as vectors do. Other rows are left out. A component beyond 2**27 steps fails the job: distances
     would not fit 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +35,7 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             q = np.floor(scale * x[good])
             if q.size and np.abs(q).max() > MOST:
                 raise ValueError(f"a component is beyond {MOST} steps")
-            keys = pa.Array.from_buffers(pa.binary(4 * dims), len(q), [None, pa.py_buffer(np.ascontiguousarray(q.astype("<i4")))])
+            keys = pa.Array.from_buffers(pa.binary(4 * dims), len(q), [None, pa.py_buffer(np.ascontiguousarray((q + RAISED).astype(">u4")))])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), keys.cast(pa.binary())], ["id", "key"])
 
     return df.select(df[id_col].cast("long"), df[vector].cast("array<double>")).mapInArrow(run, "id long, key binary")
@@ -48,7 +49,7 @@ def start(rows: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> np.ndarray:
 
 
 def _vectors(keys: list) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<i4") for x in keys]).astype(np.int64) if keys else np.empty((0, 0), np.int64)
+    return np.stack([np.frombuffer(x, ">u4") for x in keys]).astype(np.int64) - RAISED if keys else np.empty((0, 0), np.int64)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def _blocks(batch: pa.RecordBatch, rows: int = 4096) -> Iterator[tuple[pa.Record
         part = batch.slice(a, rows)
         key = part.column(0)
         data, first = np.frombuffer(key.buffers()[2], np.uint8), np.frombuffer(key.buffers()[1], np.int32)[key.offset : key.offset + len(key) + 1]
-        yield part, data[first[0] : first[-1]].view("<i4").reshape(len(key), -1).astype(np.int64)
+        yield part, data[first[0] : first[-1]].view(">u4").reshape(len(key), -1).astype(np.int64) - RAISED
 
 
 def weighted_sums(distinct: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
