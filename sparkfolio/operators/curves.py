@@ -1,40 +1,45 @@
-"""Equity curves, drawdowns, floors and daily grids as windows."""
+"""Equity curves, drawdowns, floors and daily grids. Where a curve can be long, width is the days or units of its first
+order column that one task takes (see scans); without it a group is one window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 
-def _upto(by: list[str], order: list[str]):
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, to: str, start: float = 0.0, width: int | None = None) -> DataFrame:
+    x = scans.running(df, by, order, scans.cut_by(df, order[0], width), {"__sum": ("sum", F.col(value))})
+    return x.withColumn(to, start + F.col("__sum")).drop("__sum")
 
-def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, to: str, start: float = 0.0) -> DataFrame:
-    return df.withColumn(to, start + F.sum(value).over(_upto(by, order)))
 
+def _peaks(curve: DataFrame, by: list[str], order: list[str], value: str, width: int | None) -> DataFrame:
+    return scans.running(curve, by, order, scans.cut_by(curve, order[0], width), {"peak": ("max", F.col(value))})
 
-def equity_curve(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float) -> DataFrame:
+
+def equity_curve(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, width: int | None = None) -> DataFrame:
     """by, step, equity: step 0 is the start, step k the equity after k trades."""
-    x = df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("step"), F.col(pnl).alias("pnl"))
-    x = x.unionByName(df.select(*by).distinct().select(*by, F.lit(0).alias("step"), F.lit(0.0).alias("pnl")))
-    return running_sum(x, by, ["step"], "pnl", "equity", start).select(*by, "step", "equity")
+    own = df.select(*by, *(c for c in order if c not in by), F.col(pnl).alias("__pnl"))
+    x = scans.running(own, by, order, scans.cut_by(own, order[0], width), {"step": ("count", F.lit(1)), "equity": ("sum", F.col("__pnl"))})
+    x = x.select(*by, F.col("step").cast("int").alias("step"), (start + F.col("equity")).alias("equity"))
+    return x.unionByName(df.select(*by).distinct().select(*by, F.lit(0).alias("step"), F.lit(float(start)).alias("equity")))
 
 
-def max_drawdown(curve: DataFrame, by: list[str], order: list[str], equity: str = "equity") -> DataFrame:
+def max_drawdown(curve: DataFrame, by: list[str], order: list[str], equity: str = "equity", width: int | None = None) -> DataFrame:
     """Largest fall from the running peak, as a share of the peak."""
-    x = curve.withColumn("peak", F.max(equity).over(_upto(by, order)))
+    x = _peaks(curve, by, order, equity, width)
     return x.groupBy(*by).agg(F.max((F.col("peak") - F.col(equity)) / F.col("peak")).alias("max_drawdown"))
 
 
-def drawdown_series(curve: DataFrame, by: list[str], order: list[str], equity: str = "equity") -> DataFrame:
-    return curve.withColumn("drawdown", F.col(equity) / F.max(equity).over(_upto(by, order)) - 1)
+def drawdown_series(curve: DataFrame, by: list[str], order: list[str], equity: str = "equity", width: int | None = None) -> DataFrame:
+    return _peaks(curve, by, order, equity, width).withColumn("drawdown", F.col(equity) / F.col("peak") - 1).drop("peak")
 
 
-def trailing_floor(curve: DataFrame, by: list[str], order: list[str], balance: str, start: float, limit: float) -> DataFrame:
+def trailing_floor(curve: DataFrame, by: list[str], order: list[str], balance: str, start: float, limit: float, width: int | None = None) -> DataFrame:
     """The floor follows the highest balance, the same day's close included, and never exceeds the start."""
-    high = F.greatest(F.lit(start), F.max(balance).over(_upto(by, order)))
-    return curve.withColumn("floor", F.least(F.lit(start), high - limit * start))
+    high = F.greatest(F.lit(start), F.col("peak"))
+    return _peaks(curve, by, order, balance, width).withColumn("floor", F.least(F.lit(start), high - limit * start)).drop("peak")
 
 
 def trailing_check(curve: DataFrame, by: list[str], order: str, equity: str, balance: str, start: float, limit: float) -> DataFrame:
@@ -81,7 +86,9 @@ def base_curves(trades: DataFrame, prices: DataFrame, grid: DataFrame) -> DataFr
     return x.select("day", "realized", "unrealized")
 
 
-def assign_r(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, risk: float, fixed: bool) -> DataFrame:
+def assign_r(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, risk: float, fixed: bool, width: int | None = None) -> DataFrame:
     """R of each trade over the start (fixed) or over the balance before it (walked), times the base risk."""
-    before = F.coalesce(F.sum(pnl).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn("r_multiple", F.col(pnl) / (risk * (F.lit(start) if fixed else start + before)))
+    if fixed:
+        return df.withColumn("r_multiple", F.col(pnl) / F.lit(risk * start))
+    x = scans.running(df, by, order, scans.cut_by(df, order[0], width), {"__before": ("sum", F.col(pnl))}, exclusive=True)
+    return x.withColumn("r_multiple", F.col(pnl) / (risk * (start + F.coalesce("__before", F.lit(0.0))))).drop("__before")

@@ -1,4 +1,5 @@
-"""Indicators over bars. Windows where a frame is enough; grouped maps for recurrences on their own output."""
+"""Indicators over bars: frames of the last n rows, and recurrences on their own output as scans of affine maps. width is
+the days of a market that one task takes (see scans); without it a market is one task."""
 
 from __future__ import annotations
 
@@ -7,24 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 
-def _frame(by: list[str], n: int):
-    return Window.partitionBy(*by).orderBy("ts").rowsBetween(1 - n, 0)
 
-
-def williams_r(bars: DataFrame, by: list[str], n: int) -> DataFrame:
+def williams_r(bars: DataFrame, by: list[str], n: int, width: int | None = None) -> DataFrame:
     """100 (close - highest) / (highest - lowest) of n bars; 0 before n bars and without a range."""
-    w, at = _frame(by, n), F.row_number().over(Window.partitionBy(*by).orderBy("ts"))
-    hi, lo = F.max("high").over(w), F.min("low").over(w)
-    return bars.withColumn("wpr", F.when((at >= n) & (hi > lo), 100 * (F.col("close") - hi) / (hi - lo)).otherwise(0.0))
+    x = scans.rolling(bars, by, ["ts"], scans.cut_by(bars, "ts", width), n, {"__hi": F.max("high"), "__lo": F.min("low")})
+    hi, lo = F.col("__hi"), F.col("__lo")
+    return x.withColumn("wpr", F.when((F.col("__at") >= n) & (hi > lo), 100 * (F.col("close") - hi) / (hi - lo)).otherwise(0.0)).drop("__hi", "__lo", "__at")
 
 
-def bollinger(bars: DataFrame, by: list[str], n: int, mult: float) -> DataFrame:
+def bollinger(bars: DataFrame, by: list[str], n: int, mult: float, width: int | None = None) -> DataFrame:
     """Mean and mean -/+ mult population deviations of n closes; null before n bars."""
-    w = _frame(by, n)
-    full = F.count("close").over(w) == n
-    mid, dev = F.avg("close").over(w), F.stddev_pop("close").over(w)
-    return bars.withColumn("mid", F.when(full, mid)).withColumn("lower", F.when(full, mid - mult * dev)).withColumn("upper", F.when(full, mid + mult * dev))
+    x = scans.rolling(bars, by, ["ts"], scans.cut_by(bars, "ts", width), n, {"__n": F.count("close"), "__mid": F.avg("close"), "__dev": F.stddev_pop("close")})
+    full, mid, dev = F.col("__n") == n, F.col("__mid"), F.col("__dev")
+    bands = {"mid": F.when(full, mid), "lower": F.when(full, mid - mult * dev), "upper": F.when(full, mid + mult * dev)}
+    return x.withColumns(bands).drop("__n", "__mid", "__dev", "__at")
 
 
 def realized_vol(daily: DataFrame, by: list[str], n: int, close: str = "close", day: str = "day") -> DataFrame:
@@ -64,15 +63,16 @@ def rsi(close: np.ndarray, n: int, scale: float = 100.0) -> np.ndarray:
     return np.where(total > 0, scale * up / np.where(total > 0, total, 1), scale / 2)
 
 
-def smoothed(bars: DataFrame, by: list[str], ema_n: int, rsi_n: int, scale: float = 100.0) -> DataFrame:
-    """bars and ema, rsi. One market's history is a sequence, so each group is one task; groups run in parallel."""
-    schema = bars.select("*", F.lit(0.0).alias("ema"), F.lit(0.0).alias("rsi")).schema
-
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pdf.assign(ema=ema(pdf["close"].to_numpy(), ema_n), rsi=rsi(pdf["close"].to_numpy(), rsi_n, scale))
-
-    return bars.groupBy(*by).applyInPandas(f, schema)
+def smoothed(bars: DataFrame, by: list[str], ema_n: int, rsi_n: int, scale: float = 100.0, width: int | None = None) -> DataFrame:
+    """bars and ema, rsi, as ema() and rsi() have them. Each is an affine recurrence, so a cut of a market is a map of what
+    enters it, and maps are composed; the first change of a cut is from the last close before it."""
+    cut = scans.cut_by(bars, "ts", width)
+    x = scans.lagged(bars, by, ["ts"], cut, "close", "__b")
+    step = F.coalesce(F.col("close") - F.col("__b"), F.lit(0.0))
+    x = x.withColumns({"__up": F.greatest(step, F.lit(0.0)), "__down": F.greatest(-step, F.lit(0.0))})
+    x = scans.affine(x, by, ["ts"], cut, {"ema": (2 / (ema_n + 1), "close", "first"), "__u": (1 / rsi_n, "__up", 0.0), "__d": (1 / rsi_n, "__down", 0.0)})
+    total = F.col("__u") + F.col("__d")
+    return x.withColumn("rsi", F.when(total > 0, scale * F.col("__u") / total).otherwise(scale / 2)).select(*bars.columns, "ema", "rsi")
 
 
 def warm(by: list[str], bars_needed: int) -> Column:

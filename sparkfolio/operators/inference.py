@@ -212,15 +212,17 @@ def clopper_pearson_upper(events: int, trials: int, confidence: float = 0.95) ->
     Newton's steps on the binomial distribution function, whose slope is the density of a beta variable."""
     if events >= trials:
         return 1.0
-    choose = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) for k in range(events + 1)]
-    term = lambda p, k: math.exp(choose[k] + k * math.log(p) + (trials - k) * math.log1p(-p))
+    k = np.arange(events + 1)
+    choose = np.array([math.lgamma(trials + 1) - math.lgamma(i + 1) - math.lgamma(trials - i + 1) for i in k])
     low, high, p = 0.0, 1.0, (events + 1) / (trials + 1)
     for _ in range(200):
-        over = math.fsum(term(p, k) for k in range(events + 1)) - (1 - confidence)
+        terms = np.exp(choose + k * math.log(p) + (trials - k) * math.log1p(-p))
+        over = math.fsum(terms) - (1 - confidence)
         low, high = (p, high) if over > 0 else (low, p)
-        step = p + over / (term(p, events) * (trials - events) / (1 - p))
-        step = step if low < step < high else (low + high) / 2
-        if step == p:
+        slope = terms[-1] * (trials - events) / (1 - p)
+        step = p + over / slope if slope > 0 else low  # far from the root the slope vanishes
+        step = float(step) if low < step < high else (low + high) / 2
+        if step in (p, low, high):
             break
         p = step
     return p
@@ -249,24 +251,3 @@ def kelly_fraction(r: np.ndarray, alpha: float, beta: float, most: float = 0.05)
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         lo, hi = (lo, b) if growth(a) >= growth(b) else (a, hi)
     return (lo + hi) / 2
-
-
-def replay(paths: DataFrame, start: float, daily: float = 0.03, trailing: float = 0.06, internal: float = 0.025) -> DataFrame:
-    """paths: rep, step, open, pnl, low, equity_change (money relative to open): per path the final return, breaches of
-    the daily (>=) and trailing (<=, the day's close counts in its high) limits and the largest drawdown. Each path is
-    folded in order of its steps, which are as many as it has days; one that is ruined stays at what it lost."""
-    days = F.sort_array(F.collect_list(F.struct("step", (F.col("pnl") / F.col("open")).alias("change"), (F.least(F.col("low"), F.lit(0.0)) / F.col("open")).alias("worst"))))
-    no, money = F.lit(False), F.lit(float(start))
-    first = F.struct(money.alias("close"), money.alias("high"), F.lit(0.0).alias("dd"), no.alias("d"), no.alias("i"), no.alias("t"))
-
-    def day(a, x):
-        close, least = a["close"] * (1 + x["change"]), a["close"] * (1 + x["worst"])
-        high = F.greatest(a["high"], close)
-        loss = F.try_divide(a["close"] - least, a["close"])
-        return F.struct(
-            close.alias("close"), high.alias("high"), F.greatest(a["dd"], (high - close) / high).alias("dd"), (a["d"] | F.coalesce(loss >= daily, no)).alias("d"),
-            (a["i"] | F.coalesce(loss >= internal, no)).alias("i"), (a["t"] | (least <= F.least(money, high - trailing * start))).alias("t"),
-        )
-
-    x = paths.groupBy("rep").agg(F.aggregate(days, first, day).alias("z"))
-    return x.select("rep", (F.col("z.close") / start - 1).alias("final_return"), F.col("z.d").alias("daily_breach"), F.col("z.i").alias("internal_breach"), F.col("z.t").alias("trailing_breach"), F.col("z.dd").alias("max_dd"))

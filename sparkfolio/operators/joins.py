@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, width: int | None = None) -> DataFrame:
     """left and, from the right row with the last `on` at or (strict) before left's, the values; null if there is
-    none. One sort of the union by (by, on): no pairs are made. Right rows must be unique by (by, on)."""
+    none. One sort of the union by (by, on): no pairs are made. Right rows must be unique by (by, on). width: the days
+    or units of `on` that one task takes; a cut without a right row gets the last one of the cuts before it."""
     cols = left.columns
     order = 1 if strict else 0  # strict: left rows go first at equal times
     a = left.select(*cols, *(F.lit(None).cast(right.schema[v].dataType).alias(f"__{v}") for v in values), F.lit(1 - order).alias("__side"), F.lit(False).alias("__right"))
     b = right.select(*(F.col(c) if c in {*by, on} else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), *(F.col(v).alias(f"__{v}") for v in values), F.lit(order).alias("__side"), F.lit(True).alias("__right"))
-    w = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     packed = F.when(F.col("__right"), F.struct(*(F.col(f"__{v}").alias(v) for v in values)))
-    x = a.unionByName(b).withColumn("__got", F.last(packed, True).over(w)).where(~F.col("__right"))
+    x = a.unionByName(b)
+    x = scans.running(x, by, [on, "__side"], scans.cut_by(x, on, width), {"__got": ("last", packed)}).where(~F.col("__right"))
     return x.select(*cols, *(F.col("__got")[v].alias(v) for v in values))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, number: Column | None = None) -> DataFrame:
-    """left and nearest: the right `on` with the least distance, the earlier on ties. Two as-ofs, one each way."""
+def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, width: int | None = None) -> DataFrame:
+    """left and nearest: the right `on` with the least distance, the earlier on ties. One sort of the union, in which the
+    last right row before and the first one after are looked up, by cuts as in asof."""
+    cols = left.columns
     r = right.select(*by, on).distinct()
-    back = asof(left, r.withColumn("before", F.col(on)), by, on, ["before"])
-    w = Window.partitionBy(*by).orderBy(F.desc(on), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    cols = back.columns
-    a = back.select(*cols, F.lit(1).alias("__side"))
-    b = r.select(*(F.col(c) if c in {*by, on} else F.lit(None).cast(back.schema[c].dataType).alias(c) for c in cols), F.lit(0).alias("__side"))
-    x = a.unionByName(b).withColumn("after", F.last(F.when(F.col("__side") == 0, F.col(on)), True).over(w)).where("__side = 1").drop("__side")
+    a = left.select(*cols, F.lit(1).alias("__side"))
+    b = r.select(*(F.col(c) if c in {*by, on} else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), F.lit(0).alias("__side"))
+    x = a.unionByName(b).withColumn("__turned", 1 - F.col("__side"))  # both ways the right row of an equal time counts
+    cut, found = scans.cut_by(x, on, width), F.when(F.col("__side") == 0, F.col(on))
+    x = scans.running(x, by, [on, "__side"], cut, {"before": ("last", found)})
+    x = scans.running(x, by, [on, "__turned"], cut, {"after": ("last", found)}, backward=True).where("__side = 1").drop("__side", "__turned")
     closer = F.col("after").isNotNull() & (F.col("before").isNull() | (F.col("after") - F.col(on) < F.col(on) - F.col("before")))
     return x.withColumn("nearest", F.when(closer, F.col("after")).otherwise(F.col("before"))).drop("before", "after")
 

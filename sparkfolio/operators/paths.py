@@ -8,13 +8,13 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import inference
 
-#: Block lengths tried beside the estimated one, and the limits of path risk.
-BLOCKS, MOST_BREACH, MOST_NEGATIVE = (5, 10, 20, 60), 0.01, 0.05
+#: Block lengths tried beside the estimated one.
+BLOCKS = (5, 10, 20, 60)
 #: Fixed values of the forward test: months, trades and confidence of its two looks.
 EFFICACY, FUTILITY = (30, 2400, 0.95), (18, 1400, 0.99)
 #: Days of a series that the driver takes: one row a day, so some 270 years.
@@ -29,76 +29,6 @@ def daily_values(df: DataFrame, day: str, value: str) -> list:
     return [r[1] for r in rows]
 
 
-def block_choices(values: list[float]) -> list[int]:
-    """The estimated mean block length, rounded up, then the fixed ones."""
-    return [inference.common_block_length([np.asarray(values, float)]), *BLOCKS]
-
-
-def drawn_rows(spark: SparkSession, n: int, mean_block: float, replications: int = inference.REPLICATIONS, seed: int = inference.SEED) -> DataFrame:
-    """rep, step, source: the source rows (from 0) of stationary bootstrap paths of n days, drawn in tasks."""
-    chunk = inference.CHUNK
-    sizes = [(c, min(chunk, replications - c * chunk)) for c in range(math.ceil(replications / chunk))]
-
-    def run(it):
-        for pdf in it:
-            for c, size in zip(pdf["chunk"], pdf["size"]):
-                rows = inference.indices(n, mean_block, size, seed, int(c))
-                for at in range(0, size, 50):
-                    part = rows[at : at + 50]
-                    rep = np.repeat(np.arange(len(part)) + c * chunk + at, n)
-                    yield pd.DataFrame({"rep": rep, "step": np.tile(np.arange(n), len(part)), "source": part.ravel()})
-
-    return spark.createDataFrame(sizes, "chunk long, size long").repartition(max(1, len(sizes))).mapInPandas(run, "rep long, step long, source long")
-
-
-def sample_paths(days: DataFrame, mean_block: float, replications: int = inference.REPLICATIONS, seed: int = inference.SEED) -> DataFrame:
-    """rep, step and all columns of a drawn scenario day: a day's values stay together. days has one row a day; its
-    number is checked, so it is broadcast to the draws."""
-    n = days.count()
-    if n > MOST_DAYS:
-        raise ValueError(f"a series of over {MOST_DAYS} days")
-    if not n:
-        return days.select(F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("step"), "*").limit(0)
-    numbered = days.withColumn("source", (F.row_number().over(Window.orderBy("day")) - 1).cast("long"))
-    return drawn_rows(days.sparkSession, n, mean_block, replications, seed).join(F.broadcast(numbered), "source").drop("source")
-
-
-def foreign(days: DataFrame, paths: DataFrame) -> DataFrame:
-    """Path rows that are no source day with all its values, and paths of another length than the source; empty if the
-    joint rows were kept."""
-    n = days.count()
-    odd = paths.select(days.columns).distinct().exceptAll(days.distinct()).select(F.lit("row").alias("what"), F.col("day").cast("long").alias("at"))
-    short = paths.groupBy("rep").count().where(F.col("count") != n).select(F.lit("length").alias("what"), F.col("rep").alias("at"))
-    return odd.unionByName(short)
-
-
-def growth(paths: DataFrame, change: str = "change") -> DataFrame:
-    """rep, growth: the product of 1 + change in order of the steps."""
-    days = F.transform(F.sort_array(F.collect_list(F.struct("step", F.col(change).alias("c")))), lambda x: x["c"])  # as many as a path has days
-    return paths.groupBy("rep").agg(F.aggregate(days, F.lit(1.0), lambda a, c: a * (1 + c)).alias("growth"))
-
-
-def profit_chance(paths: DataFrame, change: str = "change") -> DataFrame:
-    """The share of paths that end strictly above their start."""
-    return growth(paths, change).agg(F.avg((F.col("growth") > 1).cast("double")).alias("p_profit"), F.count("*").alias("paths"))
-
-
-def path_risk(replayed: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Of replayed paths: how many breach a limit of the account, the internal one, or end below their start, exact upper bounds
-    of these chances, and whether the internal breach and the negative return pass their limits. One row."""
-    x = replayed.agg(
-        F.count("*").alias("paths"), F.count_if(F.col("daily_breach") | F.col("trailing_breach")).alias("breaches"),
-        F.count_if(F.col("internal_breach") | F.col("daily_breach") | F.col("trailing_breach")).alias("internal"), F.count_if(F.col("final_return") < 0).alias("negative"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY max_dd)").alias("max_dd_p95"), F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY final_return)").alias("return_p05"),
-    ).first()
-    upper = {k: inference.clopper_pearson_upper(x[k], x["paths"], confidence) if x["paths"] else None for k in ("breaches", "internal", "negative")}
-    ok = lambda k, most: upper[k] is not None and upper[k] <= most
-    row = (x["paths"], x["breaches"], x["internal"], x["negative"], upper["breaches"], upper["internal"], upper["negative"], x["max_dd_p95"], x["return_p05"], ok("internal", MOST_BREACH), ok("negative", MOST_NEGATIVE))
-    return replayed.sparkSession.createDataFrame(
-        [row], "paths long, breaches long, internal long, negative long, breach_upper double, internal_upper double, negative_upper double, max_dd_p95 double, return_p05 double, breach_ok boolean, negative_ok boolean"
-    )
-
-
 def expectation_band(r: DataFrame, value: str, trades: int, sims: int = 2000, seed: int = 7) -> DataFrame:
     """trade, p05, p50, p95 of the running sum over simulated sequences of independent draws. The values come as their
     counts, which are checked for their number."""

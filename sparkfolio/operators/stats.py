@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import ratio, tail_safe_risk
+from . import scans
 
 
 def edge_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -88,12 +89,10 @@ def compound_by_year(daily: DataFrame, by: list[str]) -> DataFrame:
     return y.select(*by, "year", (F.col("last") / before - 1).alias("ret"))
 
 
-def calmar(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, least: int = 10, parts: bool = False) -> DataFrame:
+def calmar(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, least: int = 10, parts: bool = False, width: int | None = None) -> DataFrame:
     """Total return over the largest drawdown (at least 1e-6); null under `least` trades, which ranks last. With parts
-    also the total and the drawdown."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("equity", start + F.sum(pnl).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("peak", F.greatest(F.lit(start), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    also the total and the drawdown. width: see curves."""
+    x = scans.levels(df, by, order, scans.cut_by(df, order[0], width), pnl, start)
     return x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(pnl).alias("total"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("dd")).select(
         *by, "n", *(["total", "dd"] if parts else []), F.when(F.col("n") >= least, F.col("total") / start / F.greatest("dd", F.lit(1e-6))).alias("score")
     )

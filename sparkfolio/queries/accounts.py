@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import pricing as px
-from ..operators import accounts, curves, inference, intraday, joins, ledger, monitoring, paths, selection, stats
+from ..operators import accounts, curves, intraday, joins, ledger, monitoring, pathrisk, paths, selection, stats
 from ..sources import tables as tb
 from .base import query
 from .books import LED, TRIPS, deals
@@ -132,46 +132,46 @@ def a12(spark, sf):
     return s.join(positions(spark, sf).groupBy("account").agg(F.avg(F.col("cd") - F.col("od")).alias("hold")), "account")
 
 
-def one_account(spark, sf):
-    return scenarios(spark, sf).where("account = 'a1'")
+def choices(spark, sf):
+    return pathrisk.chosen(pathrisk.packed(scenarios(spark, sf), ["account"]))
 
 
-def fractions(spark, sf):
-    return one_account(spark, sf).withColumn("change", F.col("balance_change") / F.col("opening"))
-
-
-def _block(spark, sf) -> int:
-    """The estimated mean block length of the account's daily changes, between a day and a third of its days."""
-    import numpy as np
-
-    x = np.array(paths.daily_values(fractions(spark, sf), "day", "change"), float)
-    return max(1, min(len(x) // 3, int(np.ceil(inference.block_length(x)))))
+@query("R02_block_choices")
+def r02(spark, sf):
+    """Block lengths of every account; an estimate beyond a tenth of its days is refused with a reason."""
+    return choices(spark, sf).select("account", F.col("n").alias("days"), "label", "block", "reason")
 
 
 @query("R19_scenario_paths")
 def r19(spark, sf):
-    """Of the drawn paths, by source day: how often it was drawn and in how many paths, and that none is foreign."""
-    days = one_account(spark, sf)
-    p = paths.sample_paths(days, _block(spark, sf))
-    return p.groupBy("day").agg(F.count("*").alias("drawn"), F.countDistinct("rep").alias("paths"))
+    """Of 10,000 paths for every account and block length, by source day: how often it was drawn and in how many paths."""
+    return pathrisk.drawn_days(choices(spark, sf), ["account"])
+
+
+JOINT = f"""{SCENARIOS},
+joint_days AS (SELECT account, count(*) AS n FROM scen GROUP BY 1)"""
 
 
-@query("V10_joint_rows", "SELECT 0::BIGINT AS foreign_rows")
+@query("V10_joint_rows", "SELECT account, 10000 * n AS day_rows, n AS source_days, 0::BIGINT AS foreign_rows FROM joint_days", ctes=JOINT)
 def v10(spark, sf):
-    days = one_account(spark, sf)
-    return paths.foreign(days, paths.sample_paths(days, 5, 500)).agg(F.count("*").alias("foreign_rows"))
+    """Every account's 10,000 paths of blocks of 5 days as rows: how many there are, of how many different source days,
+    and how many are no source day with all its values."""
+    days = scenarios(spark, sf)
+    p = pathrisk.sampled(days, ["account"], 5)
+    bad = pathrisk.foreign(days, p, ["account"]).groupBy("account").agg(F.sum("times").alias("foreign_rows"))
+    x = p.groupBy("account").agg(F.count("*").alias("day_rows"), F.countDistinct("day").alias("source_days"))
+    return x.join(bad, "account", "left").fillna({"foreign_rows": 0})
 
 
 @query("R21_profit_chance")
 def r21(spark, sf):
-    return paths.profit_chance(paths.sample_paths(fractions(spark, sf), _block(spark, sf)))
+    x = pathrisk.replays(choices(spark, sf), ["account"], START)
+    return x.groupBy("account", "label").agg(F.avg((F.col("growth") > 1).cast("double")).alias("p_profit"), F.count("*").alias("paths"))
 
 
 @query("R22_R25_path_risk")
 def r25(spark, sf):
-    p = paths.sample_paths(one_account(spark, sf), _block(spark, sf))
-    p = p.select("rep", "step", F.col("opening").alias("open"), F.col("balance_change").alias("pnl"), F.col("to_minimum").alias("low"))
-    return paths.path_risk(inference.replay(p, START))
+    return pathrisk.path_risk(scenarios(spark, sf), ["account"], START)
 
 
 @query("R18_expectation_band")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as px
 from ..functions import timeaxis as tx
-from ..operators import curves, stats
+from ..operators import curves, scans, stats
 from ..sources import tables as tb
 from .base import query
 
@@ -15,6 +15,8 @@ O = ", ".join(ORDER)
 START = 100_000.0
 RISK = tb.BASE_RISK
 DAILY, TRAILING = 0.03, 0.06
+#: Days of a market that one task takes.
+WIDTH = 180
 
 
 @query(
@@ -31,12 +33,8 @@ DAILY, TRAILING = 0.03, 0.06
 def flagship(spark, sf):
     t = tb.trades(spark, sf)
     total = t.groupBy("market").agg(F.count("*").alias("n"), F.sum("r").alias("total_r"))
-    eq = curves.running_sum(t.withColumn("pnl", F.col("r") * RISK * START), ["market"], ORDER, "pnl", "equity", START)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("market").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    eq = eq.withColumn("peak", F.greatest(F.lit(START), F.max("equity").over(w)))
-    dd = eq.groupBy("market").agg(F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("max_dd"))
+    x = t.withColumn("pnl", F.col("r") * RISK * START)
+    dd = scans.deepest(x, ["market"], ORDER, scans.cut_by(x, ORDER[0], WIDTH), "pnl", START)
     return total.join(stats.worst_day(t, ["market"]), "market").join(dd, "market").select("market", "n", "total_r", "worst_day_r", "worst_day", "max_dd")
 
 
@@ -215,7 +213,7 @@ CALMAR = f"""SELECT market, n, CASE WHEN n >= 10 THEN total / {START} / greatest
 
 @query("A25_calmar", CALMAR, "score", tb.TRADES)
 def a25(spark, sf):
-    return stats.calmar(tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START), ["market"], ORDER, "pnl", START)
+    return stats.calmar(tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START), ["market"], ORDER, "pnl", START, width=WIDTH)
 
 
 @query("A26_sharpe", "SELECT market, count(r) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) AS sharpe FROM trades GROUP BY 1", "sharpe", tb.TRADES)
@@ -271,12 +269,12 @@ def o14(spark, sf):
     tb.TRADES,
 )
 def t06(spark, sf):
-    return curves.equity_curve(tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START), ["market"], ORDER, "pnl", START)
+    return curves.equity_curve(tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START), ["market"], ORDER, "pnl", START, WIDTH)
 
 
 @query("T07_max_drawdown", f"SELECT market, max((peak - equity) / peak) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY market ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak FROM curve) GROUP BY 1", "max_drawdown", f"{tb.TRADES},\n{DAILY_EQUITY}")
 def t07(spark, sf):
-    return curves.max_drawdown(daily_equity(spark, sf), ["market"], ["day"])
+    return curves.max_drawdown(daily_equity(spark, sf), ["market"], ["day"], width=WIDTH)
 
 
 FLOOR = f"(SELECT *, least({START}, greatest({START}, max(equity) OVER (PARTITION BY market ORDER BY day ROWS UNBOUNDED PRECEDING)) - 0.06 * {START}) AS floor FROM curve)"
@@ -309,7 +307,7 @@ def t10(spark, sf):
 
 @query("T18_cumulative_r", f"SELECT market, k1, k2, k3, k4, sum(r) OVER (PARTITION BY market ORDER BY {O} ROWS UNBOUNDED PRECEDING) AS cum_r FROM trades", "cum_r", tb.TRADES)
 def t18(spark, sf):
-    return curves.running_sum(tb.trades(spark, sf), ["market"], ORDER, "r", "cum_r").select("market", "k1", "k2", "k3", "k4", "cum_r")
+    return curves.running_sum(tb.trades(spark, sf), ["market"], ORDER, "r", "cum_r", width=WIDTH).select("market", "k1", "k2", "k3", "k4", "cum_r")
 
 
 @query("T21_r_fixed", f"SELECT k1, k2, k3, k4, pnl / (0.01 * {START}) AS r_multiple FROM (SELECT *, r * {RISK} * {START} AS pnl FROM trades)", "r_multiple", tb.TRADES)
@@ -326,9 +324,9 @@ def t21(spark, sf):
 )
 def t22(spark, sf):
     t = tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START)
-    return curves.assign_r(t, ["market"], ORDER, "pnl", START, 0.01, False).select("k1", "k2", "k3", "k4", "r_multiple")
+    return curves.assign_r(t, ["market"], ORDER, "pnl", START, 0.01, False, WIDTH).select("k1", "k2", "k3", "k4", "r_multiple")
 
 
 @query("T23_drawdown_series", "SELECT market, day, equity / max(equity) OVER (PARTITION BY market ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve", "drawdown", f"{tb.TRADES},\n{DAILY_EQUITY}")
 def t23(spark, sf):
-    return curves.drawdown_series(daily_equity(spark, sf), ["market"], ["day"]).select("market", "day", "drawdown")
+    return curves.drawdown_series(daily_equity(spark, sf), ["market"], ["day"], width=WIDTH).select("market", "day", "drawdown")

@@ -13,6 +13,10 @@ B = tb.BARS
 DAILY = f"{B},\ndaily AS (SELECT market, {tb.loss_day_sql('(ts + INTERVAL 4 HOUR)')} AS day, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2)"
 
 
+#: Days of a market that one task takes.
+WIDTH = 7
+
+
 def daily(spark, sf):
     return curves.daily_close(tb.bars(spark, sf).withColumn("day", tx.day_number(tx.bar_loss_day(F.col("ts")))), ["market"])
 
@@ -66,7 +70,7 @@ def v09(spark, sf):
     B,
 )
 def t01(spark, sf):
-    return indicators.williams_r(tb.bars(spark, sf), ["market"], 14).select("market", "ts", "wpr")
+    return indicators.williams_r(tb.bars(spark, sf), ["market"], 14, WIDTH).select("market", "ts", "wpr")
 
 
 @query(
@@ -77,7 +81,7 @@ def t01(spark, sf):
     B,
 )
 def t02(spark, sf):
-    return indicators.bollinger(tb.bars(spark, sf), ["market"], 20, 2.0).select("market", "ts", "mid", "lower", "upper")
+    return indicators.bollinger(tb.bars(spark, sf), ["market"], 20, 2.0, WIDTH).select("market", "ts", "mid", "lower", "upper")
 
 
 VOL = """vols AS (SELECT market, day, close, CASE WHEN count(r) OVER w = 5 THEN stddev_samp(r) OVER w END AS vol FROM (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY market ORDER BY day)) AS r FROM daily) WINDOW w AS (PARTITION BY market ORDER BY day ROWS 4 PRECEDING)),
@@ -114,7 +118,7 @@ def ev(spark, sf):
 
 @query("J07_regime_at_open", "SELECT event_id, regime FROM ev ASOF LEFT JOIN regimes USING (market, day)", ctes=f"{DAILY},\n{VOL},\n{EVENTS}")
 def j07(spark, sf):
-    return joins.asof(ev(spark, sf), regimes(spark, sf), ["market"], "day", ["regime"]).select("event_id", "regime")
+    return joins.asof(ev(spark, sf), regimes(spark, sf), ["market"], "day", ["regime"], width=WIDTH).select("event_id", "regime")
 
 
 @query(
@@ -139,7 +143,7 @@ def a11(spark, sf):
 )
 def j06(spark, sf):
     b = tb.bars(spark, sf).select("market", "ts", F.col("ts").alias("bar_ts"), F.col("close").alias("bar_close"))
-    return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts", "bar_close"]).select("event_id", "bar_ts", "bar_close")
+    return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts", "bar_close"], width=WIDTH).select("event_id", "bar_ts", "bar_close")
 
 
 @query(
@@ -149,7 +153,7 @@ def j06(spark, sf):
 )
 def j08(spark, sf):
     b = tb.bars(spark, sf).select("market", "ts", F.col("ts").alias("bar_ts"))
-    return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts"], strict=True).select("event_id", "bar_ts")
+    return joins.asof(ev(spark, sf), b, ["market"], "ts", ["bar_ts"], strict=True, width=WIDTH).select("event_id", "bar_ts")
 
 
 SECS = f"""a AS (SELECT market, k1, k2, k3, k4, CAST(epoch(ts_opened) AS BIGINT) AS s, CAST(epoch(ts_closed) AS BIGINT) AS e FROM trades),
@@ -184,7 +188,7 @@ def j10(spark, sf):
 def j12(spark, sf):
     x = tb.read(spark, sf, "events").select("event_id", F.col("event_type").alias("market"), F.unix_seconds(tx.as_utc(F.col("ts"))).alias("at"))
     y = tb.bars(spark, sf).select("market", F.unix_seconds(tx.as_utc(F.col("ts"))).alias("at"))
-    return joins.nearest(x, y, ["market"], "at").select("event_id", "nearest")
+    return joins.nearest(x, y, ["market"], "at", WIDTH * 86_400).select("event_id", "nearest")
 
 
 @query(
@@ -230,12 +234,16 @@ e AS (SELECT market, ts, n, close AS ema FROM x WHERE n = 1 UNION ALL SELECT x.m
 
 @query("T30_ema", f"{EMA.replace('WITH RECURSIVE x', f'WITH RECURSIVE {B}, x')} SELECT market, ts, ema FROM e", "ema")
 def t30(spark, sf):
-    return indicators.smoothed(tb.bars(spark, sf), ["market"], 24, 14).select("market", "ts", "ema")
+    return indicators.smoothed(tb.bars(spark, sf), ["market"], 24, 14, width=WIDTH).select("market", "ts", "ema")
+
+
+RSI = """d AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY market ORDER BY ts), 0) AS step FROM x),
+s AS (SELECT market, ts, n, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM d WHERE n = 1 UNION ALL SELECT d.market, d.ts, d.n, s.u * (1 - 1.0::DOUBLE / 14) + greatest(step, 0) / 14, s.v * (1 - 1.0::DOUBLE / 14) + greatest(-step, 0) / 14 FROM s JOIN d ON d.market = s.market AND d.n = s.n + 1)"""
 
 
-@query("T31_rsi")
+@query("T31_rsi", f"{EMA.replace('WITH RECURSIVE x', f'WITH RECURSIVE {B}, x')},\n{RSI} SELECT market, ts, CASE WHEN u + v > 0 THEN 100 * u / (u + v) ELSE 50 END AS rsi FROM s", "rsi")
 def t31(spark, sf):
-    return indicators.smoothed(tb.bars(spark, sf), ["market"], 24, 14).select("market", "ts", "rsi")
+    return indicators.smoothed(tb.bars(spark, sf), ["market"], 24, 14, width=WIDTH).select("market", "ts", "rsi")
 
 
 #: All confirmations are on; the walks are steps of any size, so bodies have no least one.

@@ -100,22 +100,6 @@ def test_diagnostics(spark):
     assert [r["daily_breach"] for r in got] == [False, True, False] and math.isinf(got[2]["daily_loss"])
 
 
-def test_paths(spark):
-    rows = [(d, 100.0, 0.01 * (d - 3), -d / 1.0) for d in range(8)]
-    days = spark.createDataFrame(rows, "day int, opening double, change double, low double")
-    p = paths.sample_paths(days, 3, 40, 11)
-    got = {}
-    for r in p.collect():
-        got.setdefault(r["rep"], {})[r["step"]] = r["day"]
-    want = inference.indices(8, 3, 40, 11, 0)
-    assert {k: [v[s] for s in range(8)] for k, v in got.items()} == {k: list(map(int, want[k])) for k in range(40)}
-    assert paths.foreign(days, p).count() == 0
-    assert {r["what"] for r in paths.foreign(days, p.where("rep <> 7 OR step <> 0").withColumn("low", F.when(F.col("rep") == 3, 5.0).otherwise(F.col("low")))).collect()} == {"row", "length"}
-    ends = [math.prod(1 + 0.01 * (int(d) - 3) for d in w) for w in want]
-    assert math.isclose(paths.profit_chance(p).first()["p_profit"], sum(e > 1 for e in ends) / 40)
-    assert paths.sample_paths(days.limit(0), 3, 40).count() == 0
-
-
 def test_mean_bounds_and_states(spark):
     values = [Decimal("0.30"), Decimal("-0.1"), Decimal("0.250"), Decimal("0.05"), Decimal("-0.4"), Decimal("0.2")]
     b = paths.mean_bounds(spark, values, 2, 0.95, 1000, 4)

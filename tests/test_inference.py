@@ -86,11 +86,3 @@ def test_sharpe_and_kelly():
     assert inf.kelly_fraction(np.array([-1.0, -1, 1]), 0.9, 0.05) == 0
     f = inf.kelly_fraction(np.array([-1.0, 1.2] * 50), 0.5, 0.5, most=0.5)
     assert 0 < f <= 0.5 and np.mean((1 + f * np.array([-1.0, 1.2])) ** -1.0) <= 1 + 1e-9
-
-
-def test_replay(spark):
-    rows = [(1, 0, 100.0, 50.0, 0.0, 50.0), (1, 1, 1000.0, -100.0, -100.0, -100.0), (2, 0, 1000.0, 0.0, -25.0, 0.0), (3, 0, 1000.0, 0.0, -24.99, 0.0), (4, 0, 1000.0, -1200.0, -1200.0, 0.0), (4, 1, 1000.0, 100.0, 0.0, 0.0)]
-    got = {r["rep"]: r for r in inf.replay(spark.createDataFrame(rows, "rep long, step int, open double, pnl double, low double, equity_change double"), 1000.0).collect()}
-    assert got[1]["final_return"] == pytest.approx(0.35) and got[1]["daily_breach"]
-    assert got[2]["internal_breach"] and not got[2]["daily_breach"] and not got[3]["internal_breach"]
-    assert got[4]["final_return"] == pytest.approx(-1.22) and got[4]["daily_breach"] and got[4]["trailing_breach"] and got[4]["max_dd"] == pytest.approx(1.22)
