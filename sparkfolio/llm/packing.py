@@ -6,6 +6,7 @@ corpus; rows then find their place by their rank among the pieces of equal lengt
 """
 
 import itertools
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +21,10 @@ from pyspark.sql.window import Window
 from .common import documents, slices, stored, strings
 from .tokens import encoder, vocabulary
 
-#: Search effort of one plan: fillings looked at. It bounds time only; every piece is placed.
+#: Search effort of one plan: fillings looked at; None for all of them. It bounds time only; every piece is placed.
 NODES = 200_000
+#: Fillings of a node that are put in order of their waste; what is left of the enumeration follows in its own order.
+ORDERED = 32
 #: Slots (24 bytes each) that are broadcast; a larger plan is joined instead.
 MOST_SLOTS = 2_000_000
 
@@ -118,16 +121,41 @@ def fillings(counts: list[int], there: int, room: int, steps: list[int]) -> Iter
             return
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
+def fullest(counts: list[int], there: int, room: int) -> list[int]:
+    """A filling of least waste, by the sums that the pieces reach, the largest lengths first; it ends as soon as the room
+    can be filled whole. counts and there: as in fillings."""
+    within, reach, stages = (1 << room + 1) - 1, 1, []
+    spare = there & within & ~1
+    while spare and not reach >> room & 1:
+        s = spare.bit_length() - 1
+        spare &= ~(1 << s)
+        most, step, before = min(counts[s], room // s), 1, reach
+        left = most
+        while left:  # 1, 2, 4, ... copies and the rest
+            step = min(step, left)
+            reach |= reach << step * s & within
+            left, step = left - step, 2 * step
+        if reach != before:
+            stages.append((s, before))
+    at, out = reach.bit_length() - 1, []
+    for s, before in reversed(stages):
+        while not before >> at & 1:
+            out.append(s)
+            at -= s
+    return out[::-1]
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int | None = NODES) -> Plan:
     """Bin completion, searched by limited discrepancy. The incumbent starts as best-fit. A node takes the
-    largest remaining length and fills its sequences, as many as it can or one only, with an undominated
-    filling; the nth alternative costs n, and paths of cost 0, 1, 2, ... are followed until the bound is met,
-    nothing is left to try, or `nodes` fillings were looked at. What the waste so far, or L2, rules out is left."""
+    largest remaining length and fills its sequences, as many as it can or one only: first with a filling of least
+    waste, then with the undominated ones, the first of them in order of waste. The nth alternative costs n, and paths of
+    cost 0, 1, 2, ... are followed until the bound is met, nothing is left to try, or `nodes` fillings were looked
+    at. What the waste so far, or L2, rules out is left."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if not counts:
         return []
     best = best_fit(counts, capacity)
-    used, goal, steps = sum(n for _, n in best), lower_bound(counts, capacity), [nodes]
+    used, goal, steps = sum(n for _, n in best), lower_bound(counts, capacity), [sys.maxsize if nodes is None else nodes]
     rest = [0] * (capacity + 1)
     for s, n in counts.items():
         rest[s] = n
@@ -139,7 +167,19 @@ def plan(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
         own = there if rest[largest] else there & ~(1 << largest)
         now = rest.copy()
         rest[largest] += 1
-        for f in fillings(now, own, capacity - largest, steps):
+        first = fullest(now, own, capacity - largest)
+        steps[0] -= 1
+
+        def ordered() -> Iterator[list[int]]:
+            yield first
+            others = fillings(now, own, capacity - largest, steps)
+            yield from sorted(itertools.islice(others, ORDERED), key=sum, reverse=True)
+            yield from others
+
+        seen = sorted(first)
+        for k, f in enumerate(ordered()):
+            if k and sorted(f) == seen:
+                continue
             need = Counter([largest, *f])
             times = min(rest[s] // k for s, k in need.items())
             yield need, times
@@ -238,17 +278,21 @@ def pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int = 0, id_col:
     return stored(made, "pieces", "zstd")
 
 
-def pack(made: DataFrame, capacity: int) -> DataFrame:
-    """pieces() and ids_crc32, sequence_id and offset. No sequence is over capacity and none has gaps. A piece's
+def pack(made: DataFrame, capacity: int, nodes: int | None = NODES) -> DataFrame:
+    """pieces() and ids_crc32, sequence_id, offset, sequences (how many the plan makes) and at_least (a bound that no
+    plan can be under). No sequence is over capacity and none has gaps. A piece's
     rank among those of its length is its rank in its part plus the counts of earlier parts, so no length,
-    however common, meets in one task. An empty table gives no rows."""
+    however common, meets in one task. nodes: the search effort, None until the plan is proven best. An empty table
+    gives no rows."""
     spark = made.sparkSession
     by = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    place = slots(plan(counts, capacity))
+    planned = plan(counts, capacity, nodes)
+    place, bound = slots(planned), lower_bound(counts, capacity) if counts else 0
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    x = made.withColumn("ids_crc32", F.crc32("ids")).join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "part")
+    told = {"ids_crc32": F.crc32("ids"), "sequences": F.lit(sum(n for _, n in planned)).cast("long"), "at_least": F.lit(bound).cast("long")}
+    x = made.withColumns(told).join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "part")
     if len(place["length"]) > MOST_SLOTS:
         s = spark.createDataFrame(pa.table(place)).toDF("length", "from", "n", "first", "offset")
         x = x.join(s, (x["length"] == s["length"]) & (x["rank"] >= s["from"]) & (x["rank"] < s["from"] + s["n"])).drop(s["length"])
@@ -267,4 +311,4 @@ def pack(made: DataFrame, capacity: int) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = pack(pieces(documents(spark, sf_dir), "byte_bpe_50k.json", 2048), 2048)
-    return x.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return x.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "at_least")
