@@ -57,14 +57,14 @@ def regression(reference: DataFrame, candidate: DataFrame, key: str) -> DataFram
     return x.withColumn("flag", F.when(missing, "missing").when(moved, "moved").otherwise("same"))
 
 
-def pooled_correlation(pairs: DataFrame) -> DataFrame:
-    """Mean Pearson correlation over pairs a, b of va, vb, within 0 and 1; pairs without spread don't count."""
-    c = pairs.groupBy("a", "b").agg(F.corr("va", "vb").alias("rho"))
-    return c.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(F.when(~F.isnan("rho"), F.col("rho"))))).alias("rho_bar"), F.count("*").alias("pairs"))
+def pooled_correlation(correlated: DataFrame) -> DataFrame:
+    """Mean Pearson correlation over pairs with rho, within 0 and 1; pairs without spread don't count in it."""
+    return correlated.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("rho"))).alias("rho_bar"), F.count("*").alias("pairs"))
 
 
-def effective_trials(rho: float, manual: int = 5, formal: int = 36) -> float:
-    return min(manual + formal, manual + rho + (1 - rho) * formal)
+def effective_trials(rho: Column, formal: Column, manual: int = 5) -> Column:
+    """Manual trials, and of the formal ones as many as their mean correlation leaves; never more than both."""
+    return F.least(manual + formal, manual + rho + (1 - rho) * formal)
 
 
 def shortest_match(left: DataFrame, right: DataFrame, base: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves, joins, ledger, selection, stats, walkforward
+from ..operators import curves, gram, joins, ledger, selection, stats, walkforward
 from ..sources import tables as tb
 from .base import query
 
@@ -132,7 +132,19 @@ def a20(spark, sf):
 
 @query("A30_mean_correlation", "SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(rho))) AS rho_bar, count(*) AS pairs FROM (SELECT corr(x.ret, y.ret) AS rho FROM matrix x JOIN matrix y ON x.day = y.day AND x.candidate < y.candidate GROUP BY x.candidate, y.candidate)", "rho_bar", MATRIX)
 def a30(spark, sf):
-    return selection.pooled_correlation(joins.pairs(matrix(spark, sf), "candidate", ["day"], "ret"))
+    return selection.pooled_correlation(gram.correlations(gram.pair_moments(matrix(spark, sf), "candidate", "day", "ret")))
+
+
+@query(
+    "J14_pair_scores",
+    """SELECT a, b, n, mean_diff, sd_diff, CASE WHEN sd_diff > 0 THEN mean_diff / (sd_diff / sqrt(n)) ELSE 0 END AS score FROM (SELECT x.candidate AS a, y.candidate AS b, count(*) AS n, avg(x.ret) - avg(y.ret) AS mean_diff, stddev_samp(x.ret - y.ret) AS sd_diff
+ FROM matrix x JOIN matrix y ON x.day = y.day AND x.candidate < y.candidate GROUP BY 1, 2)""",
+    "mean_diff sd_diff score",
+    MATRIX,
+)
+def j14(spark, sf):
+    """Every two candidates: the mean and deviation of their daily difference, and the mean in standard errors."""
+    return gram.differences(gram.pair_moments(matrix(spark, sf), "candidate", "day", "ret")).select("a", "b", "n", "mean_diff", "sd_diff", "score")
 
 
 @query("V12_reconciliation")

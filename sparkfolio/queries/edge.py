@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as px
 from ..functions import timeaxis as tx
-from ..operators import curves, scans, stats
+from ..operators import bundles, curves, scans, stats
 from ..sources import tables as tb
 from .base import query
 
@@ -330,3 +330,12 @@ def t22(spark, sf):
 @query("T23_drawdown_series", "SELECT market, day, equity / max(equity) OVER (PARTITION BY market ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve", "drawdown", f"{tb.TRADES},\n{DAILY_EQUITY}")
 def t23(spark, sf):
     return curves.drawdown_series(daily_equity(spark, sf), ["market"], ["day"], width=WIDTH).select("market", "day", "drawdown")
+
+
+@query("R17_day_bundles")
+def r17(spark, sf):
+    """Each market's trades resampled 1000 times in runs of five days, whose trades stay together, and one by one."""
+    t = tb.trades(spark, sf).withColumn("pnl", F.col("r") * RISK * START)
+    s = bundles.packed(t, ["market"], "day", ORDER, "pnl")
+    ends = bundles.resampled(s, ["market"], START, 1000).withColumn("draw", F.lit("days")).unionByName(bundles.resampled(s, ["market"], START, 1000, None).withColumn("draw", F.lit("trades")))
+    return bundles.summary(ends, ["market", "draw"], START)

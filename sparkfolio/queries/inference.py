@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import inference, joins, selection, stats
+from ..operators import gram, inference, selection, stats
 from ..sources import tables as tb
 from .base import query
-from .books import matrix
+from .books import MATRIX, matrix
 
 #: Cells of a family's matrix that the driver takes and every task is sent.
 MOST_CELLS = 20_000_000
@@ -51,10 +51,18 @@ def a29(spark, sf):
     return inference.deflated_sharpe(m, m.count(), variance)
 
 
-@query("F26_effective_trials")
+@query(
+    "F26_effective_trials",
+    """SELECT rho_bar, m AS formal, least(5 + m, 5 + rho_bar + (1 - rho_bar) * m) AS trials FROM (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(rho))) AS rho_bar FROM
+ (SELECT corr(x.ret, y.ret) AS rho FROM matrix x JOIN matrix y ON x.day = y.day AND x.candidate < y.candidate GROUP BY x.candidate, y.candidate)), (SELECT count(DISTINCT candidate) AS m FROM matrix)""",
+    "rho_bar trials",
+    MATRIX,
+)
 def f26(spark, sf):
-    rho = selection.pooled_correlation(joins.pairs(matrix(spark, sf), "candidate", ["day"], "ret")).first()["rho_bar"]
-    return spark.createDataFrame([(rho, float(selection.effective_trials(rho)))], "rho_bar double, trials double")
+    """The family's own number of candidates is its number of formal trials."""
+    x = matrix(spark, sf)
+    rho = selection.pooled_correlation(gram.correlations(gram.pair_moments(x, "candidate", "day", "ret")))
+    return rho.crossJoin(x.agg(F.countDistinct("candidate").alias("formal"))).select("rho_bar", "formal", selection.effective_trials(F.col("rho_bar"), F.col("formal")).alias("trials"))  # one row each
 
 
 @query("R26_kelly")

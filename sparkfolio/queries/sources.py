@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files, tables as tb, vendor
+from ..sources import files, prices, tables as tb, vendor
 from ..streaming import cycles
 from .base import query
 
@@ -73,3 +73,13 @@ def l04(spark, sf):
     q = cycles.closed_bars(ticks).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(cycles.BAR).parquet(f"{at}/out")
+
+
+@query("S08_price_scan", "SELECT market, ts, low, high, close FROM bars", "low high close", tb.BARS)
+def s08(spark, sf):
+    """The bars as texts in order of time, a block a day, scanned into decimals."""
+    b = tb.bars(spark, sf)
+    texts = b.select("market", F.to_date("ts").alias("day"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("line"), "ts", *(F.col(c).cast("string").alias(c) for c in prices.PRICES))
+    texts = texts.withColumn("block", F.unix_date("day")).drop("day")
+    x = prices.write_scan(texts, files.scratch(spark, "prices"))
+    return x.select("market", "ts", *(F.col(c).cast("double").alias(c) for c in prices.PRICES))

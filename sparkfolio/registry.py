@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import accounts, base, books, edge, inference, market, scalars, sources  # noqa: F401
+from .queries import accounts, base, books, edge, family, inference, live, market, scalars, sources  # noqa: F401
 
 
 def queries() -> dict:
