@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED, REPLICATIONS = 20260719, 10_000
+#: Fixed value: the largest share of capital that the worst value may take.
+SOLVENT = 0.98
 #: Replications that one task draws.
 CHUNK = 500
 
@@ -185,6 +187,37 @@ def family_tests(spark: SparkSession, matrix: np.ndarray, names: list[str], mean
     return spark.createDataFrame(rows, "candidate string, mean double, stepdown_p double, mcs_p double, spa_p double")
 
 
+def spa_by_length(spark: SparkSession, matrix: np.ndarray, names: list[str], fixed: tuple[int, ...] = (5, 10, 20, 60), replications: int = REPLICATIONS, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+    """label, block, statistic, spa_p, passes, all_pass: superior predictive ability at the family's own block length, refused
+    beyond a tenth of the days (see common_block_length), and at the fixed ones; the family passes where it passes at
+    all of them. One job: a row for each length and chunk of replications, whose counts are summed."""
+    lengths = [("selected", common_block_length(list(matrix.T))), *((f"fixed_{b}", b) for b in fixed)]
+    n, means = len(matrix), matrix.mean(axis=0)
+    judged = {}
+    for _, block in lengths:
+        se = np.sqrt(long_run_variances(matrix, block) / n)
+        if not (se > 0).all():
+            raise ValueError(f"candidates without variance: {', '.join(k for k, s in zip(names, se) if not s > 0)}")
+        judged[block] = (np.where(means / se > -math.sqrt(2 * math.log(math.log(n))), means, 0.0), se, max(0.0, float((means / se).max())))
+    shared = spark.sparkContext.broadcast((matrix, judged))
+    rows = [(b, c, min(CHUNK, replications - c * CHUNK)) for b in judged for c in range(math.ceil(replications / CHUNK))]
+
+    def run(it):
+        x, by = shared.value
+        for pdf in it:
+            for b, c, size in zip(pdf["block"], pdf["chunk"], pdf["size"]):
+                centre, se, top = by[int(b)]
+                drawn = np.stack([np.bincount(r, minlength=len(x)) @ x / len(x) for r in indices(len(x), float(b), int(size), seed, int(c))])
+                yield pd.DataFrame({"block": [b], "reached": [int((np.maximum(0, ((drawn - centre) / se).max(axis=1)) >= top).sum())]})
+
+    counted = spark.createDataFrame(rows, "block long, chunk long, size long").repartition(len(rows)).mapInPandas(run, "block long, reached long")
+    p = counted.groupBy("block").agg(((F.sum("reached") + 1) / (replications + 1)).alias("spa_p"))
+    said = spark.createDataFrame([(label, b, judged[b][2]) for label, b in lengths], "label string, block long, statistic double")  # a row a length
+    x = said.join(p, "block").withColumn("passes", F.col("spa_p").cast("decimal(38,18)") <= F.lit(str(alpha)).cast("decimal(38,18)"))
+    every = x.agg(F.bool_and("passes").alias("all_pass")).withColumn("one", F.lit(1))
+    return x.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").select("label", "block", "statistic", "spa_p", "passes", "all_pass")
+
+
 def probabilistic_sharpe(n: int, sharpe: float, skew: float, kurt: float, benchmark: float) -> float | None:
     spread = 1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2
     return NormalDist().cdf((sharpe - benchmark) * math.sqrt(n - 1) / math.sqrt(spread)) if n >= 3 and spread > 0 else None
@@ -230,9 +263,11 @@ def clopper_pearson_upper(events: int, trials: int, confidence: float = 0.95) ->
 
 def kelly_fraction(r: np.ndarray, alpha: float, beta: float, most: float = 0.05) -> float:
     """The growth-optimal fraction whose chance to fall to alpha of the start is at most beta: E[(1 + f r)^-lambda] <= 1
-    with lambda = ln(beta) / ln(alpha)."""
+    with lambda = ln(beta) / ln(alpha). 0 for fewer than two values. The worst value leaves some capital (SOLVENT)."""
+    if len(r) < 2:
+        return 0.0
     lam = math.log(beta) / math.log(alpha)
-    cap = min(most, 0.999 / -r.min()) if r.min() < 0 else most
+    cap = min(most, SOLVENT / -r.min()) if r.min() < 0 else most
 
     def risk(f: float) -> float:
         return float(np.mean((1 + f * r) ** -lam)) - 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as tx
+from ..sources import files
 from . import joins
 
 DAY_US = 86_400_000_000
@@ -24,8 +25,12 @@ def _met(trades: DataFrame, bars: DataFrame, hours: int) -> DataFrame:
 
 def unobserved(trades: DataFrame, bars: DataFrame, hours: int = tx.BAR_HOURS) -> DataFrame:
     """account, id of positions with a duration that no bar of their market overlaps."""
+    return _bare(trades, _met(trades, bars, hours))
+
+
+def _bare(trades: DataFrame, met: DataFrame) -> DataFrame:
     held = trades.where("ts_closed > ts_opened").select("account", "id")
-    return joins.missing(held, _met(trades, bars, hours), ["account", "id"])
+    return joins.missing(held, met, ["account", "id"])
 
 
 def _levels(met: DataFrame) -> DataFrame:
@@ -55,9 +60,13 @@ def minima(trades: DataFrame, bars: DataFrame, daily: DataFrame, start: float, h
     closed positions) from the highest equity seen before, the start at first. Marks count for every loss day that they
     touch. A position without duration is only booked. ValueError when no bar overlaps a position: see unobserved().
 
-    Positions meet bars in an equi join by market and day; sums run within days on top of totals of the days before,
-    so an account with very many positions isn't one task's work."""
-    bad = unobserved(trades, bars, hours).orderBy("account", "id").limit(5).collect()
+    Positions meet bars in an equi join by market and day, once: the pairs are written, checked and read again. Sums run
+    within days on top of totals of the days before, so an account with very many positions isn't one task's work."""
+    spark = trades.sparkSession
+    path = files.scratch(spark, "met")
+    _met(trades, bars, hours).write.parquet(path)
+    met = spark.read.parquet(path)
+    bad = _bare(trades, met).orderBy("account", "id").limit(5).collect()
     if bad:
         raise ValueError("no bar overlaps " + ", ".join(f"{r['account']}/{r['id']}" for r in bad))
     zero = {c: F.lit(0.0) for c in ("worst", "seen", "booked", "open")}
@@ -65,7 +74,7 @@ def minima(trades: DataFrame, bars: DataFrame, daily: DataFrame, start: float, h
     lasting = (F.col("ts_closed") > F.col("ts_opened")).cast("double")
     cuts = bars.select(F.explode(F.array(F.col("ts"), F.col("ts") + hours * 3_600_000_000)).alias("at")).withColumn("day", tx.day_number(tx.loss_day(F.timestamp_micros("at"))))
     cuts = daily.select("account", "day").join(cuts.groupBy("day").agg(F.min("at").alias("at")), "day")  # a day is looked at once without events
-    x = row(_levels(_met(trades, bars, hours)), "at", worst=F.col("worst"), seen=F.col("seen")).unionByName(row(cuts, "at"))
+    x = row(_levels(met), "at", worst=F.col("worst"), seen=F.col("seen")).unionByName(row(cuts, "at"))
     x = x.unionByName(row(trades, "ts_opened", open=lasting)).unionByName(row(trades, "ts_closed", open=-lasting, booked=(F.col("pnl") + F.col("swap")) * F.col("size")))
     x = x.groupBy("account", "at").agg(*(F.sum(c).alias(c) for c in zero)).withColumn("day", tx.day_number(tx.loss_day(F.timestamp_micros("at"))))
 

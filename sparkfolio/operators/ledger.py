@@ -53,15 +53,16 @@ def backward(led: DataFrame, current: float, account: str = "account") -> DataFr
 
 def round_trips(deals: DataFrame) -> DataFrame:
     """One row a position with an entry and an exit leg: symbol, side, volume of entries, net money, open and close
-    times and prices' tickets. Positions with reversals (2) or close-by legs (3) can't be rebuilt and drop out."""
-    d = deals.where("symbol <> '' AND type IN (0, 1)")
+    times and prices' tickets. Positions that unreconstructable() names drop out."""
+    d = deals.where("symbol <> ''")
     key = F.struct("time", "ticket")
     x = d.groupBy("position_id").agg(
         F.min_by("symbol", key).alias("symbol"), F.min(F.when(F.col("entry") == 0, key)).alias("first_in"), F.max(F.when(F.col("entry") == 1, key)).alias("last_out"),
         F.min_by("type", F.when(F.col("entry") == 0, key)).alias("type"), F.sum(amount()).cast("decimal(28,4)").alias("net"), F.count_if(F.col("entry") == 0).alias("ins"), F.count_if(F.col("entry") == 1).alias("outs"),
-        F.bool_or(F.col("entry").isin(2, 3)).alias("odd"),
+        F.bool_or(F.col("entry").isin(2, 3)).alias("odd"), F.count_if((F.col("entry") == 0) & ~F.col("type").isin(0, 1)).alias("strange"),
     )
-    x = x.where("ins > 0 AND outs > 0 AND NOT odd")
+    later = F.col("strange") > (~F.col("type").isin(0, 1)).cast("int")  # the first entry's own type is refused below
+    x = x.where("ins > 0 AND outs > 0 AND NOT odd").where(~later)
     return x.select("position_id", "symbol", direction(F.col("type")).alias("side"), F.col("first_in.time").alias("opened"), F.col("last_out.time").alias("closed"), F.col("first_in.ticket").alias("open_ticket"), "net", "ins", "outs")
 
 
@@ -72,6 +73,21 @@ def excluded(deals: DataFrame) -> DataFrame:
     return g.withColumn("reason", why).where("reason IS NOT NULL").select("position_id", "reason")
 
 
+def unreconstructable(deals: DataFrame) -> DataFrame:
+    """position_id and reasons, in this order, of positions that can't be rebuilt from their legs: a reversal (entry 2), a
+    leg closed by another position (3), and each type other than buy and sell of an entry leg after the first, the
+    smallest first. One pass by position; types are few."""
+    d = deals.where("symbol <> ''")
+    key = F.struct("time", "ticket")
+    first = d.where("entry = 0").groupBy("position_id").agg(F.min(key).alias("first"))
+    x = d.join(first, "position_id", "left")
+    later = F.when((F.col("entry") == 0) & (key > F.col("first")) & ~F.col("type").isin(0, 1), F.col("type"))
+    g = x.groupBy("position_id").agg(F.bool_or(F.col("entry") == 2).alias("turned"), F.bool_or(F.col("entry") == 3).alias("by"), F.sort_array(F.collect_set(later)).alias("types"))
+    said = lambda flag, text: F.when(F.col(flag), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    types = F.transform("types", lambda t: F.concat(F.lit("later entry of type "), t.cast("string")))
+    return g.select("position_id", F.concat(said("turned", "reversal"), said("by", "closed by another"), types).alias("reasons")).where(F.size("reasons") > 0)
+
+
 def live_stats(trips: DataFrame, by: list[str]) -> DataFrame:
     """Counts, hit rate, profit factor and expectancy of net money."""
     win, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") < 0, F.col("net"))

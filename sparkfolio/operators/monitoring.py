@@ -76,6 +76,18 @@ def worst_pbo(streams: DataFrame, lengths: list[int]) -> DataFrame:
     return x.agg(F.max("pbo").alias("pbo"), F.max_by("train_months", "pbo").alias("train_months"))
 
 
+def variation_pbo(cells: DataFrame) -> DataFrame:
+    """pbo and splits over variations. cells: variation, instrument, train_months, label, value. Slices are the windows, by
+    instrument, train length and label, of the cells (instrument and train length) that every variation has, and of
+    those the ones that every variation has; a cell that one variation lacks doesn't shift the others. By counts."""
+    c = cells.groupBy("variation", "instrument", "train_months", "label").agg(F.max("value").alias("value"))
+    total = c.agg(F.countDistinct("variation").alias("variations")).withColumn("one", F.lit(1))
+    have = c.groupBy("instrument", "train_months", "label").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)).join(F.broadcast(total), "one").where("n = variations")  # total is one row
+    slice_ = F.struct("instrument", "train_months", "label").alias("slice")
+    x = c.join(have.select("instrument", "train_months", "label"), ["instrument", "train_months", "label"]).select("variation", slice_, "value")
+    return walkforward.pbo(x, "variation", "slice", "value")
+
+
 def variant_ranking(study: DataFrame, train_months: int, metric: str) -> DataFrame:
     """Variations of one train length by the mean of a metric over their instruments, best first, by name on ties."""
     x = study.where(F.col("train_months") == train_months).groupBy("variation").agg(F.avg(metric).alias("mean"), F.count("*").alias("instruments"))

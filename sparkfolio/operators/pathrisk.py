@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import inference, paths
 
 #: What a day brings, in money of its own source: opening balance, changes of balance and of closing equity, and the fall
@@ -243,6 +244,8 @@ def decided(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def path_risk(days: DataFrame, keys: list[str], start: float, replications: int = inference.REPLICATIONS, seed: int = inference.SEED, limits: Limits = Limits()) -> DataFrame:
     """For every account and block length: metrics, bounds and passes; the row labelled plugin is the one that decides. A
     refused choice keeps its row, with its reason and nothing else. An account without days has no row."""
-    choices = chosen(packed(days, keys))
+    path = files.scratch(days.sparkSession, "choices")
+    chosen(packed(days, keys)).write.parquet(path)  # read twice, and by every task's recomputation
+    choices = days.sparkSession.read.parquet(path)
     own = decided(metrics(replays(choices, keys, start, replications, seed, limits), [*keys, "label"]), limits)
     return choices.select(*keys, F.col("n").alias("days"), "label", "block", "reason").join(own, [*keys, "label"], "left")

@@ -73,7 +73,7 @@ def choose(trades: DataFrame, tasks: DataFrame, combos: list[Combo], by: list[st
     group = [*by, "ordinal"]
     scores = stats.calmar(trades.where("error IS NULL").withColumn("pnl", F.col("r") * risk), [*group, "combo"], ["ts_closed", "ts_opened"], "pnl", 1.0, least, parts=True)
     place = F.array_position(F.array(*(F.lit(c[0]) for c in combos)), F.col("combo"))
-    best = scores.where("score IS NOT NULL").groupBy(*group).agg(F.min_by(F.struct("combo", "total"), F.struct(-F.col("score"), place)).alias("b"))
+    best = scores.where(F.col("score") > float("-inf")).groupBy(*group).agg(F.min_by(F.struct("combo", "total"), F.struct(-F.col("score"), place)).alias("b"))
     faults = trades.where("error IS NOT NULL").groupBy(*group).agg(F.min("error").alias("error"))
     x = tasks.select(*group).join(best, group, "left").join(faults, group, "left")
     return x.select(*group, F.when(F.col("error").isNull(), F.coalesce("b.combo", F.lit(combos[0][0]))).alias("combo"), F.coalesce("b.total", F.lit(0.0)).alias("is_return"), "error")

@@ -74,6 +74,13 @@ def shortest_match(left: DataFrame, right: DataFrame, base: str, name: str) -> D
     return left.join(pre, base, "left").groupBy(base).agg(F.min(F.struct(F.length(name).alias("n"), F.col(name).alias("match")))["match"].alias("match"))
 
 
+def with_diagnostics(ranked: DataFrame, diagnosed: DataFrame, key: str, sure: str = "0.90") -> DataFrame:
+    """ranked with dsr, dsr_nominal and dsr_ok of its candidates; a candidate that has no diagnostics keeps nulls and isn't
+    ok. diagnosed: key, dsr_effective, dsr_nominal, unique by key."""
+    d = diagnosed.select(key, F.col("dsr_effective").alias("dsr"), "dsr_nominal")
+    return ranked.join(d, key, "left").withColumn("dsr_ok", F.coalesce(F.col("dsr").cast("decimal(38,18)") >= F.lit(sure).cast("decimal(38,18)"), F.lit(False)))
+
+
 def closed_positions(positions: DataFrame, since=None, closed: str = "ts_closed") -> DataFrame:
     """Positions that are closed, at `since` or later."""
     x = positions.where(F.col(closed).isNotNull())

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .indicators import ema, rsi
+from . import scans
+from .indicators import ema, rsi, smoothed
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,12 @@ class EntryRules:
         """Bars before which nothing is judged."""
         return 2 + max(self.under_band + self.band, self.weak + self.range_, self.wait + 2, self.mean + 2, self.strength + 2)
 
+    @property
+    def memory(self) -> int:
+        """Bars before one on which its signals can depend, beside the mean and the strength: what its conditions look
+        back, those of a fall that may still wait, and the bar before for where they begin."""
+        return self.first + self.wait + 2
+
 
 def _before(x: np.ndarray, k: int, fill=False) -> np.ndarray:
     """x of k bars ago."""
@@ -53,21 +61,37 @@ def _edges(raw: np.ndarray, judged: np.ndarray) -> np.ndarray:
     return raw & ~_before(raw, 1)
 
 
+def _last(x: np.ndarray, n: int, f) -> np.ndarray:
+    """f over the last n values, whatever came before them; nan until there are n."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = f(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
+    return out
+
+
 def signals(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, p: EntryRules = EntryRules()) -> tuple[np.ndarray, np.ndarray]:
+    """Buy and sell of every bar of one sequence, from its first bar on: judge() with its own mean and strength."""
+    judged = np.arange(len(close)) + 1 >= p.first
+    return judge(open_, high, low, close, ema(close, p.mean), rsi(close, p.strength, p.strength_scale), judged, p)
+
+
+#: Slopes of the mean that rounding alone can make, as a share of it.
+LEVEL = 1e-12
+
+
+def judge(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, mean: np.ndarray, strength: np.ndarray, judged: np.ndarray, p: EntryRules = EntryRules()) -> tuple[np.ndarray, np.ndarray]:
     """Boolean buy and sell of every bar; conditions count where they begin. Buy: a rising bar across the lower
     band, with the confirmations. Sell: %R falls through -20 on a falling bar while the mean falls, or while it
     rises after enough strong bars (or whatever the strength, if that isn't needed). A fall against a rising mean
     without them waits: for some bars, the first falling bar that closes under its high, with a falling mean, once
     its low has been undercut, sells. A later such fall begins the wait anew."""
     n = len(close)
-    judged = np.arange(n) + 1 >= p.first
-    c = pd.Series(close)
-    band = c.rolling(p.band).mean().to_numpy() - p.band_width * c.rolling(p.band).std(ddof=0).to_numpy()
-    top, bottom = pd.Series(high).rolling(p.range_).max().to_numpy(), pd.Series(low).rolling(p.range_).min().to_numpy()
+    band = _last(close, p.band, np.mean) - p.band_width * _last(close, p.band, np.std)
+    top, bottom = _last(high, p.range_, np.max), _last(low, p.range_, np.min)
     some = top > bottom
     wr = np.where(some, 100 * (close - top) / np.where(some, top - bottom, 1), 0.0)
-    mean, strength = ema(close, p.mean), rsi(close, p.strength, p.strength_scale)
     slope = np.diff(mean, prepend=mean[:1])
+    slope = np.where(np.abs(slope) <= LEVEL * np.abs(mean), 0.0, slope)
 
     with np.errstate(invalid="ignore"):
         dipped, weak = low < band, wr < p.oversold
@@ -96,8 +120,30 @@ def signals(open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndar
     return _edges(buy, judged), at_once | late
 
 
-def signal_table(bars: DataFrame, by: list[str], p: EntryRules = EntryRules()) -> DataFrame:
-    """by, ts, buy, sell for every bar; one group is one sequence."""
+def _in_blocks(bars: DataFrame, by: list[str], p: EntryRules, width: int, block: int) -> DataFrame:
+    """signal_table() by blocks of a market: its mean and strength are recurrences, taken over whole markets as scans; all
+    else has a bounded memory, so a block judges its own bars behind the last ones of the block before."""
+    x = smoothed(bars.select(*by, "ts", "open", "high", "low", "close"), by, p.mean, p.strength, p.strength_scale, width)
+    x = scans.numbered(x, by, ["ts"], scans.cut_by(x, "ts", width), "__at")
+    block, at = max(block, p.memory), F.col("__at") - 1
+    own = F.floor(at / block)
+    where = F.when(at % block >= block - p.memory, F.array(own, own + 1)).otherwise(F.array(own))
+    x = x.withColumn("__block", F.explode(where)).withColumn("__own", F.col("__block") == own)
+    kinds = ", ".join(f"{c} {bars.schema[c].dataType.simpleString()}" for c in [*by, "ts"])
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__at")
+        buy, sell = judge(*(pdf[c].to_numpy(float) for c in ("open", "high", "low", "close", "ema", "rsi")), (pdf["__at"] >= p.first).to_numpy(), p)
+        return pdf[[*by, "ts"]].assign(buy=buy, sell=sell)[pdf["__own"].to_numpy(bool)]
+
+    return x.groupBy(*by, "__block").applyInPandas(f, f"{kinds}, buy boolean, sell boolean")
+
+
+def signal_table(bars: DataFrame, by: list[str], p: EntryRules = EntryRules(), width: int | None = None, block: int = 50_000) -> DataFrame:
+    """by, ts, buy, sell for every bar; one group is one sequence. width: days of a group that one task takes (see scans),
+    block: bars that one task judges; without a width a group is one task."""
+    if width is not None:
+        return _in_blocks(bars, by, p, width, block)
     kinds = ", ".join(f"{c} {bars.schema[c].dataType.simpleString()}" for c in [*by, "ts"])
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:

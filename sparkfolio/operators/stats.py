@@ -10,7 +10,7 @@ from . import scans
 
 
 def edge_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, hit_rate, payoff, profit_factor (null without losses), avg_win, avg_loss, expectancy per group. Zeros count
+    """n, hit_rate, payoff, profit_factor (infinite without losses), avg_win, avg_loss, expectancy per group. Zeros count
     in n alone; nulls count nowhere."""
     v = F.col(value)
     win, loss = F.when(v > 0, v), F.when(v < 0, v)
@@ -18,10 +18,19 @@ def edge_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
         F.count(v).alias("n"), F.coalesce(ratio(F.count(win).cast("double"), F.count(v)), F.lit(0.0)).alias("hit_rate"), F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"),
         F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"), F.coalesce(F.avg(v), F.lit(0.0)).alias("expectancy"), F.sum(win).alias("w"), F.sum(loss).alias("l"),
     )
-    pf = ratio(F.coalesce("w", F.lit(0.0)), -F.col("l"))
+    pf = F.when(F.col("l") < 0, F.coalesce("w", F.lit(0.0)) / -F.col("l")).otherwise(F.lit(float("inf")))
     return x.withColumn("payoff", ratio(F.col("avg_win"), -F.col("avg_loss"))).withColumn("profit_factor", pf).drop("w", "l")
 
 
+def reference(trades: DataFrame, by: str, value: str = "r", cost: str = "swap_r") -> DataFrame:
+    """edge_stats of a back-test's stream net of its cost (where it has that column): a row for each of by, and one for
+    all trades, whose by is null and whose `overall` is true. Sums are partial before the shuffle."""
+    net = F.col(value) + F.coalesce(F.col(cost), F.lit(0.0)) if cost in trades.columns else F.col(value)
+    x = trades.select(F.col(by).alias(by), net.alias("__net"))
+    both = x.select(F.explode(F.array(F.struct(F.col(by).alias(by), F.lit(False).alias("overall")), F.struct(F.lit(None).cast(x.schema[by].dataType).alias(by), F.lit(True).alias("overall")))).alias("k"), "__net")
+    return edge_stats(both.select("k.*", "__net"), [by, "overall"], "__net")
+
+
 def daily_sum(df: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
     return df.groupBy(*by, day).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
 
@@ -90,11 +99,11 @@ def compound_by_year(daily: DataFrame, by: list[str]) -> DataFrame:
 
 
 def calmar(df: DataFrame, by: list[str], order: list[str], pnl: str, start: float, least: int = 10, parts: bool = False, width: int | None = None) -> DataFrame:
-    """Total return over the largest drawdown (at least 1e-6); null under `least` trades, which ranks last. With parts
+    """Total return over the largest drawdown (at least 1e-6); -infinity under `least` trades, which ranks last. With parts
     also the total and the drawdown. width: see curves."""
     x = scans.levels(df, by, order, scans.cut_by(df, order[0], width), pnl, start)
     return x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(pnl).alias("total"), F.max((F.col("peak") - F.col("equity")) / F.col("peak")).alias("dd")).select(
-        *by, "n", *(["total", "dd"] if parts else []), F.when(F.col("n") >= least, F.col("total") / start / F.greatest("dd", F.lit(1e-6))).alias("score")
+        *by, "n", *(["total", "dd"] if parts else []), F.when(F.col("n") >= least, F.col("total") / start / F.greatest("dd", F.lit(1e-6))).otherwise(F.lit(float("-inf"))).alias("score")
     )
 
 

@@ -89,12 +89,24 @@ def t45(spark, sf):
     return x.select("account", "day", "opening", "minimum", F.when(F.col("opening") > 0, F.col("daily_loss")).alias("daily_loss"), "floor", "daily_breach", "trailing_breach")
 
 
-@query("T44_intraday_minima")
-def t44(spark, sf):
-    """Positions of odd ids are long; those of a microsecond lie in the bar of their own event."""
+def watched(spark, sf):
+    """The accounts' days with the least equity that bars within them allow. Positions of odd ids are long; those of a
+    microsecond lie in the bar of their own event."""
     b = tb.bars(spark, sf).select("market", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "low", "high", "close")
     t = positions(spark, sf).withColumn("is_long", F.col("id") % 2 == 1).withColumn("size", F.lit(1.0))
-    return intraday.minima(t, b, flat(spark, sf).select("account", "day", "opening", "equity"), START)
+    return intraday.minima(t, b, flat(spark, sf), START)
+
+
+@query("T44_intraday_minima")
+def t44(spark, sf):
+    return watched(spark, sf).drop("balance")
+
+
+@query("T45_intraday_diagnostics")
+def t45_intraday(spark, sf):
+    """Losses, floors and breaches by the least equity within each day."""
+    x = accounts.diagnostics(watched(spark, sf), START, 0.06, 0.03)
+    return x.select("account", "day", "opening", "minimum", F.when(F.col("opening") > 0, F.col("daily_loss")).alias("daily_loss"), "floor", "daily_breach", "trailing_breach")
 
 
 SCENARIOS = f"""{HELD},
@@ -106,7 +118,11 @@ def t19(spark, sf):
     return scenarios(spark, sf)
 
 
-@query("V07_scenario_accounts", "SELECT account, count(*) AS days, 0::BIGINT AS broken FROM diag GROUP BY 1", ctes=HELD)
+@query(
+    "V07_scenario_accounts",
+    f"SELECT account, count(*) AS days, count(*) FILTER (abs(opening - before) > 1e-6 OR abs(price_pnl + swap - balance_change) > 1e-6) AS broken FROM (SELECT *, balance_change - swap AS price_pnl, lag(opening + balance_change, 1, {START}) OVER (PARTITION BY account ORDER BY day) AS before FROM scen) GROUP BY 1",
+    ctes=SCENARIOS,
+)
 def v07(spark, sf):
     """Days of each account and how many break the accounting; a tolerance for sums of doubles."""
     s = scenarios(spark, sf)
@@ -171,7 +187,8 @@ def r21(spark, sf):
 
 @query("R22_R25_path_risk")
 def r25(spark, sf):
-    return pathrisk.path_risk(scenarios(spark, sf), ["account"], START)
+    """Every account and block length, on days with the least equity that bars within them allow."""
+    return pathrisk.path_risk(accounts.scenario_days(watched(spark, sf), positions(spark, sf), START), ["account"], START)
 
 
 @query("R18_expectation_band")

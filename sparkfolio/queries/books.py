@@ -147,7 +147,14 @@ def j14(spark, sf):
     return gram.differences(gram.pair_moments(matrix(spark, sf), "candidate", "day", "ret")).select("a", "b", "n", "mean_diff", "sd_diff", "score")
 
 
-@query("V12_reconciliation")
+@query(
+    "V12_reconciliation",
+    """SELECT candidate, CAST(total AS DOUBLE) AS total, total = by_day AND total = by_market AS agree FROM (SELECT candidate, sum(CAST(r AS DECIMAL(18,6))) AS total FROM candidates GROUP BY 1)
+ JOIN (SELECT candidate, sum(s) AS by_day FROM (SELECT candidate, day, sum(CAST(r AS DECIMAL(18,6))) AS s FROM candidates GROUP BY 1, 2) GROUP BY 1) USING (candidate)
+ JOIN (SELECT candidate, sum(s) AS by_market FROM (SELECT candidate, market, sum(CAST(r AS DECIMAL(18,6))) AS s FROM candidates GROUP BY 1, 2) GROUP BY 1) USING (candidate)""",
+    "total",
+    tb.CANDIDATES,
+)
 def v12(spark, sf):
     return walkforward.reconciliation(tb.candidates(spark, sf), "candidate", "day", "market", "r").select("candidate", F.col("total").cast("double").alias("total"), "agree")
 
@@ -158,28 +165,35 @@ def r15(spark, sf):
     return walkforward.pbo(x, "candidate", "slice", "perf")
 
 
-@query("W01_windows", "SELECT ordinal, train_start, train_end, test_start, test_end FROM windows", ctes=tb.WINDOWS)
+@query("W01_windows", "SELECT ordinal, train_start, train_end, test_start, test_end, trades, net_r FROM held", "net_r", tb.WINDOW_TRADES)
 def w01(spark, sf):
-    return tb.windows(spark)
+    """The windows and what closes in each."""
+    return tb.window_trades(spark, sf)
 
 
-@query("W02_holdout", "SELECT ordinal, CASE WHEN test_end <= TIMESTAMP '2002-01-01' - to_months(18) THEN 'select' ELSE 'holdout' END AS phase FROM windows", ctes=tb.WINDOWS)
+@query("W02_holdout", "SELECT ordinal, CASE WHEN test_end <= TIMESTAMP '2002-01-01' - to_months(18) THEN 'select' ELSE 'holdout' END AS phase, trades, net_r FROM held", "net_r", tb.WINDOW_TRADES)
 def w02(spark, sf):
-    return walkforward.holdout(tb.windows(spark), "2002-01-01", 18).select("ordinal", "phase")
+    return walkforward.holdout(tb.window_trades(spark, sf), "2002-01-01", 18).select("ordinal", "phase", "trades", "net_r")
 
 
-@query("W03_grid", "SELECT a AS sl, b AS tp FROM unnest([0.3::DOUBLE, 0.5, 0.8]) t(a) CROSS JOIN unnest([1.0::DOUBLE, 2.0]) u(b)", "sl tp")
+@query("W03_grid", "SELECT a AS sl, b AS tp, count(*) FILTER (r <= -a) AS stopped, count(*) FILTER (r >= b) AS reached FROM unnest([0.3::DOUBLE, 0.5, 0.8]) t(a) CROSS JOIN unnest([1.0::DOUBLE, 2.0]) u(b) CROSS JOIN trades GROUP BY 1, 2", "sl tp", tb.TRADES)
 def w03(spark, sf):
-    return joins.grid(spark.createDataFrame([(0.3,), (0.5,), (0.8,)], "sl double"), spark.createDataFrame([(1.0,), (2.0,)], "tp double"))
+    """Each combination with the trades that lose at least its stop and those that win at least its target. Trades are
+    counted by value first."""
+    grid = joins.grid(spark.createDataFrame([(0.3,), (0.5,), (0.8,)], "sl double"), spark.createDataFrame([(1.0,), (2.0,)], "tp double"))
+    values = tb.trades(spark, sf).groupBy("r").agg(F.count("*").alias("n"))
+    x = values.crossJoin(F.broadcast(grid))  # six rows
+    return x.groupBy("sl", "tp").agg(F.coalesce(F.sum(F.when(F.col("r") <= -F.col("sl"), F.col("n"))), F.lit(0)).alias("stopped"), F.coalesce(F.sum(F.when(F.col("r") >= F.col("tp"), F.col("n"))), F.lit(0)).alias("reached"))
 
 
 @query(
     "W06_schedule",
-    "SELECT test_start AS from_ts, ordinal, true AS entries FROM windows UNION ALL SELECT test_end, ordinal, false FROM (SELECT *, lead(test_start) OVER (ORDER BY ordinal) AS nx FROM windows) WHERE nx IS NULL OR nx > test_end",
-    ctes=tb.WINDOWS,
+    "SELECT test_start AS from_ts, ordinal, true AS entries, trades FROM held UNION ALL SELECT test_end, ordinal, false, trades FROM (SELECT *, lead(test_start) OVER (ORDER BY ordinal) AS nx FROM held) WHERE nx IS NULL OR nx > test_end",
+    ctes=tb.WINDOW_TRADES,
 )
 def w06(spark, sf):
-    return walkforward.schedule(tb.windows(spark))
+    w = tb.window_trades(spark, sf)
+    return walkforward.schedule(tb.windows(spark)).join(w.select("ordinal", "trades"), "ordinal").select("from_ts", "ordinal", "entries", "trades")
 
 
 @query(
@@ -236,6 +250,22 @@ def v21(spark, sf):
     return ledger.excluded(deals(spark, sf))
 
 
+@query(
+    "V21_unreconstructable",
+    """SELECT position_id, array_to_string(list_concat(CASE WHEN turned THEN ['reversal'] ELSE [] END, CASE WHEN by_other THEN ['closed by another'] ELSE [] END, list_transform(types, lambda t: 'later entry of type ' || t)), '; ') AS reasons FROM
+ (SELECT position_id, bool_or(e = 2) AS turned, bool_or(e = 3) AS by_other, coalesce(list_sort(list(DISTINCT t) FILTER (e = 0 AND n > 1 AND t NOT IN (0, 1))), []) AS types FROM
+ (SELECT *, row_number() OVER (PARTITION BY position_id, e ORDER BY time, ticket) AS n FROM (SELECT *, CASE WHEN ticket % 17 = 0 THEN 2 WHEN ticket % 19 = 0 THEN 3 WHEN ticket % 5 = 0 THEN 0 ELSE entry END AS e, CASE WHEN ticket % 25 = 0 THEN 2 + ticket % 3 ELSE type END AS t FROM deals WHERE symbol <> '')) GROUP BY 1)
+ WHERE turned OR by_other OR len(types) > 0""",
+    ctes=tb.DEALS,
+)
+def v21_reasons(spark, sf):
+    """Some deals made reversals, closed by others, further entries, or entries of other types."""
+    t = F.col("ticket")
+    entry = F.when(t % 17 == 0, 2).when(t % 19 == 0, 3).when(t % 5 == 0, 0).otherwise(F.col("entry"))
+    d = deals(spark, sf).withColumns({"entry": entry, "type": F.when(t % 25 == 0, (2 + t % 3).cast("int")).otherwise(F.col("type"))})
+    return ledger.unreconstructable(d).select("position_id", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
 @query(
     "A02_live_stats",
     "SELECT symbol, count(*) AS n, count(*) FILTER (net > 0) / count(*) AS hit_rate, CAST(sum(net) FILTER (net > 0) AS DOUBLE) / -CAST(sum(net) FILTER (net < 0) AS DOUBLE) AS profit_factor, CAST(sum(net) AS DOUBLE) / count(*) AS expectancy FROM trips GROUP BY 1",

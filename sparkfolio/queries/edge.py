@@ -119,9 +119,9 @@ def f15(spark, sf):
     return tb.trades(spark, sf).groupBy("market").agg(F.sum(F.col("r") * RISK * START).alias("pnl"), F.sum(F.col("r") * RISK).alias("account_return"))
 
 
-@query("F18_window_label", "SELECT ordinal, strftime(test_start, '%Y-%m') || '..' || strftime(test_end, '%Y-%m') AS label FROM windows", ctes=tb.WINDOWS)
+@query("F18_window_label", "SELECT ordinal, strftime(test_start, '%Y-%m') || '..' || strftime(test_end, '%Y-%m') AS label, trades FROM held", ctes=tb.WINDOW_TRADES)
 def f18(spark, sf):
-    return tb.windows(spark).select("ordinal", tx.window_label(F.col("test_start"), F.col("test_end")).alias("label"))
+    return tb.window_trades(spark, sf).select("ordinal", tx.window_label(F.col("test_start"), F.col("test_end")).alias("label"), "trades")
 
 
 @query("F20_candidate_id", "SELECT candidate, count(*) AS n FROM candidates GROUP BY 1", ctes=tb.CANDIDATES)
@@ -135,7 +135,7 @@ def f43(spark, sf):
 
 
 EDGE = """SELECT market, count(r) AS n, count(*) FILTER (r > 0) / count(r) AS hit_rate, coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r < 0), 0) AS avg_loss, avg(r) AS expectancy,
- avg(r) FILTER (r > 0) / -avg(r) FILTER (r < 0) AS payoff, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor FROM trades GROUP BY 1"""
+ avg(r) FILTER (r > 0) / -avg(r) FILTER (r < 0) AS payoff, CASE WHEN sum(r) FILTER (r < 0) < 0 THEN coalesce(sum(r) FILTER (r > 0), 0) / -sum(r) FILTER (r < 0) ELSE 'infinity'::DOUBLE END AS profit_factor FROM trades GROUP BY 1"""
 
 
 @query("A01_edge_stats", EDGE, "hit_rate avg_win avg_loss expectancy payoff profit_factor", tb.TRADES)
@@ -206,7 +206,7 @@ def a18(spark, sf):
     return stats.upper_median(tb.read(spark, sf, "part").withColumnRenamed("p_brand", "market"), ["market"], "p_size")
 
 
-CALMAR = f"""SELECT market, n, CASE WHEN n >= 10 THEN total / {START} / greatest(dd, 1e-6) END AS score FROM (SELECT market, count(*) AS n, sum(pnl) AS total, max((peak - equity) / peak) AS dd FROM
+CALMAR = f"""SELECT market, n, CASE WHEN n >= 10 THEN total / {START} / greatest(dd, 1e-6) ELSE '-infinity'::DOUBLE END AS score FROM (SELECT market, count(*) AS n, sum(pnl) AS total, max((peak - equity) / peak) AS dd FROM
  (SELECT *, greatest({START}, max(equity) OVER (PARTITION BY market ORDER BY {O} ROWS UNBOUNDED PRECEDING)) AS peak FROM (SELECT *, {START} + sum(pnl) OVER (PARTITION BY market ORDER BY {O} ROWS UNBOUNDED PRECEDING) AS equity
  FROM (SELECT *, r * {RISK} * {START} AS pnl FROM trades))) GROUP BY 1)"""
 
@@ -339,3 +339,18 @@ def r17(spark, sf):
     s = bundles.packed(t, ["market"], "day", ORDER, "pnl")
     ends = bundles.resampled(s, ["market"], START, 1000).withColumn("draw", F.lit("days")).unionByName(bundles.resampled(s, ["market"], START, 1000, None).withColumn("draw", F.lit("trades")))
     return bundles.summary(ends, ["market", "draw"], START)
+
+
+NET = """SELECT {key}, count(net) AS n, count(*) FILTER (net > 0) / count(net) AS hit_rate, coalesce(avg(net) FILTER (net > 0), 0) AS avg_win, coalesce(avg(net) FILTER (net < 0), 0) AS avg_loss, avg(net) AS expectancy,
+ avg(net) FILTER (net > 0) / -avg(net) FILTER (net < 0) AS payoff, CASE WHEN sum(net) FILTER (net < 0) < 0 THEN coalesce(sum(net) FILTER (net > 0), 0) / -sum(net) FILTER (net < 0) ELSE 'infinity'::DOUBLE END AS profit_factor FROM (SELECT market, r + swap_r AS net FROM swaps)"""
+
+
+@query(
+    "S16_reference",
+    f"{NET.format(key='market, false AS overall')} GROUP BY market UNION ALL {NET.format(key='NULL, true')}",
+    "hit_rate avg_win avg_loss expectancy payoff profit_factor",
+    f"{tb.TRADES},\n{SWAPS}",
+)
+def s16(spark, sf):
+    """The edge of all trades and of each market's, net of swaps."""
+    return stats.reference(with_swaps(spark, sf), "market")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics
+from ..functions import timeaxis as tx
+from ..operators import diagnostics, monitoring, selection, stats
 from ..sources import evidence
+from ..sources import windows as ws
 from ..sources import tables as tb
 from .accounts import CELLS, cells
 from .base import query
@@ -45,6 +47,18 @@ def a32(spark, sf):
     return diagnostics.family_diagnostics(m, "candidate", "label", "value", x.select("candidate").distinct().count())
 
 
+@query("R16_variation_pbo")
+def r16(spark, sf):
+    return monitoring.variation_pbo(cells(spark, sf))
+
+
+@query("J03_ranked_diagnostics")
+def j03(spark, sf):
+    """The ranking of the study with each candidate's deflated Sharpe ratios."""
+    ranked = stats.ranking(tb.study(spark, sf)).withColumn("candidate", F.format_string("%s__train_%dm", "variation", "train_months"))
+    return selection.with_diagnostics(ranked, a32(spark, sf), "candidate").select("candidate", "mean_rpd", "complete", "enough_positive", "near_best", "dsr", "dsr_nominal", "dsr_ok")
+
+
 #: Fields of a market's evidence.
 FIELDS = [
     evidence.Field("schema", "text", fixed="market/1"), evidence.Field("market", "text"), evidence.Field("trades", "long"), evidence.Field("total", "decimal"), evidence.Field("sides", "texts"),
@@ -68,3 +82,22 @@ def f34(spark, sf):
     )
     y = evidence.typed(evidence.written(x, FIELDS), FIELDS)
     return y.select("market", "trades", F.col("total").cast("double").alias("total"), F.size("sides").cast("long").alias("sides"), F.col("outcomes_wins").alias("wins"), F.col("outcomes_losses").alias("losses"), F.col("outcomes_best").cast("double").alias("best"))
+
+
+@query(
+    "W14_candidate_windows",
+    "SELECT candidate, k4 AS market, CAST(year(ts_closed) AS VARCHAR) AS label, count(*) AS events, CAST(sum(CAST(r AS DECIMAL(18,6))) AS DOUBLE) AS net_r, min(epoch_ns(ts_closed)) AS first_ns FROM candidates GROUP BY 1, 2, 3",
+    "net_r",
+    tb.CANDIDATES,
+)
+def w14(spark, sf):
+    """The yearly windows of each candidate and market, written as lists and read back through the checks."""
+    ns, year = tx.epoch_nanoseconds(F.col("ts_closed")), F.year("ts_closed")
+    x = tb.candidates(spark, sf).select("candidate", F.col("k4").alias("market"), year.alias("year"), F.concat(F.lit("["), ns.cast("string"), F.lit(", "), F.col("r").cast("decimal(18,6)").cast("string"), F.lit("]")).alias("event"))
+    bound = lambda y: tx.epoch_nanoseconds(F.make_timestamp_ntz(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    one = F.format_string('{"window": "%d", "test_start_ns": %d, "test_end_ns": %d, "net_r_events": [%s]}', "year", bound(F.col("year")), bound(F.col("year") + 1), F.array_join("events", ", "))
+    x = x.groupBy("candidate", "market", "year").agg(F.collect_list("event").alias("events")).select("candidate", "market", one.alias("w"))
+    texts = x.groupBy("candidate", "market").agg(F.concat(F.lit("["), F.array_join(F.collect_list("w"), ", "), F.lit("]")).alias("json"))
+    y = ws.candidate_windows(texts, ["candidate", "market"])
+    total = F.aggregate("events", F.lit(0).cast("decimal(38,6)"), lambda a, e: (a + e["net_r"]).cast("decimal(38,6)"))
+    return y.select("candidate", "market", F.col("window").alias("label"), F.size("events").cast("long").alias("events"), total.cast("double").alias("net_r"), F.array_min(F.transform("events", lambda e: e["ts_ns"])).alias("first_ns"))

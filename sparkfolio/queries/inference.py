@@ -43,6 +43,13 @@ def r14(spark, sf):
     return inference.family_tests(spark, x, names, block)
 
 
+@query("R04_R10_spa_lengths")
+def r10(spark, sf):
+    """The family's SPA test at its own block length and at four fixed ones, all of which it has to pass."""
+    names, x = _wide(spark, sf)
+    return inference.spa_by_length(spark, x, names)
+
+
 @query("A28_A29_deflated_sharpe")
 def a29(spark, sf):
     x = matrix(spark, sf).withColumn("ret", F.col("ret").cast("double"))

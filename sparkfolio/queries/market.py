@@ -252,7 +252,7 @@ RULES = signals.EntryRules(band_width=1.5, body_pct=0.0)
 
 @query("T36_signals")
 def t36(spark, sf):
-    return signals.signal_table(tb.walk(spark, sf), ["market"], RULES)
+    return signals.signal_table(tb.walk(spark, sf), ["market"], RULES, width=180)
 
 
 @query("T39_backtest")
@@ -266,7 +266,7 @@ def w05(spark, sf):
     """The combination with the best score on each market, the earliest in the grid on ties."""
     t = t39(spark, sf).withColumn("pnl", F.col("r") * 100)
     x = stats.calmar(t, ["market", "combo"], ["ts_closed", "ts_opened"], "pnl", 100_000.0)
-    return x.where("score IS NOT NULL").groupBy("market").agg(F.max("score").alias("best"), F.min_by("combo", F.struct(-F.col("score"), "combo")).alias("combo"))
+    return x.where(F.col("score") > float("-inf")).groupBy("market").agg(F.max("score").alias("best"), F.min_by("combo", F.struct(-F.col("score"), "combo")).alias("combo"))
 
 
 #: The grid of the walk-forward runs: stops and targets in percent.

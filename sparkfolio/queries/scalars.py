@@ -41,7 +41,7 @@ def f12(spark, sf):
     price, pct = F.col("p_retailprice"), F.col("p_size") / 10
     lot_loss = price * pct / 100 / 0.01 * 0.1
     factor = F.when(F.col("p_size") % 3 == 0, F.lit(1.144)).when(F.col("p_size") % 3 == 2, F.lit(0.9))
-    order = px.size_order(price, F.col("p_partkey") % 2 == 0, pct, F.lit(2.5), F.lit(200.0), F.lit(0.01), F.lit(0.1), 0.05, 0.01, 2.0, 5, lambda v: v * lot_loss * factor)
+    order = px.entry_order(price, F.col("p_partkey") % 2 == 0, pct, F.lit(2.5), F.lit(200.0), F.lit(0.01), F.lit(0.1), 0.05, 0.01, 2.0, 5, lambda v: v * lot_loss * factor)
     return tb.read(spark, sf, "part").select("p_partkey", order.alias("o")).where("o IS NOT NULL").select("p_partkey", "o.volume", "o.risk", "o.sl")
 
 
@@ -166,10 +166,10 @@ def j02(spark, sf):
     return selection.renamed(tb.read(spark, sf, "part"), F.broadcast(names), "p_brand", "old", "new").select("p_partkey", "market")  # 25 nations
 
 
-@query("O08_first_windows", "SELECT ordinal, test_start FROM windows ORDER BY ordinal LIMIT 5", ctes=tb.WINDOWS)
+@query("O08_first_windows", "SELECT ordinal, test_start, trades FROM held ORDER BY ordinal LIMIT 5", ctes=tb.WINDOW_TRADES)
 def o08(spark, sf):
     """A run may be limited to its first windows: the limit is the feature."""
-    return tb.windows(spark).orderBy("ordinal").limit(5).select("ordinal", "test_start")
+    return tb.window_trades(spark, sf).orderBy("ordinal").limit(5).select("ordinal", "test_start", "trades")
 
 
 @query("O12_uncovered", "SELECT l_suppkey FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files, prices, tables as tb, vendor
+from ..sources import deals as dl, files, prices, tables as tb, vendor
 from ..streaming import cycles
 from .base import query
 
@@ -83,3 +83,16 @@ def s08(spark, sf):
     texts = texts.withColumn("block", F.unix_date("day")).drop("day")
     x = prices.write_scan(texts, files.scratch(spark, "prices"))
     return x.select("market", "ts", *(F.col(c).cast("double").alias(c) for c in prices.PRICES))
+
+
+@query(
+    "S11_typed_deals",
+    "SELECT ticket, time, type, entry, position_id, symbol, CAST(1 + ticket % 3 AS DOUBLE) AS volume, CAST(ticket AS DOUBLE) / 4 AS price, CAST(profit AS DOUBLE) AS profit, CAST(swap AS DOUBLE) AS swap, CAST(commission AS DOUBLE) AS commission, CAST(fee AS DOUBLE) AS fee FROM deals",
+    "volume price profit swap commission fee",
+    tb.DEALS,
+)
+def s11(spark, sf):
+    """The deals as texts, typed again; a missing fee is 0."""
+    d = tb.deals(spark, sf).withColumns({"volume": 1 + F.col("ticket") % 3, "price": F.col("ticket") / 4, "fee": F.when(F.col("ticket") % 2 == 0, F.col("fee"))})
+    x = dl.typed_deals(d.select(*(F.col(c).cast("string").alias(c) for c in dl.FIELDS)))
+    return x.select(*(F.col(c).cast("double").alias(c) if kind.startswith("decimal") else c for c, kind in dl.FIELDS.items()))

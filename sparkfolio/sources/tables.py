@@ -121,6 +121,16 @@ DEALS = """deals0 AS (SELECT event_id AS ticket, CAST(floor(epoch(ts)) AS BIGINT
 deals AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY position_id, symbol = '' ORDER BY time, ticket) = 1 THEN 0 ELSE 1 END AS entry FROM deals0)"""
 
 
+def window_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows with the trades that close in their test spans: how many, and their sum of R."""
+    from ..operators.joins import member
+
+    w = windows(spark)
+    t = member(trades(spark, sf_dir), w.select("test_start", "test_end", "ordinal"), [], "ts_closed", "test_start", "test_end", "ordinal")
+    n = t.groupBy("ordinal").agg(F.count("*").alias("trades"), F.sum(F.col("r").cast("decimal(18,6)")).cast("double").alias("net_r"))
+    return w.join(n, "ordinal", "left").fillna({"trades": 0, "net_r": 0.0})
+
+
 def windows(spark: SparkSession) -> DataFrame:
     """Walk-forward windows over the span of the trades: half-yearly from 1995-01-01."""
     from ..operators.walkforward import rolling_windows
@@ -131,3 +141,8 @@ def windows(spark: SparkSession) -> DataFrame:
 WINDOWS = """windows AS (SELECT CAST(i AS INTEGER) AS ordinal, TIMESTAMP '1995-01-01' + to_months(CAST(6 * i AS INTEGER)) AS train_start, TIMESTAMP '1995-01-01' + to_months(CAST(6 * i + 12 AS INTEGER)) AS train_end,
  TIMESTAMP '1995-01-01' + to_months(CAST(6 * i + 12 AS INTEGER)) AS test_start, TIMESTAMP '1995-01-01' + to_months(CAST(6 * i + 18 AS INTEGER)) AS test_end
  FROM range(0, 100) t(i) WHERE TIMESTAMP '1995-01-01' + to_months(CAST(6 * i + 18 AS INTEGER)) <= TIMESTAMP '2002-01-01')"""
+
+WINDOW_TRADES = f"""{TRADES},
+{WINDOWS},
+closing AS (SELECT ordinal, count(*) AS trades, CAST(sum(CAST(r AS DECIMAL(18,6))) AS DOUBLE) AS net_r FROM (SELECT * FROM trades ASOF JOIN (SELECT test_start AS ts_closed, ordinal, max(test_end) OVER () AS until FROM windows) USING (ts_closed)) WHERE ts_closed <= until GROUP BY 1),
+held AS (SELECT windows.*, coalesce(trades, 0) AS trades, coalesce(net_r, 0) AS net_r FROM windows LEFT JOIN closing USING (ordinal))"""

@@ -143,7 +143,7 @@ def test_texts_and_sizes(spark):
     x = spark.createDataFrame([("100.00", "12:AB", "bot 12:AB or 12"), ("-0.50", "", "same"), ("0.00", None, "same"), (None, "12:", "12")], "d string, token string, said string")
     got = x.select(tt.decimal_text(F.col("d").cast("decimal(12,2)")).alias("d"), tt.redacted(F.col("said"), F.col("token")).alias("m")).collect()
     assert [tuple(r) for r in got] == [("100", "bot *** or ***"), ("-0.5", "same"), ("0", "same"), (None, "***")]
-    one = lambda loss: spark.range(1).select(px.size_order(F.lit(100.0), F.lit(True), F.lit(1.0), F.lit(2.0), F.lit(10.0), F.lit(0.01), F.lit(0.1), 0.01, 0.01, 5.0, 2, loss).alias("o")).first()["o"]
+    one = lambda loss: spark.range(1).select(px.entry_order(F.lit(100.0), F.lit(True), F.lit(1.0), F.lit(2.0), F.lit(10.0), F.lit(0.01), F.lit(0.1), 0.01, 0.01, 5.0, 2, loss).alias("o")).first()["o"]
     plain = one(None)
     assert (round(plain["volume"], 8), round(plain["risk"], 8), plain["sl"], plain["tp"]) == (1.0, 10.0, 99.0, 102.0)
     dear = one(lambda v: v * 12.5)

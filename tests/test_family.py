@@ -112,3 +112,54 @@ def test_round_trip(spark):
     assert sorted(map(tuple, back.drop("inner").select(df.columns).collect()), key=str) == sorted(rows, key=str)
     with pytest.raises(ValueError):
         evidence.checked(df.withColumnRenamed("schema", "json"), [Field("a", "number")])
+
+
+def test_variation_pbo_pools_shared_windows(spark):
+    """Cells that one variation lacks don't shift the others; pooled windows in order make the matrix."""
+    from sparkfolio.operators import monitoring, walkforward
+
+    r = np.random.default_rng(6)
+    rows = [(v, i, m, w, float(x)) for v in "pqrs" for i in "ab" for m in (18, 24) for w in range(5) for x in r.normal(0, 1, 1)]
+    rows = [x for x in rows if x[:3] != ("q", "b", 24) and x[:4] != ("r", "a", 18, 2)]
+    got = monitoring.variation_pbo(spark.createDataFrame(rows, "variation string, instrument string, train_months int, label int, value double").repartition(3)).first()
+    kept = [(v, (i, m, w), x) for v, i, m, w, x in rows if (i, m) != ("b", 24) and (i, m, w) != ("a", 18, 2)]
+    place = {s: k for k, s in enumerate(sorted({s for _, s, _ in kept}))}
+    want = walkforward.pbo(spark.createDataFrame([(v, place[s], x) for v, s, x in kept], "variation string, at int, value double"), "variation", "at", "value").first()
+    assert len(place) == 14 and (got["pbo"], got["splits"]) == (want["pbo"], want["splits"]) and got["splits"] == 252
+
+
+def test_ranked_with_diagnostics(spark):
+    from sparkfolio.operators import selection
+
+    ranked = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "candidate string, mean double")
+    told = spark.createDataFrame([("a", 0.9, 0.8), ("b", 0.8999999, 0.7)], "candidate string, dsr_effective double, dsr_nominal double")
+    got = {r["candidate"]: (r["dsr"], r["dsr_ok"]) for r in selection.with_diagnostics(ranked, told, "candidate").collect()}
+    assert got == {"a": (0.9, True), "b": (0.8999999, False), "c": (None, False)}
+
+
+WINDOW = '{"window": "w1", "test_start_ns": 1, "test_end_ns": 5, "net_r_events": [[2, 0.5], [3, "-1.25"], [4, 7]]}'
+
+
+def test_candidate_windows(spark):
+    from sparkfolio.sources.windows import candidate_windows
+
+    texts = spark.createDataFrame([("c", "m", f"[{WINDOW}, {WINDOW.replace('w1', 'w2').replace('[[2', '[[-2')}]"), ("c", "n", "[]"), ("d", "m", f"[{WINDOW}]")], "candidate string, market string, json string")
+    got = {(r["candidate"], r["market"], r["window"]): r for r in candidate_windows(texts, ["candidate", "market"]).collect()}
+    assert got.keys() == {("c", "m", "w1"), ("c", "m", "w2"), ("d", "m", "w1")}
+    r = got["c", "m", "w1"]
+    assert (r["test_start_ns"], r["test_end_ns"]) == (1, 5) and [tuple(e) for e in r["events"]] == [(2, Decimal("0.5")), (3, Decimal("-1.25")), (4, Decimal(7))]
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        (None, "not a list of windows"), (WINDOW, "not a list of windows"), ("[1", "not a list of windows"), ("[7]", "window 0: no object"), (f"[{WINDOW}, {WINDOW}]", "repeats window w1"), (f"[{WINDOW.replace(': 1,', ': 1.5,')}]", "window 0: test_start_ns"),
+        (f"[{WINDOW.replace(': 5,', ': null,')}]", "window 0: test_end_ns"), (f"[{WINDOW.replace('[2, 0.5]', '[2]')}]", "window 0: net_r_events"), (f"[{WINDOW.replace('[2, 0.5]', '[2.5, 1]')}]", "window 0: net_r_events"),
+        (f"[{WINDOW.replace('[2, 0.5]', '[2, true]')}]", "window 0: net_r_events"), (f"[{WINDOW.replace('-1.25', 'x')}]", "window 0: net_r_events"), (f"[{WINDOW.replace('[[2, 0.5], [3, ' + chr(34) + '-1.25' + chr(34) + '], [4, 7]]', '{}')}]", "window 0: net_r_events"),
+    ],
+)
+def test_candidate_windows_refused(spark, text, reason):
+    from sparkfolio.sources.windows import candidate_windows
+
+    with pytest.raises(Exception, match=f"c/m: {reason}"):
+        candidate_windows(spark.createDataFrame([("c", "m", text)], "candidate string, market string, json string"), ["candidate", "market"]).collect()

@@ -86,3 +86,19 @@ def test_sharpe_and_kelly():
     assert inf.kelly_fraction(np.array([-1.0, -1, 1]), 0.9, 0.05) == 0
     f = inf.kelly_fraction(np.array([-1.0, 1.2] * 50), 0.5, 0.5, most=0.5)
     assert 0 < f <= 0.5 and np.mean((1 + f * np.array([-1.0, 1.2])) ** -1.0) <= 1 + 1e-9
+    assert inf.kelly_fraction(np.array([5.0]), 0.9, 0.05) == 0 and inf.kelly_fraction(np.array([-1.0, 50.0]), 0.01, 0.99, most=5.0) <= 0.98
+
+
+def test_spa_at_every_length(spark):
+    rng = np.random.default_rng(12)
+    x, names = rng.normal(0, 1, (200, 4)) + np.array([0.0, 0.35, -0.2, 0.1]), list("abcd")
+    got = {r["label"]: r for r in inf.spa_by_length(spark, x, names, (5, 60), 1100, 3).collect()}
+    assert got.keys() == {"selected", "fixed_5", "fixed_60"} and got["selected"]["block"] == inf.common_block_length(list(x.T))
+    for r in got.values():
+        alone = inf.family_tests(spark, x, names, float(r["block"]), 1100, 3).first()
+        assert r["spa_p"] == pytest.approx(alone["spa_p"], abs=1e-12) and r["passes"] == (r["spa_p"] <= 0.05)
+        assert r["all_pass"] == all(v["passes"] for v in got.values())
+    with pytest.raises(ValueError, match="block length"):
+        inf.spa_by_length(spark, np.cumsum(x, axis=0)[:40], names, (5,), 50, 3)
+    with pytest.raises(ValueError, match="without variance: a"):
+        inf.spa_by_length(spark, np.concatenate([np.ones((200, 1)), x[:, 1:]], axis=1), names, (5,), 50, 3)

@@ -120,3 +120,21 @@ def test_pbo_of_steady_trials_and_few_slices(spark):
     df = spark.createDataFrame([(t, f"c{k}", k) for t in range(20) for k in range(5)], "slice int, trial string, perf long")
     assert walkforward.pbo(df, "trial", "slice", "perf").first()["pbo"] == 0.0
     assert walkforward.pbo(df.where("slice < 3"), "trial", "slice", "perf").first()["pbo"] is None
+
+
+@pytest.mark.parametrize("width, block", [(1, 1), (40, 50), (10_000, 50_000)])
+def test_signals_by_blocks_of_a_market(spark, width, block):
+    """Blocks as short as the rules' memory, cuts of a day: the same signals as whole markets, the golden sequence included."""
+    o, h, low, c = sine()
+    rows = [("sine", k, *map(float, x)) for k, x in enumerate(zip(o, h, low, c))]
+    for m, n in (("hot", 700), ("short", 20)):
+        r = random.Random(n)
+        close = 200 + np.cumsum([r.gauss(0, 1) for _ in range(n)])
+        open_ = np.concatenate([close[:1], close[:-1]])
+        rows += [(m, k, float(a), float(max(a, b) + r.random()), float(min(a, b) - r.random()), float(b)) for k, (a, b) in enumerate(zip(open_, close))]
+    df = spark.createDataFrame(rows, "market string, k int, open double, high double, low double, close double").repartition(5)
+    df = df.selectExpr("market", "timestamp_seconds(k * 14400L) AS ts", "open", "high", "low", "close")
+    for rules in (signals.EntryRules(band_width=1.0, **LOOSE), signals.EntryRules(band_width=1.0, body_pct=0.0)):
+        want = sorted(map(tuple, signals.signal_table(df, ["market"], rules).collect()))
+        got = sorted(map(tuple, signals.signal_table(df, ["market"], rules, width, block).collect()))
+        assert got == want and any(x[2] for x in got) and any(x[3] for x in got)
