@@ -63,7 +63,8 @@ def resampled(streams: DataFrame, keys: list[str], start: float, sims: int, bloc
     simulations is a row with its own seed, so tasks can run again; the order of draws is this package's own."""
     size = F.greatest(F.lit(1), F.least(F.lit(inference.CHUNK), F.floor(F.lit(HELD) / F.col("n")))).cast("int")
     x = streams.where("n > 0").withColumn("size", size).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(sims) / F.col("size")).cast("int") - 1)))
-    x = x.withColumn("reps", F.least("size", F.lit(sims) - F.col("chunk") * F.col("size"))).repartition("chunk", *keys)
+    x = x.withColumn("reps", F.least("size", F.lit(sims) - F.col("chunk") * F.col("size")))
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk", *keys)  # a number, so that rows this small are not put together
 
     def run(it):
         for pdf in it:

@@ -118,7 +118,8 @@ def _chunks(choices: DataFrame, replications: int) -> DataFrame:
     x = choices.where("block IS NOT NULL").withColumn("size", size)
     x = x.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(replications) / F.col("size")).cast("int") - 1)))
     x = x.withColumn("reps", F.least(F.col("size"), F.lit(replications) - F.col("chunk") * F.col("size")))
-    return x.repartition(F.col("chunk"), F.col("label"), *(c for c in choices.columns if c not in {"n", "days", "label", "block", "reason", *PARTS}))
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that rows this small are not put together
+    return x.repartition(n, F.col("chunk"), F.col("label"), *(c for c in choices.columns if c not in {"n", "days", "label", "block", "reason", *PARTS}))
 
 
 def _drawn(pdf: pd.DataFrame, seed: int) -> Iterator[tuple]:
