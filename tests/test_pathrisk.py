@@ -100,26 +100,26 @@ def plain(days, rows, start):
 def test_all_accounts_like_a_plain_loop(spark):
     rng = np.random.default_rng(4)
     source = {}
-    for account, n in (("a", 60), ("b", 25), ("c", 1)):
+    for account, n in (("a", 24), ("b", 12), ("c", 1)):
         opening = rng.integers(800, 1300, n).astype(float)
         change = np.round(rng.normal(0, 12, n), 1)
         source[account] = np.stack([opening, change, np.round(change + rng.normal(0, 3, n), 1), np.minimum(change, 0) - rng.integers(0, 15, n)], axis=1)
     rows = [(a, d, *map(float, x)) for a, days in source.items() for d, x in enumerate(days)]
     choices = pathrisk.chosen(pathrisk.packed(spark.createDataFrame(rows, DAYS).repartition(5), ["account"])).cache()
-    got = pathrisk.replays(choices, ["account"], 1000.0, 700, 9).collect()
+    got = pathrisk.replays(choices, ["account"], 1000.0, 520, 9).collect()
     seen = {(r["account"], r["label"], r["rep"]) for r in got}
     blocks = {(r["account"], r["label"]): r["block"] for r in choices.collect()}
-    assert len(seen) == len(got) == 700 * sum(b is not None for b in blocks.values()) and blocks["b", "fixed_60"] == 60
+    assert len(seen) == len(got) == 520 * sum(b is not None for b in blocks.values()) and blocks["b", "fixed_60"] == 60
     drawn = {}
     for (a, label), b in blocks.items():
         if b is not None:
-            drawn[a, label] = np.concatenate([inference.indices(len(source[a]), b, size, 9, c) for c, size in enumerate((500, 200))])
+            drawn[a, label] = np.concatenate([inference.indices(len(source[a]), b, size, 9, c) for c, size in enumerate((500, 20))])
     for r in got:
         want = plain(source[r["account"]], drawn[r["account"], r["label"]][r["rep"]], 1000)
         assert {k: r[k] for k in pathrisk.HITS} == {k: bool(want[k]) for k in pathrisk.HITS}
         assert all(r[k] == pytest.approx(float(want[k]), abs=1e-12) for k in pathrisk.VALUES)
         assert (not r["daily"] or r["internal_daily"]) and (not r["trailing"] or r["internal_trailing"])
-    counts = {(r["account"], r["label"], r["day"]): (r["drawn"], r["paths"]) for r in pathrisk.drawn_days(choices, ["account"], 700, 9).collect()}
+    counts = {(r["account"], r["label"], r["day"]): (r["drawn"], r["paths"]) for r in pathrisk.drawn_days(choices, ["account"], 520, 9).collect()}
     for (a, label), x in drawn.items():
         for d in range(len(source[a])):
             assert counts[a, label, d] == ((x == d).sum(), (x == d).any(axis=1).sum())
