@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, every column of theirs, over a whole table and over the edge rows
 stored as one."""
 
+import functools
 import hashlib
 import math
 import zlib
@@ -12,7 +13,10 @@ from sparkfolio.llm import registry
 from sparkfolio.llm.common import documents
 
 from . import brute
-from .test_tokens import ids_of, tok_cache
+from .test_tokens import ids_of as encoded
+from .test_tokens import tok_cache
+
+ids_of = functools.cache(encoded)  # three queries need the same ids
 
 
 @pytest.fixture(scope="module", params=["whole", "edge"])
