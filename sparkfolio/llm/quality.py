@@ -20,8 +20,9 @@ from pyspark.sql.window import Window
 from .common import documents, labels, slices, stored, strings
 
 ORDER = 4
-#: Bounds of the fit: trusted documents of a language that train, and the fewest it needs for a model of its own.
-MAX_TRAIN_DOCS, MIN_LANG_DOCS = 20_000, 20
+#: Trusted documents of a language that train at most (None: all that are not held out), and the fewest it needs for a
+#: model of its own.
+MAX_TRAIN_DOCS, MIN_LANG_DOCS = None, 20
 #: Rows of a model that are broadcast (16 bytes each); a larger model is joined with the documents' n-grams.
 MOST_ROWS = 4_000_000
 #: The model of all languages, for documents whose language has none.
@@ -57,14 +58,17 @@ def _language(df: DataFrame, lang: str) -> Column:
 
 
 def trusted(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
-    """id, lang and held of every document of rows (id, lang) that is labelled good and not toxic. Not held, so in
-    the model: about `most` of each language at most, MAX_TRAIN_DOCS if not given, by a hash of the id; of those
-    one in HELD, by another hash, is held too."""
+    """id, lang and held of every document of rows (id, lang) that is labelled good and not toxic. Held is one in HELD,
+    by a hash of the id: they set the upper bound, all others are in the model. With `most`, or MAX_TRAIN_DOCS if not
+    given, about that many of each language are in the model at most, by another hash, and the rest is held too."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(labels[id_col].cast("long").alias("id")).where("id IS NOT NULL").distinct()
     x = stored(rows.select("id", "lang").join(good, "id").distinct().withColumn("held", F.pmod(F.xxhash64(F.lit(HELD), "id"), F.lit(HELD)) == 0), "labelled")
+    most = MAX_TRAIN_DOCS if most is None else most
+    if most is None:
+        return x.select("id", "lang", "held")
     n = x.where("NOT held").groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") / (1 << 30)
-    return x.join(n, "lang", "left").select("id", "lang", (F.col("held") | (place >= (MAX_TRAIN_DOCS if most is None else most))).alias("held"))
+    return x.join(n, "lang", "left").select("id", "lang", (F.col("held") | (place >= most)).alias("held"))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -126,7 +130,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """docs: lang, text of trusted documents, a bounded number. A model for each language that has enough
+    """docs: lang, text of trusted documents. A model for each language that has enough
     documents and one for all together."""
     by = count_ngrams(docs)
     enough = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_LANG_DOCS).select("lang")

@@ -89,3 +89,11 @@ def test_all_trusted_documents_set_the_bounds(spark, monkeypatch):
     assert math.isclose(limits["yy"]["high"], (math.floor(1000 * x[math.ceil(0.995 * len(x)) - 1]) + 1) / 1000 + quality.MARGIN, abs_tol=1e-9)
     got = {r["lang"]: (r["low"], r["high"]) for r in quality.classify(docs, labels).where("n_units = 30 OR n_units > 30").groupBy("lang").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
     assert got["xx"] != got["yy"]
+
+
+def test_every_trusted_document_trains_or_is_held_out(spark):
+    """Over 20,000 documents of a language: all but one in five are in the model."""
+    rows = spark.range(30_000).selectExpr("id", "'xx' AS lang")
+    good = quality.trusted(rows, rows.selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    n = good.agg(F.count("*").alias("n"), F.count_if("held").alias("held")).first()
+    assert n["n"] == 30_000 and 30_000 / quality.HELD * 0.95 < n["held"] < 30_000 / quality.HELD * 1.05
