@@ -20,6 +20,8 @@ from .common import documents, labels, slices, stored, strings
 from .quality import MOST_ROWS, UNIFORM, Model, count_ngrams, gram_rows, kneser_ney, probabilities, together, units
 
 SIDES = ("target", "background")
+#: Bytes of text that a task scores at a time; it holds some fifty bytes for each.
+SCORED = 1 << 20
 
 
 def matched_models(docs: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SCORED):
                 codes, n = units(strings(part.column(1)).to_pylist())
                 place, distinct = pd.factorize(codes)
                 ends, cols = np.cumsum(n), []

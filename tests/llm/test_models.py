@@ -91,6 +91,16 @@ def test_all_trusted_documents_set_the_bounds(spark, monkeypatch):
     assert got["xx"] != got["yy"]
 
 
+def test_scoring_holds_a_bounded_piece(spark, monkeypatch):
+    """Texts are scored a megabyte at a time, and cuts change nothing."""
+    docs = spark.createDataFrame([(k, f"text number {k} " * 2000, k % 2 == 0) for k in range(90)], "doc_id long, text string, target boolean").coalesce(1)
+    model = crossentropy.matched_models(docs.limit(4))
+    want = {r["doc_id"]: r["ce_difference"] for r in crossentropy.score(docs, model).collect()}
+    monkeypatch.setattr(crossentropy, "SCORED", 40_000)
+    got = {r["doc_id"]: r["ce_difference"] for r in crossentropy.score(docs, model).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
 def test_every_trusted_document_trains_or_is_held_out(spark):
     """Over 20,000 documents of a language: all but one in five are in the model."""
     rows = spark.range(30_000).selectExpr("id", "'xx' AS lang")
