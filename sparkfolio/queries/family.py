@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as tx
 from ..operators import diagnostics, monitoring, selection, stats
-from ..sources import evidence
+from ..sources import evidence, files
 from ..sources import windows as ws
 from ..sources import tables as tb
 from .accounts import CELLS, cells
@@ -42,7 +42,9 @@ def a21_matrix(spark, sf):
 @query("A32_synchronised_diagnostics")
 def a32(spark, sf):
     """The family's candidates and its own size; the reason instead where its windows are too few or not whole."""
-    x = named(spark, sf)
+    path = files.scratch(spark, "cells")
+    named(spark, sf).write.parquet(path)  # a row a candidate, region and year; read many times, the trades once
+    x = spark.read.parquet(path)
     m = diagnostics.synchronized(x, "instrument", "candidate", "label", "value")
     return diagnostics.family_diagnostics(m, "candidate", "label", "value", x.select("candidate").distinct().count())
 

@@ -163,3 +163,11 @@ def test_candidate_windows_refused(spark, text, reason):
 
     with pytest.raises(Exception, match=f"c/m: {reason}"):
         candidate_windows(spark.createDataFrame([("c", "m", text)], "candidate string, market string, json string"), ["candidate", "market"]).collect()
+
+
+def test_the_trades_are_read_once_for_all_diagnostics(spark, sf_dir, monkeypatch):
+    from sparkfolio.queries import family
+
+    seen, whole = [], family.diagnostics.family_diagnostics
+    monkeypatch.setattr(family.diagnostics, "family_diagnostics", lambda m, *a: seen.append(m.inputFiles()) or whole(m, *a))
+    assert family.a32(spark, sf_dir).count() and not any("lineitem" in f for f in seen[0])
