@@ -76,7 +76,9 @@ def minima(trades: DataFrame, bars: DataFrame, daily: DataFrame, start: float, h
     cuts = daily.select("account", "day").join(cuts.groupBy("day").agg(F.min("at").alias("at")), "day")  # a day is looked at once without events
     x = row(_levels(met), "at", worst=F.col("worst"), seen=F.col("seen")).unionByName(row(cuts, "at"))
     x = x.unionByName(row(trades, "ts_opened", open=lasting)).unionByName(row(trades, "ts_closed", open=-lasting, booked=(F.col("pnl") + F.col("swap")) * F.col("size")))
-    x = x.groupBy("account", "at").agg(*(F.sum(c).alias(c) for c in zero)).withColumn("day", tx.day_number(tx.loss_day(F.timestamp_micros("at"))))
+    path = files.scratch(spark, "steps")
+    x.groupBy("account", "at").agg(*(F.sum(c).alias(c) for c in zero)).withColumn("day", tx.day_number(tx.loss_day(F.timestamp_micros("at")))).write.parquet(path)
+    x = spark.read.parquet(path)  # a row an account and time; read by every pass below, the positions' levels once
 
     key = ["account", "day"]
     days = Window.partitionBy("account").orderBy("day")

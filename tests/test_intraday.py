@@ -96,3 +96,10 @@ def test_a_position_that_no_bar_overlaps(spark):
     with pytest.raises(ValueError, match="a/1"):
         intraday.minima(t, bars, daily, 1.0)
     assert intraday.minima(t.limit(0), bars, daily, 1.0).collect()[0]["minimum"] == 1.0
+
+
+def test_levels_are_worked_out_once(spark, sf_dir):
+    """Every pass over an account's times reads their stored sums, not the pairs of positions and bars."""
+    from sparkfolio.queries import accounts
+
+    assert not any("/met-" in f for f in accounts.watched(spark, sf_dir).inputFiles())
