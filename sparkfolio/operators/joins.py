@@ -37,12 +37,30 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, width: in
     return x.withColumn("nearest", F.when(closer, F.col("after")).otherwise(F.col("before"))).drop("before", "after")
 
 
+#: Bytes of input, as its files are stored, of which one task of an interval join takes a share.
+TASK_BYTES = 4 << 20
+
+
+def tasks(*sides: DataFrame) -> int:
+    """Tasks of a join: in proportion to the stored sizes of the files read, and no fewer than the session's; 1, the
+    session's own choice, where these suffice or sizes are unknown."""
+    spark = sides[0].sparkSession
+    files = sorted({f for s in sides for f in s.inputFiles()})
+    conf, path = spark._jsc.hadoopConfiguration(), lambda f: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+    size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    n = -(-size // TASK_BYTES)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else 1
+
+
 def overlap(a: DataFrame, b: DataFrame, by: list[str], a_start: str, a_end: str, b_start: str, b_end: str, bucket: int) -> DataFrame:
     """Pairs of rows of one group whose half-open intervals of longs overlap. Both sides explode to the buckets they
     touch and meet in an equi join; a pair is kept only in the bucket of the later start, so it comes once."""
     slot = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor((F.col(hi) - 1) / bucket)))
     x = a.where(F.col(a_end) > F.col(a_start)).withColumn("__slot", slot(a_start, a_end))
     y = b.where(F.col(b_end) > F.col(b_start)).withColumn("__slot", slot(b_start, b_end))
+    n = tasks(a, b)
+    if n > 1:  # a task sorts about as many rows whatever the size of the input
+        x, y = x.repartition(n, *by, "__slot"), y.repartition(n, *by, "__slot")
     j = x.join(y, [*by, "__slot"]).where((F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end)))
     return j.where(F.floor(F.greatest(a_start, b_start) / bucket) == F.col("__slot")).drop("__slot")
 

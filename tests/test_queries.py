@@ -54,3 +54,14 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_interval_joins_deal_large_input_to_more_tasks(spark, sf_dir, monkeypatch):
+    """The same pairs, from as many tasks as the stored sizes ask for."""
+    from sparkfolio.operators import joins
+    from sparkfolio.queries import market
+
+    want = sorted(map(tuple, market.j09(spark, sf_dir).collect()))
+    monkeypatch.setattr(joins, "TASK_BYTES", 2000)
+    x = market.j09(spark, sf_dir)
+    assert x.rdd.getNumPartitions() > 20 and sorted(map(tuple, x.collect())) == want
