@@ -95,11 +95,21 @@ def f34(spark, sf):
 def w14(spark, sf):
     """The yearly windows of each candidate and market, written as lists and read back through the checks."""
     ns, year = tx.epoch_nanoseconds(F.col("ts_closed")), F.year("ts_closed")
-    x = tb.candidates(spark, sf).select("candidate", F.col("k4").alias("market"), year.alias("year"), F.concat(F.lit("["), ns.cast("string"), F.lit(", "), F.col("r").cast("decimal(18,6)").cast("string"), F.lit("]")).alias("event"))
+    event = F.concat(F.lit("["), ns.cast("string"), F.lit(", "), F.col("r").cast("decimal(18,6)").cast("string"), F.lit("]"))
+    x = tb.candidates(spark, sf).select(F.col("k4").alias("market"), "candidate", F.struct(year.alias("year"), event.alias("event")).alias("e"))
+    # A text's events meet once, in order of their years; an event without R is none, and comes first in its year.
+    x = x.repartition("market", "candidate").groupBy("market", "candidate").agg(F.sort_array(F.collect_list("e")).alias("es"))
     bound = lambda y: tx.epoch_nanoseconds(F.make_timestamp_ntz(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    one = F.format_string('{"window": "%d", "test_start_ns": %d, "test_end_ns": %d, "net_r_events": [%s]}', "year", bound(F.col("year")), bound(F.col("year") + 1), F.array_join("events", ", "))
-    x = x.groupBy("candidate", "market", "year").agg(F.collect_list("event").alias("events")).select("candidate", "market", one.alias("w"))
-    texts = x.groupBy("candidate", "market").agg(F.concat(F.lit("["), F.array_join(F.collect_list("w"), ", "), F.lit("]")).alias("json"))
+    said = lambda v: F.coalesce(v.cast("string"), F.lit("null"))
+    opening = lambda y: F.concat(F.lit('{"window": "'), said(y), F.lit('", "test_start_ns": '), said(bound(y)), F.lit(', "test_end_ns": '), said(bound(y + 1)), F.lit(', "net_r_events": ['))
+
+    def part(e, i):
+        before = F.get("es", i - 1)
+        starts = (i == 0) | ~before["year"].eqNullSafe(e["year"])
+        opens = F.when(i == 0, opening(e["year"])).when(starts, F.concat(F.lit("]}, "), opening(e["year"])))
+        return F.concat(F.coalesce(opens, F.lit("")), F.when(starts | before["event"].isNull(), F.lit("")).otherwise(F.lit(", ")), F.coalesce(e["event"], F.lit("")))
+
+    texts = x.select("candidate", "market", F.concat(F.lit("["), F.array_join(F.transform("es", part), ""), F.lit("]}]")).alias("json"))
     y = ws.candidate_windows(texts, ["candidate", "market"])
     total = F.aggregate("events", F.lit(0).cast("decimal(38,6)"), lambda a, e: (a + e["net_r"]).cast("decimal(38,6)"))
     return y.select("candidate", "market", F.col("window").alias("label"), F.size("events").cast("long").alias("events"), total.cast("double").alias("net_r"), F.array_min(F.transform("events", lambda e: e["ts_ns"])).alias("first_ns"))

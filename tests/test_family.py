@@ -165,6 +165,31 @@ def test_candidate_windows_refused(spark, text, reason):
         candidate_windows(spark.createDataFrame([("c", "m", text)], "candidate string, market string, json string"), ["candidate", "market"]).collect()
 
 
+def test_windows_of_odd_trades(spark, monkeypatch):
+    """Several years of a text in any order; trades without R are no events, wherever they stand, and may leave a window empty."""
+    from datetime import datetime
+
+    from sparkfolio.queries import family
+
+    def rows(k, *trades):
+        return [("b__train_18m", k, datetime(y, m, 1), r) for y, m, r in trades]
+
+    trades = rows(1, (1999, 2, 0.5), (1997, 3, -1.25), (1999, 1, None), (1999, 5, 1e-6), (1997, 1, 2.0), (1998, 4, None)) + rows(2, (1969, 12, -0.5), (1969, 11, None), (1970, 1, 1.0))
+    x = spark.createDataFrame(trades, "candidate string, k4 long, ts_closed timestamp_ntz, r double").repartition(3)
+    monkeypatch.setattr(family.tb, "candidates", lambda *a: x)
+    ns = lambda y, m: int((datetime(y, m, 1) - datetime(1970, 1, 1)).total_seconds()) * 10**9
+    want = [(1, "1997", 2, 0.75, ns(1997, 1)), (1, "1998", 0, 0.0, None), (1, "1999", 2, 0.500001, ns(1999, 2)), (2, "1969", 1, -0.5, ns(1969, 12)), (2, "1970", 1, 1.0, 0)]
+    assert sorted(tuple(r)[1:] for r in family.w14(spark, "").collect()) == want
+
+
+def test_a_texts_events_meet_in_one_shuffle(spark, sf_dir):
+    """Windows are written, read and checked for repeats where a text's events have met."""
+    from sparkfolio.queries import family
+
+    plan = family.w14(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
 def test_the_trades_are_read_once_for_all_diagnostics(spark, sf_dir, monkeypatch):
     from sparkfolio.queries import family
 
