@@ -14,6 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUT = "__cut"
+#: What exact sums add up: 15 digits after the point, values under 10**13.
+DECIMAL = "decimal(28,15)"
+
+
+def parts(value: Column) -> tuple[Column, Column]:
+    """A double as a decimal, and as it is where DECIMAL can't hold it (infinite, NaN, too large); null in the other one."""
+    d = value.try_cast(DECIMAL)
+    return d, F.when(d.isNull(), value)
 
 
 def cut_by(df: DataFrame, on: str, width: int | None) -> Column | None:
@@ -37,8 +45,15 @@ def _carried(x: DataFrame, carry: DataFrame, keys: list[str], names: list[str])
 
 def running(df: DataFrame, by: list[str], order: list[str], cut: Column | None, what: dict[str, tuple[str, Column]], exclusive: bool = False, backward: bool = False) -> DataFrame:
     """df and, for each name, the sum, count, max, min or last of a value over the rows of the group up to this one (with
-    exclusive: before it); null before anything counts. what: name -> (kind, value). last skips nulls. backward: from the
-    end of the order on. order is total where results depend on it. Without a cut a group is one window."""
+    exclusive: before it); null before anything counts. what: name -> (kind, value). last skips nulls. exact is a sum of
+    doubles as decimals, whose error doesn't grow with the rows. backward: from the end of the order on. order is total
+    where results depend on it. Without a cut a group is one window."""
+    if exact := [n for n, (kind, _) in what.items() if kind == "exact"]:
+        split = {n: parts(what[n][1]) for n in exact}
+        each = {k: v for k, v in what.items() if k not in split} | {f"__{i}_{n}": ("sum", p) for n in exact for i, p in enumerate(split[n])}
+        x = running(df, by, order, cut, each, exclusive, backward)
+        whole = {n: (F.col(f"__0_{n}").cast("double"), F.col(f"__1_{n}")) for n in exact}
+        return x.select(*df.columns, *((F.coalesce(whole[n][0] + whole[n][1], *whole[n]) if n in whole else F.col(n)).alias(n) for n in what))
     end = F.desc if backward else F.asc
     local = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda v: F.last(v, True)}
     edge = Window.unboundedPreceding, -1 if exclusive else 0

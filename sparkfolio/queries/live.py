@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import signals
+from ..operators import scans, signals
 from ..sources import tables as tb
 from ..streaming import parity, risk
 from .base import query
@@ -39,13 +39,18 @@ asked AS (SELECT *, greatest(0, open_risk - replaced) + risk AS taken, least(lea
 def updates(spark, sf):
     w = Window.partitionBy("account").orderBy("ts", "k")
     e = tb.read(spark, sf, "events").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("a"), F.substring(F.col("user_id").cast("string"), -1, 1)).alias("account"), "value")
-    e = e.withColumn("n", F.row_number().over(w)).withColumn("balance", START + F.sum(F.col("value") - 50).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far, (d, rest) = w.rowsBetween(Window.unboundedPreceding, 0), scans.parts(F.col("value"))
+    # decimals, so that a balance meets a floor exactly however many events came before
+    e = e.withColumns({"n": F.row_number().over(w), "d": d, "booked": F.lit(START).cast(scans.DECIMAL) + F.sum(d - 50).over(so_far), "rest": F.sum(rest - 50).over(so_far)})
+    whole = F.col("booked").cast("double")
+    e = e.withColumn("balance", F.when(F.col("rest").isNull(), whole).otherwise(F.coalesce(whole, F.lit(START)) + F.col("rest")))
+    e = e.withColumn("equity", F.coalesce(F.when(F.col("rest").isNull(), (F.col("booked") + (F.col("d") - 50)).cast("double")), F.col("balance") + F.col("value") - 50))
     none, price = F.lit(None), F.when(F.col("k") % 28 != 1, F.col("value"))
     row = lambda seq, kind, id_=none, risk_=none, balance=none, equity=none, ts=F.col("ts"): F.struct(ts.alias("ts"), seq.alias("seq"), F.lit(kind).alias("kind"), id_.cast("long").alias("id"), risk_.cast("double").alias("risk"), balance.cast("double").alias("balance"), equity.cast("double").alias("equity"))
     k = F.col("k")
     later = F.col("ts") + F.make_dt_interval(F.lit(0), (1 + k % 7).cast("int"))
     rows = F.array(
-        row(4 * k, "balance", balance=F.col("balance"), equity=F.col("balance") + F.col("value") - 50), F.when(F.col("n") == 3, row(4 * k - 1, "start", balance=F.lit(START), equity=F.lit(START))),
+        row(4 * k, "balance", balance=F.col("balance"), equity=F.col("equity")), F.when(F.col("n") == 3, row(4 * k - 1, "start", balance=F.lit(START), equity=F.lit(START))),
         F.when(k % 4 == 1, row(4 * k + 1, "open", k, price)), F.when(k % 4 == 1, row(4 * k + 2, "close", k, price, ts=later)), F.when(k % 4 == 3, row(4 * k + 3, "entry", k - 2, F.col("value") * 5)),
     )
     return e.select("account", F.explode(rows).alias("u")).where("u IS NOT NULL").select("account", "u.*")

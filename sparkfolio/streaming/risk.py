@@ -179,7 +179,7 @@ def risk_table(updates: DataFrame, budget: Budget = Budget(), width: int | None
     began, signed = F.when(F.col("kind") == "start", F.col("balance")), F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)
     what = {
         "now": ("last", F.when(whole, F.col("balance"))), "held": ("last", F.when(whole, F.col("equity"))), "start": ("last", began), "first": ("max", began),
-        "sum_risk": ("sum", signed * F.coalesce("risk", F.lit(0.0))), "bare": ("sum", F.when(F.col("risk").isNull(), signed)),
+        "sum_risk": ("exact", signed * F.coalesce("risk", F.lit(0.0))), "bare": ("sum", F.when(F.col("risk").isNull(), signed)),
     }
     x = scans.running(x, ["account"], order, scans.cut_by(x, "ts", width), what)
     place = F.struct(*order)

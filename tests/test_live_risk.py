@@ -187,3 +187,33 @@ def test_signals_of_two_streams(spark, tmp_path, store):
     q.awaitTermination()
     line = lambda x: tuple(x)
     assert sorted(map(line, spark.read.parquet(f"{tmp_path}/out").select(*table.columns).collect())) == sorted(map(line, table.collect()))
+
+
+def test_balances_meet_their_floor_exactly(spark, tmp_path):
+    """Cents add up without the noise of doubles: a last event brings equity to the start, which is its floor by then."""
+    from decimal import Decimal
+
+    cents = [(7919 * k * k) % 99_999_989 - 40_000_000 for k in range(4_000)]  # gains and losses of up to 600,000
+    so_far = 10_000_000 + sum(cents)
+    cents += [1] * (so_far % 2)
+    cents.append((10_000_000 - so_far - so_far % 2) // 2)
+    values = [float(Decimal(c + 5_000) / 100) for c in cents]
+    rows = [(k, T0 + dt.timedelta(minutes=k), 1, v) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["seq"] // 4: r for r in live.updates(spark, str(tmp_path)).where("kind = 'balance'").collect()}
+    at = 10_000_000
+    for k, c in enumerate(cents):
+        at += c
+        assert got[k]["balance"] == float(Decimal(at) / 100) and got[k]["equity"] == float(Decimal(at + c) / 100)
+    end = live.t47(spark, str(tmp_path)).where(F.col("seq") == 4 * (len(cents) - 1)).first()
+    assert got[len(cents) - 1]["equity"] == live.START and end["high"] > 105_000 and end["flatten"] == risk.TRAILING
+
+
+def test_odd_values_are_summed_as_doubles(spark):
+    from sparkfolio.operators import scans
+
+    for cut in (None, F.col("k")):
+        rows = [(k, v) for k, v in enumerate([None, 0.1, 0.2, 1e300, None, -1e300, math.inf, math.nan])]
+        x = scans.running(spark.createDataFrame(rows, "k int, v double"), [], ["k"], cut, {"s": ("exact", F.col("v"))})
+        got = [r["s"] for r in x.orderBy("k").collect()]
+        assert got[:3] == [None, 0.1, 0.3] and got[3:5] == [1e300] * 2 and got[5] == 0.3 and got[6] == math.inf and math.isnan(got[7])
