@@ -10,7 +10,7 @@ hands on a spanning forest of its links, not its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,9 @@ from .words import ranges
 TILE = 32_768
 #: Bits of a set's sketch: each differing bit of two sketches is a hash that only one of the sets holds.
 SKETCH = 2048
+#: Bytes of a candidate group's texts that are checked in one place. Of a larger group the sketches are compared first, so
+#: many bytes of them in one place; what stays together and is still larger is dealt as pairs of tiles.
+GROUP_BYTES, SKETCH_BYTES = 4 << 20, 2 << 20
 #: Radius for texts of similarity 0.8, where 10 bits differ and 22 are four standard deviations more.
 WIDE = 22
 #: Shingles that OFTEN of one in SAMPLE texts hold come last in prefixes, the most frequent MOST_COMMON of them.
@@ -286,8 +289,8 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """id, key, fp, the SimHash of the distinct shingles, and prefix, the hashes of which two texts of that
-    similarity share one at least: all but as many as they have to share, less one, common shingles last."""
+    """id, key, fp, the SimHash of the distinct shingles, bytes of the text, and prefix, the hashes of which two texts of
+    that similarity share one at least: all but as many as they have to share, less one, common shingles last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,9 +302,9 @@ def _sketches(rows: DataFrame, shingle: int, similarity: float, common: np.ndarr
                     most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
                     fp.append(majority(h))
                     prefix.append(np.concatenate([h[~last], h[last]])[:most].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())], ["id", "key", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), part.column(3)], ["id", "key", "fp", "prefix", "bytes"])
 
-    return rows.select("id", "key", "text").mapInArrow(run, "id long, key long, fp long, prefix binary")
+    return rows.select("id", "key", "text", F.octet_length("text").cast("long").alias("bytes")).mapInArrow(run, "id long, key long, fp long, prefix binary, bytes long")
 
 
 def _prefix_rows(sketches: DataFrame) -> DataFrame:
@@ -315,17 +318,11 @@ def _prefix_rows(sketches: DataFrame) -> DataFrame:
     return sketches.select("fp", "prefix").mapInArrow(run, "fp long, key long")
 
 
-def similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: int) -> np.ndarray:
-    """For sets of sorted distinct hashes, none empty: the first set that each reaches over links. A link is a
-    Jaccard similarity of at least `similarity` and fingerprints within radius."""
-    size = np.array([len(x) for x in sets])
-    values, code = np.unique(np.concatenate(sets), return_inverse=True)
-    begin, group, mark = np.cumsum(size) - size, np.full(len(sets), -1), np.zeros(len(values), bool)
-    bits = np.zeros((len(sets), SKETCH), bool)
-    bits[np.repeat(np.arange(len(sets)), size), np.concatenate(sets) % np.uint64(SKETCH)] = True
-    sketch = np.packbits(bits, axis=1).view(np.uint64)
-    del bits
-    for seed in range(len(sets)):
+def _reached(size: np.ndarray, sketch: np.ndarray, fp: np.ndarray, similarity: float, radius: int, check: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """The first set that each reaches over links. Linked are those that sizes, sketches and fingerprints don't tell apart
+    and, of these, the ones that check(set, others) leaves."""
+    group = np.full(len(size), -1)
+    for seed in range(len(size)):
         if group[seed] >= 0:
             continue
         group[seed], front = seed, [seed]
@@ -336,33 +333,115 @@ def similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: i
             differ = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(axis=1, dtype=np.int64)
             # similar sets hold no more hashes apart than this
             rest = rest[differ <= (1 - similarity) / (1 + similarity) * (size[rest] + size[x]) + 1e-9]
-            if not len(rest):
-                continue
-            own = code[begin[x] : begin[x] + size[x]]
-            mark[own] = True
-            n = size[rest]
-            both = np.add.reduceat(mark[code[ranges(begin[rest], n)]], np.cumsum(n) - n, dtype=np.int64)
-            mark[own] = False
-            found = rest[both >= similarity * (n + size[x] - both) - 1e-9]
+            found = check(x, rest) if check and len(rest) else rest
             group[found] = seed
             front += found.tolist()
     return group
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+def similar(sets: list[np.ndarray], fp: np.ndarray, similarity: float, radius: int) -> np.ndarray:
+    """For sets of sorted distinct hashes, none empty: the first set that each reaches over links. A link is a
+    Jaccard similarity of at least `similarity` and fingerprints within radius."""
+    size = np.array([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begin, mark = np.cumsum(size) - size, np.zeros(len(values), bool)
+    bits = np.zeros((len(sets), SKETCH), bool)
+    bits[np.repeat(np.arange(len(sets)), size), np.concatenate(sets) % np.uint64(SKETCH)] = True
+    sketch = np.packbits(bits, axis=1).view(np.uint64)
+    del values, bits
+
+    def check(x: int, rest: np.ndarray) -> np.ndarray:
+        own = code[begin[x] : begin[x] + size[x]]
+        mark[own] = True
+        n = size[rest]
+        both = np.add.reduceat(mark[code[ranges(begin[rest], n)]], np.cumsum(n) - n, dtype=np.int64)
+        mark[own] = False
+        return rest[both >= similarity * (n + size[x] - both) - 1e-9]
+
+    return _reached(size, sketch, fp, similarity, radius, check)
+
+
+def graded(hashes: np.ndarray, similarity: float) -> list[tuple[int, bytes]]:
+    """Sketches of a set with a bit for each of its hashes at least, a power of two and SKETCH or more, so that long texts
+    tell apart too; with a number for the length. A set that may be similar to one with half as many bits has that sketch
+    as well, so any two similar sets have sketches of one length."""
+    n = max(SKETCH, 1 << (len(hashes) - 1).bit_length())
+    bits = np.zeros(n, bool)
+    bits[hashes % np.uint64(n)] = True
+    out = [(n, np.packbits(bits).tobytes())]
+    if n > SKETCH and similarity * len(hashes) <= n // 2 + 1e-9:
+        out.append((n // 2, np.packbits(bits.reshape(2, -1).any(axis=0)).tobytes()))
+    return out
+
+
+def _hashed(texts: DataFrame, shingle: int, similarity: float | None) -> DataFrame:
+    """texts: root, key, fp, text. In place of text its number of distinct shingles, size, and data, these or, for a similarity,
+    sketches of them, a row for each grade."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3):
+                sets = [np.unique(shingles(x, shingle)) for x in part.column(3).cast(pa.binary()).to_pylist()]
+                made = [graded(x, similarity) if similarity else [(0, x.tobytes())] for x in sets]
+                row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in made]))
+                grade, data = zip(*(y for x in made for y in x))
+                own = [c.take(row) for c in (*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(grade, pa.int64()), pa.array(data, pa.binary())], ["root", "key", "fp", "size", "grade", "data"])
+
+    return texts.select("root", "key", "fp", "text").mapInArrow(run, "root long, key long, fp long, size long, grade long, data binary")
+
+
+def _met(hashed: DataFrame, similarity: float, radius: int, limit: int) -> DataFrame:
+    """hashed: as of _hashed(). node and root over the links among rows of one root, by sketches alone (grade over 0) or by the
+    sets; a node is a key. Of a root and grade with more bytes than limit every two tiles meet in a place of their own."""
+
+    def edges(t: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, key, fp, size, grade = (t.column(k).to_numpy() for k in range(5))
+        a, b = [key[:0]], [key[:0]]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            data = [np.frombuffer(x, np.uint64) for x in t.column(5).slice(i, j - i).to_pylist()]
+            own = fp[i:j].view(np.uint64)
+            group = _reached(size[i:j], np.stack(data), own, similarity, radius) if grade[i] else similar(data, own, similarity, radius)
+            a.append(key[i:j])
+            b.append(key[i + group])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    x = stored(hashed, "hashed")
+    tiles = F.when(F.sum(F.octet_length("data")) > limit, F.ceil(F.sum(F.octet_length("data")) * 2 / limit)).otherwise(1).cast("long")
+    x = x.join(x.groupBy("root", "grade").agg(tiles.alias("tiles")), ["root", "grade"]).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "key"), F.col("tiles")))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    x = x.select(F.xxhash64("root", "grade", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "key", "fp", "size", "grade", "data")
+    x = x.repartition("bucket").sortWithinPartitions("bucket", "grade").mapInArrow(_by_group(edges), "a long, b long")
+    return components(stored(x, "met"))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """rows (root, id, key, fp, bytes) of roots with two rows or more, with the root's rows n and bytes total."""
+    return rows.join(rows.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).where("n > 1"), "root")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, most: int | None = None, sketches: int | None = None
+) -> DataFrame:
     """One row for each row of docs that may have a near copy: id, key (of id and text), component_id, the smallest
     id that it reaches over links, and stays, true where id and key are the least of its component. A link is a Jaccard similarity of the distinct shingles (by their 64-bit
     hashes) of at least `similarity` between texts whose SimHashes are within radius. Texts as similar share a
     shingle of their prefixes, so those meet in buckets, of any size, where fingerprints are compared bit-sliced;
-    the groups that come of it are checked shingle by shingle, each in one place. Null ids count as the largest."""
+    the groups that come of it are checked shingle by shingle, each in one place. A group with over `most` bytes of texts
+    (GROUP_BYTES) is parted before, by links that sketches allow, of which `sketches` bytes (SKETCH_BYTES) meet in one place; if
+    a part is still larger, every two of its tiles are checked in a place of their own. Null ids count as the largest."""
+    most, sketches = most or GROUP_BYTES, sketches or SKETCH_BYTES
     rows = _keyed(docs, id_col, text)
     x = stored(_sketches(rows, shingle, similarity, common_shingles(rows, shingle)), "sketches")
     root = components(bucket_links(_prefix_rows(x), radius))
-    near_ = x.select("id", "key", "fp").join(root, x["fp"] == root["node"], "left").select("id", "key", "fp", F.coalesce("root", "fp").alias("root"))
-    near_ = stored(near_, "roots")
-    asked = near_.join(near_.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root").distinct()
-    asked = asked.select("root", "fp", F.col("id").alias("__i"), F.col("key").alias("__k"))
-    texts = rows.join(asked, (rows["key"] == asked["__k"]) & rows["id"].eqNullSafe(asked["__i"])).select("root", "id", "key", "fp", "text")
+    near_ = x.select("id", "key", "fp", "bytes").join(root, x["fp"] == root["node"], "left").select("id", "key", "fp", "bytes", F.coalesce("root", "fp").alias("root"))
+    near_ = _totals(stored(near_, "roots"))
+
+    def texts(asked: DataFrame) -> DataFrame:
+        asked = asked.select("root", "fp", F.col("id").alias("__i"), F.col("key").alias("__k")).distinct()
+        return rows.join(asked, (rows["key"] == asked["__k"]) & rows["id"].eqNullSafe(asked["__i"])).select("root", "id", "key", "fp", "text")
 
     def made(t: pa.RecordBatch) -> pa.RecordBatch:
         root, fp = t.column(0).to_numpy(), t.column(3).to_numpy().view(np.uint64)
@@ -381,7 +460,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             stays[a:b] = (ident[a:b] == ident[of]) & (key[a:b] == key[of])
         return pa.RecordBatch.from_arrays([t.column(1), t.column(2), pa.array(out, mask=out == top), pa.array(stays)], ["id", "key", "component_id", "stays"])
 
-    return texts.repartition("root").sortWithinPartitions("root").mapInArrow(_by_group(made), "id long, key long, component_id long, stays boolean")
+    def checked(asked: DataFrame) -> DataFrame:
+        return texts(asked).repartition("root").sortWithinPartitions("root").mapInArrow(_by_group(made), "id long, key long, component_id long, stays boolean")
+
+    def parted(large: DataFrame, similarity_: float | None, limit: int, what: str) -> DataFrame:
+        met = _met(_hashed(texts(large), shingle, similarity_), similarity, radius, limit)
+        x = large.select("id", "key", "fp", "bytes").join(met, F.col("key") == F.col("node"), "left")
+        return stored(x.select("id", "key", "fp", "bytes", F.coalesce("root", "key").alias("root")), what)
+
+    small, large = near_.where(F.col("total") <= most), near_.where(F.col("total") > most)
+    if large.isEmpty():
+        return checked(small)
+    parts = _totals(parted(large, similarity, sketches, "parts"))
+    small, large = small.unionByName(parts.where(F.col("total") <= most)), parts.where(F.col("total") > most)
+    if large.isEmpty():
+        return checked(small)
+    whole = parted(large, None, most, "whole")
+    best = whole.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    return checked(small).unionByName(whole.join(best, "root").select("id", "key", F.col("best.id").alias("component_id"), stays.alias("stays")))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:

@@ -49,3 +49,40 @@ def test_checks_exactly_and_with_any_order(spark, monkeypatch):
     sets = [np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64), np.arange(1, 9, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
     assert simhash.similar(sets, np.zeros(4, np.uint64), 0.8, 22).tolist() == [0, 0, 0, 3]
     assert simhash.similar(sets, np.zeros(4, np.uint64), 0.85, 22).tolist() == [0, 1, 2, 3]
+
+
+def test_no_place_holds_a_large_group(spark, monkeypatch):
+    """Large groups are parted by sketches and then by tiles, with the result of groups that are checked whole."""
+    import pyarrow.compute as pc
+
+    df = spark.createDataFrame([(k, t, "en", "s", 0, "k", 0, 0.0) for k, t in enumerate([*copies(), *copies()[::7]])], SCHEMA).repartition(3)
+    want, most, by_group = rows_of(simhash.keep_one_similar(df)), 20_000, simhash._by_group
+
+    def bounded(f, *more):
+        def g(t):
+            if t.schema.names[-1] in ("text", "data"):
+                sizes = pc.binary_length(t.column(t.num_columns - 1)).to_numpy()
+                for key in np.unique(t.column(0).to_numpy()):
+                    if (held := sizes[t.column(0).to_numpy() == key].sum()) > 3 * most:
+                        raise ValueError(f"{held} bytes of a group in one place")
+            return f(t)
+
+        return by_group(g, *more)
+
+    monkeypatch.setattr(simhash, "_by_group", bounded)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", most, raising=False)
+    monkeypatch.setattr(simhash, "SKETCH_BYTES", 10_000, raising=False)
+    assert rows_of(simhash.keep_one_similar(df)) == want
+
+
+def test_similar_sets_have_sketches_of_one_length():
+    r = np.random.default_rng(5)
+    for n in (2, 2000, 2048, 2049, 2500, 4096, 4100, 5100, 9000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        one = dict(simhash.graded(a, 0.8))
+        for m in {max(1, -(-8 * n // 10)), n - 1}:
+            other = dict(simhash.graded(a[:m], 0.8))
+            assert one.keys() & other.keys()
+            for k in one.keys() & other.keys():
+                x, y = (np.frombuffer(d[k], np.uint64) for d in (one, other))
+                assert len(x) * 64 == k and np.bitwise_count(x ^ y).sum() <= n - m
